@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import aggregates  # noqa: F401
+from tessera.plans import aggregates, ranking  # noqa: F401
 from tessera.registry import QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["A1_group_mean"](spark, sf_dir)
+    return QUERIES["baseline_fold_change_rank"](spark, sf_dir)
