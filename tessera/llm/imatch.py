@@ -12,19 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.common import Scratch, ascii_lower
+from tessera.llm.common import Scratch
 
 SUBSETS = 32  # of each rate
 EMPTY = "----"  # a subset without a term of the text
 SHELVES = 1 << 15  # of the lexicon, by term hash
-NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"  # after lower-casing A-Z
+NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"  # after lower-casing
 
 
 def term_hashes(text: Column) -> Column:
     """Sorted distinct 64-bit hashes of a text's words; null: none."""
-    flat = F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD, " "))
-    words = F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+    flat = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD, " ")
+    hashes = F.array_distinct(F.transform(F.split(flat, " "), lambda w: F.xxhash64(w)))
+    return F.array_sort(F.array_remove(hashes, F.xxhash64(F.lit(""))))
 
 
 def lexicon(docs: DataFrame, commonest: float = 0.25, rarest: float = 1 / 512) -> DataFrame:
@@ -69,11 +69,13 @@ def with_fingerprint(df: DataFrame, text: str, name: str, shelves: DataFrame) ->
         df = df.withColumn(col, F.expr(f"filter(_t, h -> pmod(shiftright(h, 20), shiftleft(1L, _level + {more})) < {SUBSETS})"))
 
     def hashed(col: str, more: int) -> Column:
+        # Candidates are named twice, so the optimizer keeps them as a column and does not compute them
+        # anew for each subset.
         rate = f"shiftleft(1L, _level + {more})"
         return F.expr(f"""
-            transform(
+            if(size({col}) = 0, array_repeat('{EMPTY}', {SUBSETS}), transform(
               transform(sequence(0, {SUBSETS - 1}), k -> xxhash64(filter({col}, h -> pmod(shiftright(h, 20), {rate}) = k))),
-              x -> if(x = 42L, '{EMPTY}', lower(lpad(hex(x & 65535), 4, '0'))))""")
+              x -> if(x = 42L, '{EMPTY}', lower(lpad(hex(x & 65535), 4, '0')))))""")
 
     whole = F.when(F.size("_t") > 0, F.lower(F.lpad(F.hex(F.xxhash64("_t")), 16, "0"))).otherwise("")
     fp = F.struct(whole.alias("whole"), F.col("_level").alias("level"), hashed("_c0", 0).alias("fine"), hashed("_c1", 1).alias("finer"))
