@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Scratch, connected_components
+from tessera.llm.common import Scratch, batch_rows, connected_components
 from tessera.llm.simhash import SALT, forest
 
 TILE = 2048
@@ -56,14 +56,18 @@ def hasher(tables: int, bits: int, seed: int):  # noqa: ANN201
     return hash_rows
 
 
+def unpacked(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:  # noqa: ANN001
+    """Class numbers, sizes and vectors (double precision) of a tile."""
+    v = np.frombuffer(b"".join(r["v"] for r in rows)).reshape(len(rows), -1)
+    return np.array([r["rep"] for r in rows]), np.array([r["n"] for r in rows]), v
+
+
 def comparer(least: float, tables: int, bits: int, seed: int):  # noqa: ANN201
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for same, t, *sides in zip(pdf["same"], pdf["t"], pdf["x"], pdf["y"], strict=True):
-                (ids, n, x), (ids2, n2, y) = (
-                    (np.array([r["rep"] for r in s]), np.array([r["n"] for r in s]), np.stack([np.frombuffer(r["v"]) for r in s]))
-                    for s in sides
-                )
+            for same, t, left_side, right_side in zip(pdf["same"], pdf["t"], pdf["x"], pdf["y"], strict=True):
+                ids, n, x = unpacked(left_side)
+                ids2, n2, y = (ids, n, x) if same else unpacked(right_side)
                 ux, uy = x / np.linalg.norm(x, axis=1)[:, None], y / np.linalg.norm(y, axis=1)[:, None]
                 near = ux @ uy.T >= least
                 if same:
@@ -104,6 +108,7 @@ def near_duplicates(
     columns are ignored.
     """
     spark = vectors.sparkSession
+    batch_rows(spark, 64)  # a row of the comparison is up to two tiles
     scratch = Scratch(spark, "embeddings")
     v = F.transform(F.col("embedding"), lambda x: x.cast("double"))
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -123,10 +128,12 @@ def near_duplicates(
     row = F.struct("rep", "n", "v")
     t = dealt.groupBy(*where, part.alias("part"), F.col("parts").isNotNull().alias("many")).agg(F.collect_list(row).alias("x"))
     t = scratch.write(t.where("many or size(x) > 1"))
-    alone = t.where("not many").select("t", F.lit(True).alias("same"), "x", F.col("x").alias("y"))
+    alone = t.where("not many").select("t", F.lit(True).alias("same"), "x", F.lit(None).cast(t.schema["x"].dataType).alias("y"))
     many = t.where("many")
     other = many.select(*where, F.col("part").alias("part2"), F.col("x").alias("y"))
-    pairs = many.join(other, where).where("part <= part2").select("t", (F.col("part") == F.col("part2")).alias("same"), "x", "y")
+    pairs = many.join(other, where).where("part <= part2")
+    own = F.col("part") == F.col("part2")
+    pairs = pairs.select("t", own.alias("same"), "x", F.when(~own, F.col("y")).alias("y"))
     both = alone.unionByName(pairs).repartition(2 * spark.sparkContext.defaultParallelism)
     found = scratch.write(both.mapInPandas(comparer(least, tables, bits, seed), FOUND))
     links = found.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
