@@ -167,8 +167,8 @@ def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest mean of 8 neighbouring components, from prefix sums inside the row: no shuffle."""
     from tessera.operators.arrays import best_window_mean
 
-    e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.round(best_window_mean(F.col("embedding").cast("array<double>"), 8), 9).alias("best"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    return e.select("vec_id", F.round(best_window_mean(F.col("a"), 8), 9).alias("best"))
 
 
 @query(
