@@ -67,7 +67,7 @@ def shingle_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a, b, round(k / CAST(na + nb - k AS DOUBLE), 9) AS similarity FROM c WHERE k / CAST(na + nb - k AS DOUBLE) >= 0.8""",
 )
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.prefix_pairs(_shingled(spark, sf_dir), "doc_id", "s", 0.8).withColumn("similarity", r9("similarity"))
+    return D.prefix_pairs(D.written(_shingled(spark, sf_dir)), "doc_id", "s", 0.8).withColumn("similarity", r9("similarity"))
 
 
 @query("D5_D6_D7_D11_D14_minhash_groups")
