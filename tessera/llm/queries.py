@@ -67,8 +67,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # Hosts, candidates by label suffix and path prefix, and the longest listed one, as joins.
 URLS = """
 WITH parts AS (
-  SELECT page_id, url, strpos(coalesce(url, ''), '://') AS at FROM pages),
-tail AS (SELECT page_id, CASE WHEN at > 0 THEN substr(url, at + 3) ELSE '' END AS t FROM parts),
+  SELECT page_id, url, strpos(coalesce(url, ''), '://') AS pos FROM pages),
+tail AS (SELECT page_id, CASE WHEN pos > 0 THEN substr(url, pos + 3) ELSE '' END AS t FROM parts),
 split AS (
   SELECT page_id, translate(regexp_extract(t, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(t, '^[^/?#]*([^?#]*)', 1) AS path FROM tail),
@@ -98,7 +98,7 @@ def licenses_sql() -> str:
     return f"""
 WITH w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '') AS w FROM documents),
+         '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS q, w FROM w WHERE len(w) >= 3),
 gram AS (SELECT doc_id, q - 1 AS q, w[q] || ' ' || w[q + 1] || ' ' || w[q + 2] AS h FROM g),
 tpl(template, label, t) AS (VALUES {rows}),
