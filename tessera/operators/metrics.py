@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 from tessera.operators.ranks import average_rank
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson's r; null where either side is constant."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def spearman(df: DataFrame, x: str, y: str, *group: str) -> DataFrame:
     """M1/M2: rho, n and a status per group: insufficient_n below 3, constant_target, constant_prediction, ok."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     d = d.withColumn("_x", average_rank(F.col(x), *group)).withColumn("_y", average_rank(F.col(y), *group))
     g = d.groupBy(*group).agg(
-        F.count("*").alias("n"), F.corr("_x", "_y").alias("_r"), (F.min("_x") == F.max("_x")).alias("_cx"), (F.min("_y") == F.max("_y")).alias("_cy")
+        F.count("*").alias("n"), correlation("_x", "_y").alias("_r"), (F.min("_x") == F.max("_x")).alias("_cx"), (F.min("_y") == F.max("_y")).alias("_cy")
     )
     status = F.when(F.col("n") < 3, "insufficient_n").when(F.col("_cx"), "constant_target").when(F.col("_cy"), "constant_prediction").otherwise("ok")
     return g.select(*group, "n", status.alias("status"), F.when(status == "ok", F.col("_r")).alias("rho"))

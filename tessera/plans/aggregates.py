@@ -194,12 +194,12 @@ def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "A18_union_max_weighted_mean",
-    """WITH p AS (SELECT l_orderkey, l_suppkey % 4 AS position, arg_max(l_discount, (l_linenumber, l_partkey, l_suppkey)) AS z,
-                  arg_max(l_quantity, (l_linenumber, l_partkey, l_suppkey)) AS w FROM lineitem GROUP BY ALL)
+    """WITH p AS (SELECT l_orderkey, l_suppkey % 4 AS position, arg_max(l_discount, (l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount)) AS z,
+                  arg_max(l_quantity, (l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount)) AS w FROM lineitem GROUP BY ALL)
 SELECT l_orderkey, round(sum(z * w) / nullif(sum(w), 0), 9) AS score, count(*) AS positions FROM p GROUP BY l_orderkey""",
 )
 def union_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = F.max_by(F.struct("l_discount", "l_quantity"), F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("v")
+    last = F.max_by(F.struct("l_discount", "l_quantity"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount")).alias("v")
     p = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", (F.col("l_suppkey") % 4).alias("position")).agg(last)
     z, w = F.col("v.l_discount"), F.col("v.l_quantity")
     return p.groupBy("l_orderkey").agg(r9(F.sum(z * w) / F.nullif(F.sum(w), F.lit(0.0))).alias("score"), F.count("*").alias("positions"))

@@ -70,5 +70,5 @@ def unit_rank_sql(v: str, group: str = "") -> str:
 
 
 def r9(c):  # noqa: ANN001, ANN201
-    """Doubles are rounded before two engines' results are compared."""
-    return F.round(c, 9)
+    """Doubles are rounded before two engines' results are compared; minus zero becomes zero."""
+    return F.round(c, 9) + 0.0

@@ -12,6 +12,7 @@ from tessera.operators import cohort as G
 from tessera.operators import metrics as M
 from tessera.operators import ranks as R
 from tessera.plans.base import PANEL, SCORED, avg_rank_sql, panel, r9, scored, unit_rank_sql
+from tessera.operators.metrics import correlation
 from tessera.registry import query, table
 
 BUCKET = "least(14, greatest(9, CAST(floor(log2(n_chars)) AS INT)))"
@@ -259,7 +260,7 @@ def cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUB = f"""{SCORED}, r AS (SELECT rep, source, doc_id, s1, s2, s3, row_number() OVER (PARTITION BY rep, source ORDER BY {h60_sql("'b4'", "rep", "doc_id")}, doc_id) AS k FROM (SELECT *, unnest(range(0, 10)) AS rep FROM scored)),
 c AS (SELECT *, CASE WHEN k <= 5 THEN 'public' ELSE 'private' END AS part FROM r WHERE k <= 14),
 rk AS (SELECT rep, source, part, {avg_rank_sql("s1", "rep, source, part")} AS t, {avg_rank_sql("s2", "rep, source, part")} AS a, {avg_rank_sql("s3", "rep, source, part")} AS b FROM c),
-d AS (SELECT rep, source, part, CASE WHEN count(*) >= 3 THEN round(corr(t, a) - corr(t, b), 9) END AS delta FROM rk GROUP BY ALL)"""
+d AS (SELECT rep, source, part, CASE WHEN count(*) >= 3 THEN round((covar_pop(t, a) / nullif(stddev_pop(t) * stddev_pop(a), 0)) - (covar_pop(t, b) / nullif(stddev_pop(t) * stddev_pop(b), 0)), 9) END AS delta FROM rk GROUP BY ALL)"""
 
 
 def _subsamples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +269,7 @@ def _subsamples(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = s.withColumn("k", k).where("k <= 14").withColumn("part", F.when(F.col("k") <= 5, "public").otherwise("private"))
     rank = lambda x: R.average_rank(F.col(x), "rep", "source", "part").alias(f"r{x}")
     d = c.select("rep", "source", "part", rank("s1"), rank("s2"), rank("s3")).groupBy("rep", "source", "part")
-    return d.agg(F.when(F.count("*") >= 3, r9(F.corr("rs1", "rs2") - F.corr("rs1", "rs3"))).alias("delta"))
+    return d.agg(F.when(F.count("*") >= 3, r9(correlation("rs1", "rs2") - correlation("rs1", "rs3"))).alias("delta"))
 
 
 @query(

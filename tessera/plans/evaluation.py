@@ -11,12 +11,13 @@ from tessera.operators import arrays as A
 from tessera.operators import metrics as M
 from tessera.operators import ranks as R
 from tessera.plans.base import PANEL, SCORED, avg_rank_sql, panel, r9, scored, unit_rank_sql
+from tessera.operators.metrics import correlation
 from tessera.registry import query, table
 
 AR = avg_rank_sql
 SPEARMAN = f"""{SCORED}, r AS (SELECT source, {AR("s1", "source")} AS a, {AR("s2", "source")} AS b FROM scored),
 rho AS (SELECT source, count(*) AS n, CASE WHEN count(*) < 3 THEN 'insufficient_n' WHEN min(a) = max(a) THEN 'constant_target' WHEN min(b) = max(b) THEN 'constant_prediction' ELSE 'ok' END AS status,
-  CASE WHEN count(*) >= 3 AND min(a) <> max(a) AND min(b) <> max(b) THEN corr(a, b) END AS rho FROM r GROUP BY source)"""
+  CASE WHEN count(*) >= 3 AND min(a) <> max(a) AND min(b) <> max(b) THEN (covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0)) END AS rho FROM r GROUP BY source)"""
 
 
 @query("M1_M2_spearman_by_group", f"WITH {SPEARMAN} SELECT source, n, status, round(rho, 9) AS rho FROM rho")
@@ -32,11 +33,11 @@ def spearman_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "M4_pooled_within_group_spearman",
-    f"""WITH {SCORED}, r AS (SELECT {unit_rank_sql("s1", "source")} AS a, {unit_rank_sql("s3", "source")} AS b FROM scored) SELECT round(corr(a, b), 9) AS rho, count(*) AS n FROM r""",
+    f"""WITH {SCORED}, r AS (SELECT {unit_rank_sql("s1", "source")} AS a, {unit_rank_sql("s3", "source")} AS b FROM scored) SELECT round((covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0)), 9) AS rho, count(*) AS n FROM r""",
 )
 def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = scored(spark, sf_dir).select(R.unit_rank(F.col("s1"), "source").alias("a"), R.unit_rank(F.col("s3"), "source").alias("b"))
-    return r.agg(r9(F.corr("a", "b")).alias("rho"), F.count("*").alias("n"))
+    return r.agg(r9(correlation("a", "b")).alias("rho"), F.count("*").alias("n"))
 
 
 @query(
@@ -53,13 +54,13 @@ def direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "M6_M24_correlation_matrix",
     f"""WITH {SCORED}, l AS (SELECT doc_id, name, value FROM (SELECT doc_id, s1, s2, s3, s4 FROM scored) UNPIVOT (value FOR name IN (s1, s2, s3, s4)))
-SELECT a.name AS a, b.name AS b, round(corr(a.value, b.value), 9) AS r FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.name < b.name GROUP BY ALL""",
+SELECT a.name AS a, b.name AS b, round((covar_pop(a.value, b.value) / nullif(stddev_pop(a.value) * stddev_pop(b.value), 0)), 9) AS r FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.name < b.name GROUP BY ALL""",
 )
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of columns in one pass: no self-join is needed for a fixed list of columns."""
     cols = ["s1", "s2", "s3", "s4"]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    one = scored(spark, sf_dir).agg(*[r9(F.corr(a, b)).alias(f"{a}_{b}") for a, b in pairs])
+    one = scored(spark, sf_dir).agg(*[r9(correlation(a, b)).alias(f"{a}_{b}") for a, b in pairs])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}_{b}").alias("r")) for a, b in pairs])
     return one.select(F.explode(rows).alias("x")).select("x.a", "x.b", "x.r")
 
@@ -263,11 +264,11 @@ def effective(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "M22_M23_promotion_gate",
-    f"""WITH {SCORED}, f AS (SELECT doc_id % 5 AS fold, corr(s1, y) AS a, corr(s2, y) AS b FROM scored GROUP BY doc_id % 5)
+    f"""WITH {SCORED}, f AS (SELECT doc_id % 5 AS fold, (covar_pop(s1, y) / nullif(stddev_pop(s1) * stddev_pop(y), 0)) AS a, (covar_pop(s2, y) / nullif(stddev_pop(s2) * stddev_pop(y), 0)) AS b FROM scored GROUP BY doc_id % 5)
 SELECT count_if(b > a) AS wins, count(*) AS folds, round(avg(b - a), 9) AS mean_gain, count_if(b > a) >= count(*) // 2 + 1 AND avg(b - a) > 0 AND min(b - a) > -0.05 AS promoted FROM f""",
 )
 def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = scored(spark, sf_dir).groupBy((F.col("doc_id") % 5).alias("fold")).agg((F.corr("s2", "y") - F.corr("s1", "y")).alias("g"))
+    f = scored(spark, sf_dir).groupBy((F.col("doc_id") % 5).alias("fold")).agg((correlation("s2", "y") - correlation("s1", "y")).alias("g"))
     wins = F.count_if(F.col("g") > 0)
     ok = (wins >= F.floor(F.count("*") / 2) + 1) & (F.avg("g") > 0) & (F.min("g") > -0.05)
     return f.agg(wins.alias("wins"), F.count("*").alias("folds"), r9(F.avg("g")).alias("mean_gain"), ok.alias("promoted"))
@@ -322,18 +323,18 @@ def interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "M29_held_out_direction",
-    f"""WITH {SCORED}, r AS (SELECT source, {AR("s1", "source")} AS a, {AR("s2", "source")} AS b, {unit_rank_sql("s2", "source")} AS u, {unit_rank_sql("s1", "source")} AS v FROM scored), g AS (SELECT source, corr(a, b) AS rho FROM r GROUP BY source),
-h AS (SELECT x.source, sign(quantile_cont(y.rho, 0.5)) AS dir FROM g x JOIN g y ON x.source <> y.source GROUP BY x.source)
-SELECT r.source, CAST(any_value(dir) AS INT) AS direction, round(corr(v, u * dir), 9) AS rho FROM r JOIN h USING (source) GROUP BY r.source""",
+    f"""WITH {SPEARMAN}, q AS (SELECT source, {unit_rank_sql("s2", "source")} AS u, {unit_rank_sql("s1", "source")} AS v FROM scored),
+h AS (SELECT x.source, sign(round(quantile_cont(y.rho, 0.5), 9)) AS dir FROM rho x JOIN rho y ON x.source <> y.source GROUP BY x.source)
+SELECT q.source, CAST(any_value(dir) AS INT) AS direction, round(covar_pop(v, u * dir) / nullif(stddev_pop(v) * stddev_pop(u * dir), 0), 9) + 0 AS rho FROM q JOIN h ON q.source = h.source GROUP BY q.source""",
 )
 def held_out_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sign learnt on all other sources (one row each), applied to the held-out source's ranks."""
     s = scored(spark, sf_dir)
     g = M.spearman(s, "s1", "s2", "source").select("source", "rho")
     o = g.select(F.col("source").alias("other"), F.col("rho").alias("r"))
-    h = g.join(o, F.col("source") != F.col("other")).groupBy("source").agg(F.signum(F.percentile("r", F.lit(0.5))).alias("dir"))
+    h = g.join(o, F.col("source") != F.col("other")).groupBy("source").agg(F.signum(r9(F.percentile("r", F.lit(0.5)))).alias("dir"))
     r = s.select("source", R.unit_rank(F.col("s1"), "source").alias("v"), R.unit_rank(F.col("s2"), "source").alias("u")).join(h, "source")
-    return r.groupBy("source").agg(F.first("dir").cast("int").alias("direction"), r9(F.corr(F.col("v"), F.col("u") * F.col("dir"))).alias("rho"))
+    return r.groupBy("source").agg(F.first("dir").cast("int").alias("direction"), r9(correlation(F.col("v"), F.col("u") * F.col("dir"))).alias("rho"))
 
 
 @query(

@@ -10,6 +10,7 @@ from tessera.operators import integrity as H
 from tessera.operators import joins as J
 from tessera.operators import ranks as R
 from tessera.plans.base import PANEL, SCORED, avg_rank_sql, panel, r9, scored
+from tessera.operators.metrics import correlation
 from tessera.registry import query, table
 
 
@@ -125,11 +126,11 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "E19_decision_cascade",
-    f"""WITH {SCORED}, m AS (SELECT lang, corr(s1, y) AS a, corr(s2, y) AS b, corr(s3, y) AS c FROM scored GROUP BY lang)
+    f"""WITH {SCORED}, m AS (SELECT lang, (covar_pop(s1, y) / nullif(stddev_pop(s1) * stddev_pop(y), 0)) AS a, (covar_pop(s2, y) / nullif(stddev_pop(s2) * stddev_pop(y), 0)) AS b, (covar_pop(s3, y) / nullif(stddev_pop(s3) * stddev_pop(y), 0)) AS c FROM scored GROUP BY lang)
 SELECT lang, CASE WHEN abs(a - b) <= 0.02 THEN 'same' WHEN abs(a) > abs(b) AND abs(a) > abs(c) THEN 'length' WHEN abs(b) > abs(c) THEN 'density' ELSE 'mixed' END AS mechanism FROM m""",
 )
 def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = scored(spark, sf_dir).groupBy("lang").agg(*[F.corr(f"s{i + 1}", "y").alias(k) for i, k in enumerate("abc")])
+    m = scored(spark, sf_dir).groupBy("lang").agg(*[correlation(f"s{i + 1}", "y").alias(k) for i, k in enumerate("abc")])
     a, b, c = (F.abs(k) for k in "abc")
     named = F.when(F.abs(F.col("a") - F.col("b")) <= 0.02, "same").when((a > b) & (a > c), "length").when(b > c, "density").otherwise("mixed")
     return m.select("lang", named.alias("mechanism"))

@@ -14,6 +14,7 @@ from tessera.operators import contracts as K
 from tessera.operators import joins as J
 from tessera.operators import panel as P
 from tessera.plans.base import PANEL, SCORED, panel, r9, scored
+from tessera.operators.metrics import correlation
 from tessera.registry import query, table
 
 
@@ -219,12 +220,12 @@ def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "F18_soft_failure",
-    """WITH c AS (SELECT n.n_name, count(s_suppkey) AS k, corr(s_suppkey, s_acctbal) AS r FROM nation n LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY ALL)
+    """WITH c AS (SELECT n.n_name, count(s_suppkey) AS k, (covar_pop(s_suppkey, s_acctbal) / nullif(stddev_pop(s_suppkey) * stddev_pop(s_acctbal), 0)) AS r FROM nation n LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY ALL)
 SELECT n_name, CASE WHEN k >= 3 THEN 'ok' ELSE 'not_evaluable' END AS status, CASE WHEN k < 3 THEN 'fewer than 3 rows' END AS reason, round(CASE WHEN k >= 3 THEN r END, 9) AS value FROM c""",
 )
 def soft_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
-    c = n.join(s, n.n_nationkey == s.s_nationkey, "left").groupBy("n_name").agg(F.count("s_suppkey").alias("k"), F.corr("s_suppkey", "s_acctbal").alias("r"))
+    c = n.join(s, n.n_nationkey == s.s_nationkey, "left").groupBy("n_name").agg(F.count("s_suppkey").alias("k"), correlation("s_suppkey", "s_acctbal").alias("r"))
     ok = F.col("k") >= 3
     return c.select("n_name", F.when(ok, "ok").otherwise("not_evaluable").alias("status"), F.when(~ok, "fewer than 3 rows").alias("reason"), r9(F.when(ok, F.col("r"))).alias("value"))
 

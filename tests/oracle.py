@@ -27,7 +27,7 @@ def cell(v) -> str:  # noqa: ANN001
     if isinstance(v, bool):
         return str(v).lower()
     if isinstance(v, (int, float)) or hasattr(v, "item"):
-        return f"{float(v):.6g}"
+        return f"{float(v) + 0.0:.6g}"
     return str(v)
 
 
