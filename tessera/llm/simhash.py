@@ -20,7 +20,8 @@ from tessera.llm.common import Scratch, annotate, batch_rows, connected_componen
 
 TILE = 4096  # fingerprints in a tile, on average at most
 SALT = 64  # parts into which the copies of one fingerprint are dealt in joins
-FINGERPRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
+SEEDS = (42, 43)  # of the fingerprint, and of a second one that wide comparisons add
+FINGERPRINTS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "fp", "fp2")])
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -48,20 +49,21 @@ def simhash64(text: bytes, k: int, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def fingerprinter(k: int):  # noqa: ANN201
+def fingerprinter(k: int, wide: bool):  # noqa: ANN201
     def fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fp = [simhash64((t or "").encode("utf-8", "replace"), k) for t in pdf["text"].tolist()]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array(fp, np.uint64).view(np.int64)})
+            texts = [(t or "").encode("utf-8", "replace") for t in pdf["text"].tolist()]
+            fp, fp2 = (np.array([simhash64(t, k, s) for t in texts] if s == SEEDS[0] or wide else [0] * len(texts), np.uint64) for s in SEEDS)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view(np.int64), "fp2": fp2.view(np.int64)})
 
     return fingerprints
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and its fingerprint as a signed 64-bit integer, for every row."""
+def fingerprints(docs: DataFrame, shingle: int = 3, wide: bool = False) -> DataFrame:
+    """doc_id and its fingerprint as a signed 64-bit integer (wide: and a second one), for every row."""
     batch_rows(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(fingerprinter(shingle), FINGERPRINTS)
+    return rows.mapInPandas(fingerprinter(shingle, wide), FINGERPRINTS)
 
 
 def forest(distance: np.ndarray, radius: int, same: bool) -> tuple[list[int], list[int]]:
@@ -102,52 +104,67 @@ def differing(a: np.ndarray, b: np.ndarray, rows: int = 256) -> np.ndarray:
     return out
 
 
-def comparer(radius: int):  # noqa: ANN201
+def comparer(radius: int, both: int | None):  # noqa: ANN201
+    """mapInPandas function over tile pairs: links of a least spanning forest.
+
+    With `both`, fingerprints link if they differ in up to radius bits and, with the second ones
+    added, in up to `both` bits.
+    """
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for same, x, y in zip(pdf["same"], pdf["x"], pdf["y"], strict=True):
-                x, y = np.ascontiguousarray(x, np.int64), np.ascontiguousarray(y, np.int64)
-                d = differing(x.view(np.uint64), y.view(np.uint64))
+            for same, *tile in zip(pdf["same"], pdf["x"], pdf["y"], pdf["x2"], pdf["y2"], strict=True):
+                x, y, x2, y2 = (np.ascontiguousarray(v, np.int64).view(np.uint64) for v in tile)
+                d = differing(x, y)
                 if same:
                     np.fill_diagonal(d, 255)
-                left, right = forest(d, radius, bool(same))
+                if both is not None:
+                    i, j = np.nonzero(d <= radius)
+                    total = d[i, j] + np.bitwise_count(x2[i] ^ y2[j])
+                    d[:] = 255
+                    d[i, j] = total
+                left, right = forest(d, radius if both is None else both, bool(same))
                 if left:
-                    yield pd.DataFrame({"a": x[left], "b": y[right]})
+                    yield pd.DataFrame({"a": x.view(np.int64)[left], "b": y.view(np.int64)[right]})
 
     return compare
 
 
 def tiles(distinct: DataFrame, halves: bool, tile: int = TILE) -> DataFrame:
-    """Distinct fingerprints (fp) as rows p, q, part, fps: p and q count the bits of the two halves,
-    or p those of the whole and q is 0."""
+    """Distinct fingerprints (fp, fp2) as rows p, q, part, fps, fps2: p and q count the bits of the two
+    halves, or p those of the whole and q is 0."""
     low = F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
     high = F.bit_count(F.shiftrightunsigned("fp", 32))
-    cells = distinct.select("fp", (high if halves else high + low).alias("p"), (low if halves else F.lit(0)).alias("q"))
+    cells = distinct.select("fp", "fp2", (high if halves else high + low).alias("p"), (low if halves else F.lit(0)).alias("q"))
     size = cells.groupBy("p", "q").agg(F.ceil(F.count("*") / F.lit(tile)).alias("parts"))  # 33 x 33 rows at most
     dealt = cells.join(F.broadcast(size), ["p", "q"])
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
-    return dealt.groupBy("p", "q", "part").agg(F.collect_list("fp").alias("fps"))
+    # Sorted, because a tile is gathered once for each side of the pairs and its order must agree.
+    rows = dealt.groupBy("p", "q", "part").agg(F.array_sort(F.collect_list(F.struct("fp", "fp2"))).alias("f"))
+    return rows.select("p", "q", "part", F.col("f.fp").alias("fps"), F.col("f.fp2").alias("fps2"))
 
 
-def links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
-    """Links a, b between distinct fingerprints that connect all within `radius` bits of each other.
+def links(distinct: DataFrame, radius: int, both: int | None = None, tile: int = TILE) -> DataFrame:
+    """Links a, b that connect all distinct fingerprints within `radius` bits (and `both` with the second).
 
     Cells are the counts of the halves for a small radius, which skips more tile pairs, and of the
     whole for a larger one, whose tiles would be dealt to too many cells.
     """
     halves = radius <= 3
     t = tiles(distinct, halves, tile)
+    if both is None:
+        t = t.withColumn("fps2", F.array().cast("array<bigint>"))
     span = range(-radius, radius + 1)
     reach = [(i, j) for i in span for j in (span if halves else (0,)) if abs(i) + abs(j) <= radius]
     ahead = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in reach if (i, j) >= (0, 0)])
-    x = t.select("p", "q", F.col("part").alias("s"), F.col("fps").alias("x"), F.explode(ahead).alias("to"))
-    x = x.select((F.col("p") + F.col("to.i")).alias("p"), (F.col("q") + F.col("to.j")).alias("q"), "s", "x", "to")
+    x = t.select("p", "q", F.col("part").alias("s"), F.col("fps").alias("x"), F.col("fps2").alias("x2"), F.explode(ahead).alias("to"))
+    x = x.select((F.col("p") + F.col("to.i")).alias("p"), (F.col("q") + F.col("to.j")).alias("q"), "s", "x", "x2", "to")
     own = (F.col("to.i") == 0) & (F.col("to.j") == 0)
-    pairs = x.join(t.select("p", "q", F.col("part").alias("o"), F.col("fps").alias("y")), ["p", "q"])
+    pairs = x.join(t.select("p", "q", F.col("part").alias("o"), F.col("fps").alias("y"), F.col("fps2").alias("y2")), ["p", "q"])
     pairs = pairs.where(~own | (F.col("s") <= F.col("o")))
-    pairs = pairs.select((own & (F.col("s") == F.col("o"))).alias("same"), "x", "y")
+    pairs = pairs.select((own & (F.col("s") == F.col("o"))).alias("same"), "x", "y", "x2", "y2")
     n = distinct.sparkSession.sparkContext.defaultParallelism
-    return pairs.repartition(4 * n).mapInPandas(comparer(radius), LINKS)
+    return pairs.repartition(4 * n).mapInPandas(comparer(radius, both), LINKS)
 
 
 def shingle_sets(k: int):  # noqa: ANN201
@@ -165,7 +182,7 @@ def shingle_sets(k: int):  # noqa: ANN201
 def verified(found: DataFrame, groups: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
     """The links (a, b) whose texts' shingle sets have a Jaccard similarity of `least` or more."""
     ends = found.select(F.col("a").alias("fp")).union(found.select(F.col("b").alias("fp"))).distinct()
-    reps = groups.join(ends, "fp").select("fp", F.col("least").alias("_rep"))
+    reps = checked_broadcast(groups.join(ends, "fp").select("fp", F.col("least").alias("_rep")))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(reps, F.col("doc_id").eqNullSafe(F.col("_rep")))
     texts = texts.select("fp", "text").dropDuplicates(["fp"])
     sets = annotate(texts, "text", shingle_sets(shingle), [T.StructField("s", T.ArrayType(T.LongType()))], keep_text=False)
@@ -176,20 +193,23 @@ def verified(found: DataFrame, groups: DataFrame, docs: DataFrame, shingle: int,
     return pairs.where(jaccard >= least).select("a", "b")
 
 
-def components(docs: DataFrame, shingle: int = 3, radius: int = 2, tile: int = TILE, least: float | None = None) -> DataFrame:
+def components(
+    docs: DataFrame, shingle: int = 3, radius: int = 2, both: int | None = None, tile: int = TILE, least: float | None = None
+) -> DataFrame:
     """doc_id, fp (signed), component_id for every row of docs (doc_id, text).
 
-    component_id is the smallest doc_id reachable through fingerprints within `radius` bits.  With
-    `least`, the links of the least spanning forest count only if the texts' shingle sets have that
-    Jaccard similarity.  Null, empty and blank texts have fingerprint 0 and link like any other;
+    component_id is the smallest doc_id reachable through fingerprints within `radius` bits (and, if
+    given, `both` bits with a second fingerprint added).  With `least`, the links of the least
+    spanning forest count only if the texts' shingle sets have that Jaccard similarity.  Null, empty and blank texts have fingerprint 0 and link like any other;
     repeated rows and equal texts share a fingerprint.  An empty table gives an empty result.  Extra
     columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
-    fps = scratch.write(fingerprints(docs, shingle))
-    groups = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    found = scratch.write(links(groups.select("fp"), radius, tile))
+    fps = scratch.write(fingerprints(docs, shingle, both is not None))
+    groups = fps.groupBy("fp").agg(F.min("fp2").alias("fp2"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    groups = scratch.write(groups)
+    found = scratch.write(links(groups.select("fp", "fp2"), radius, both, tile))
     if least is not None:
         found = scratch.write(verified(found, groups, docs, shingle, least))
     found = connected_components(found, "a", "b", scratch)
@@ -210,8 +230,19 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFr
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 12, least: float = 0.8) -> DataFrame:
-    """The rows of docs, unchanged, whose doc_id is the smallest of their group; one row for each id."""
-    kept = components(docs, shingle, radius, least=least).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 20, both: int = 32, least: float = 0.8) -> DataFrame:
+    """The rows of docs, unchanged, whose doc_id is the smallest of their group; one row for each id.
+
+    Texts with a shingle similarity of 0.8 differ in 10 of 64 bits and 19 of 128 on average; within 20
+    and 32 lie about 999 in 1000 of them, and hardly any pair of unrelated texts, so little is verified.
+    """
+    found = Scratch(docs.sparkSession, "kept").write(components(docs, shingle, radius, both, least=least))
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
+    out = docs.join(checked_broadcast(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    twice = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return out.dropDuplicates(["doc_id"]) if twice else out  # texts are dealt by id only if ids repeat
+
+
+def checked_broadcast(ids: DataFrame, most: int = 500_000) -> DataFrame:
+    """A table of ids, to be broadcast if it has at most `most` rows, else to be shuffled like any other."""
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
