@@ -54,7 +54,7 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def batch_rows(spark: SparkSession, rows: int = 1000) -> None:
+def batch_rows(spark: SparkSession, rows: int = 400) -> None:
     """Bound what one Arrow batch of whole texts may hold in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -97,6 +97,23 @@ def prefix_within(df: DataFrame, group: list[str], bucket: str, order: list[str]
     return left.join(totals, cond).select(*[left[c] for c in df.columns], (F.col("_in") + F.col("_before")).alias(out))
 
 
+def hash_sample(df: DataFrame, label: str, key: Column, most: int) -> DataFrame:
+    """At most `most` rows of each label: those with the least hash of a key (columns _h and _k are added).
+
+    Rows above a hash threshold, which leaves about four times as many as needed, go before any
+    shuffle, so what the window sees is bounded by the number of labels, not by the table.
+    """
+    from pyspark.sql import Window as W
+
+    share = df.groupBy(label).agg(F.least(F.lit(1.0), F.lit(4.0 * most) / F.count("*")).alias("_share"))
+    share = share.select(F.col(label).alias("_label"), "_share")
+    h = F.xxhash64(key)
+    # _share has one row for each label
+    near = df.withColumn("_h", h).join(F.broadcast(share), F.col(label) == F.col("_label"))
+    near = near.where(F.col("_h") / float(1 << 63) <= 2 * F.col("_share") - 1).drop("_label", "_share")
+    return near.withColumn("_k", F.row_number().over(W.partitionBy(label).orderBy("_h"))).where(F.col("_k") <= most)
+
+
 def connected_components(edges: DataFrame, a: str, b: str, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node for every node that has an edge: columns node, component.
 

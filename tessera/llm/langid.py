@@ -11,10 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from tessera.llm import nn
-from tessera.llm.common import annotate, crc_mod
+from tessera.llm.common import annotate, crc_mod, hash_sample
 
 UNKNOWN = "und"
 SPAN = 128  # bytes that the network reads in one go; longer texts are read as several spans
@@ -24,16 +23,15 @@ FIELDS = [T.StructField("_lang", T.StringType()), T.StructField("_lang_score", T
 def sample(docs: DataFrame, per_language: int, spans: int) -> pd.DataFrame:
     """Training rows: at most per_language rows of each language, `spans` pieces of each.
 
-    Rows are taken in the order of a hash of the id, pieces at places that the hash fixes.  Spark
-    keeps the first rows of a language in each task before it shuffles, so no language is gathered.
+    Rows are taken in the order of a hash of the id, pieces at places that the hash fixes.
     """
     rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).where(crc_mod(F.col("doc_id"), 4) != 2)
-    rows = rows.select("lang", "text", F.xxhash64("doc_id").alias("h"), F.length("text").alias("n"))
-    starts = [F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.col("n") - SPAN, F.lit(1))) for k in range(spans)]
+    n, h = F.length("text"), F.xxhash64("doc_id")
+    starts = [F.pmod(F.xxhash64(h, F.lit(k)), F.greatest(n - SPAN, F.lit(1))) for k in range(spans)]
     pieces = F.array(*[F.substring(F.col("text"), (s + 1).cast("int"), F.lit(SPAN)) for s in starts])
-    first = W.partitionBy("lang").orderBy("h", "n")
-    rows = rows.select("lang", "h", "n", pieces.alias("pieces")).withColumn("k", F.row_number().over(first))
-    return rows.where(F.col("k") <= per_language).drop("n").toPandas().sort_values(["lang", "h", "k"])
+    rows = rows.select("doc_id", F.col("lang").alias("lang"), pieces.alias("pieces"))
+    out = hash_sample(rows, "lang", F.col("doc_id"), per_language).select("lang", "pieces", "_h").toPandas()
+    return out.assign(_p=out["pieces"].map(lambda x: "".join(x))).sort_values(["lang", "_h", "_p"])
 
 
 def spans_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,9 +141,9 @@ def predictor(model):  # noqa: ANN001, ANN201
             lang, score = [UNKNOWN] * len(texts), np.ones(len(texts))
             known = [i for i, t in enumerate(texts) if m["langs"] and t and letter.search(t)]
             at = 0
-            while at < len(known):  # about 4 MB of text at a time
+            while at < len(known):  # about 2 MB of text at a time
                 part, size = [], 0
-                while at < len(known) and (not part or size < 4_000_000):
+                while at < len(known) and (not part or size < 2_000_000):
                     part.append(known[at])
                     size += len(texts[known[at]])
                     at += 1

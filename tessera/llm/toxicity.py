@@ -16,10 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from tessera.llm import nn
-from tessera.llm.common import annotate, crc_mod
+from tessera.llm.common import annotate, crc_mod, hash_sample
 
 WINDOW, STRIDE = 48, 24  # words
 CHARS = 16  # longer runs of word characters are read as several words
@@ -74,10 +73,9 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int, longest: int) ->
     y = y.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     size = F.length("text")
     ids = docs.where(crc_mod(F.col("doc_id"), 5) != 0).where((size > 0) & (size <= longest)).select("doc_id", "text")
-    first = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = y.withColumn("k", F.row_number().over(first)).where(F.col("k") <= 2 * per_label)
+    chosen = hash_sample(y, "toxic", F.col("doc_id"), 2 * per_label).select("doc_id", "toxic", "_k")
     rows = ids.join(F.broadcast(chosen), "doc_id").toPandas()  # at most 4 * per_label ids
-    rows = rows.sort_values(["toxic", "k", "doc_id", "text"])
+    rows = rows.sort_values(["toxic", "_k", "doc_id", "text"])
     return rows.groupby("toxic").head(per_label).reset_index(drop=True)
 
 
@@ -212,7 +210,7 @@ def centred(m: dict, texts: list[list[str]], y: np.ndarray) -> dict:
     ids = [np.fromiter(map(lex.__getitem__, t), np.int64, len(t)) for t in texts]
     lex.settle()
     grid, first = windows(ids, 0)
-    top = np.maximum.reduceat(window_logits(m, lex.gates[:, : lex.n], grid), first).astype(np.float64)
+    top = np.maximum.reduceat(window_logits(m, lex.gates, grid), first).astype(np.float64)
     order = np.argsort(top, kind="stable")
     top, y = top[order], y[order]
     errors = np.cumsum(y)[:-1] + (y == 0).sum() - np.cumsum(y == 0)[:-1]  # cut after each place
@@ -227,8 +225,8 @@ class Lexicon(dict):
     def __init__(self, model: dict):
         super().__init__()
         self.m, self.h, self.fresh = model, model["h"], []
-        self.gates = np.empty((6 * self.h, 1024), nn.F4)
-        self.gates[:, 0] = self._halve(model["bx"])[:, 0]  # the pad
+        self.gates = np.empty((2, 3 * self.h, 1024), nn.F4)  # of the forward and the backward network
+        self.gates[:, :, 0] = self._halve(model["bx"])[:, 0].reshape(2, -1)  # the pad
         self.n = 1
 
     def _halve(self, x: np.ndarray) -> np.ndarray:
@@ -250,16 +248,16 @@ class Lexicon(dict):
             last = [nn.states(m[t], m[u], c, every=False) for t, u, c in (("cf", "vf", codes), ("cb", "vb", mirrored(codes)))]
             word = np.array([m["known"].get(w, 0) for w in part], np.int64)
             x = self._halve(m["wc"] @ np.concatenate(last) + m["ew"][:, word] + m["bx"])
-            while self.n + len(part) > self.gates.shape[1]:
-                self.gates = np.concatenate([self.gates, np.empty_like(self.gates)], 1)
-            self.gates[:, self.n : self.n + len(part)] = x
+            while self.n + len(part) > self.gates.shape[2]:
+                self.gates = np.concatenate([self.gates, np.empty_like(self.gates)], 2)
+            self.gates[:, :, self.n : self.n + len(part)] = x.reshape(2, 3 * self.h, -1)
             self.n += len(part)
         self.fresh = []
 
 
 def window_logits(m: dict, gates: np.ndarray, grid: np.ndarray, width: int = 1024) -> np.ndarray:
     out, h = np.empty(grid.shape[1], nn.F4), m["h"]
-    gf, gb = np.ascontiguousarray(gates[: 3 * h]), np.ascontiguousarray(gates[3 * h :])
+    gf, gb = gates
     for at in range(0, grid.shape[1], width):
         idx = np.ascontiguousarray(grid[:, at : at + width]).astype(np.intp)
         hf = nn.states(gf, m["uf"], idx)
@@ -280,7 +278,7 @@ def window_logits(m: dict, gates: np.ndarray, grid: np.ndarray, width: int = 102
     return out
 
 
-def scorer(model, cached: int = 200_000):  # noqa: ANN001, ANN201
+def scorer(model, cached: int = 60_000):  # noqa: ANN001, ANN201
     """For annotate(): the scores of a list of texts; model: a broadcast of fit()'s result."""
 
     def make():  # noqa: ANN202
@@ -291,9 +289,9 @@ def scorer(model, cached: int = 200_000):  # noqa: ANN001, ANN201
             nonlocal lex
             out = np.zeros(len(texts))
             at = 0
-            while at < len(texts) and lex is not None:  # about 3 MB of text at a time
+            while at < len(texts) and lex is not None:  # about 1 MB of text at a time
                 ids, size, rows = [], 0, []
-                while at < len(texts) and (not rows or size < 3_000_000):
+                while at < len(texts) and (not rows or size < 1_000_000):
                     w = words_of(texts[at])
                     if w:
                         ids.append(np.fromiter(map(lex.__getitem__, w), np.int64, len(w)))
@@ -303,7 +301,7 @@ def scorer(model, cached: int = 200_000):  # noqa: ANN001, ANN201
                 if rows:
                     lex.settle()
                     grid, first = windows(ids, 0)
-                    top = np.maximum.reduceat(window_logits(m, lex.gates[:, : lex.n], grid), first)
+                    top = np.maximum.reduceat(window_logits(m, lex.gates, grid), first)
                     out[rows] = 1 / (1 + np.exp(-top.astype(np.float64)))
                 if lex.n > cached:
                     lex = Lexicon(m)
