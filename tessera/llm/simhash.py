@@ -104,17 +104,30 @@ def differing(a: np.ndarray, b: np.ndarray, rows: int = 256) -> np.ndarray:
     return out
 
 
-def comparer(radius: int, both: int | None):  # noqa: ANN201
+def comparer(radius: int, both: int | None, labelled: bool = False):  # noqa: ANN201
     """mapInPandas function over tile pairs: links of a least spanning forest.
 
     With `both`, fingerprints link if they differ in up to radius bits and, with the second ones
-    added, in up to `both` bits.
+    added, in up to `both` bits.  labelled: all links between different labels, not a forest of them.
     """
 
+    def across(same: bool, x: np.ndarray, y: np.ndarray, x2: np.ndarray, y2: np.ndarray, lx: np.ndarray, ly: np.ndarray, rows: int = 256) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(x), rows):
+            i, j = np.nonzero((differing(x[at : at + rows], y) <= radius) & (lx[at : at + rows, None] != ly[None, :]))
+            i += at
+            near = np.bitwise_count(x[i] ^ y[j]) + np.bitwise_count(x2[i] ^ y2[j]) <= both
+            if same:
+                near &= i < j
+            if near.any():
+                yield pd.DataFrame({"a": x.view(np.int64)[i[near]], "b": y.view(np.int64)[j[near]]})
+
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for same, *tile in zip(pdf["same"], pdf["x"], pdf["y"], pdf["x2"], pdf["y2"], strict=True):
-                x, y, x2, y2 = (np.ascontiguousarray(v, np.int64).view(np.uint64) for v in tile)
+            for same, *tile in zip(*(pdf[c] for c in ("same", "x", "y", "x2", "y2", "lx", "ly")), strict=True):
+                x, y, x2, y2, lx, ly = (np.ascontiguousarray(v, np.int64).view(np.uint64) for v in tile)
+                if labelled:
+                    yield from across(bool(same), x, y, x2, y2, lx, ly)
+                    continue
                 d = differing(x, y)
                 if same:
                     np.fill_diagonal(d, 255)
@@ -131,40 +144,44 @@ def comparer(radius: int, both: int | None):  # noqa: ANN201
 
 
 def tiles(distinct: DataFrame, halves: bool, tile: int = TILE) -> DataFrame:
-    """Distinct fingerprints (fp, fp2) as rows p, q, part, fps, fps2: p and q count the bits of the two
-    halves, or p those of the whole and q is 0."""
+    """Distinct fingerprints (fp, fp2, label) as rows p, q, part, fps, fps2, labels: p and q count the
+    bits of the two halves, or p those of the whole and q is 0."""
     low = F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
     high = F.bit_count(F.shiftrightunsigned("fp", 32))
-    cells = distinct.select("fp", "fp2", (high if halves else high + low).alias("p"), (low if halves else F.lit(0)).alias("q"))
+    cells = distinct.select("fp", "fp2", "label", (high if halves else high + low).alias("p"), (low if halves else F.lit(0)).alias("q"))
     size = cells.groupBy("p", "q").agg(F.ceil(F.count("*") / F.lit(tile)).alias("parts"))  # 33 x 33 rows at most
     dealt = cells.join(F.broadcast(size), ["p", "q"])
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
     # Sorted, because a tile is gathered once for each side of the pairs and its order must agree.
-    rows = dealt.groupBy("p", "q", "part").agg(F.array_sort(F.collect_list(F.struct("fp", "fp2"))).alias("f"))
-    return rows.select("p", "q", "part", F.col("f.fp").alias("fps"), F.col("f.fp2").alias("fps2"))
+    rows = dealt.groupBy("p", "q", "part").agg(F.array_sort(F.collect_list(F.struct("fp", "fp2", "label"))).alias("f"))
+    return rows.select("p", "q", "part", F.col("f.fp").alias("fps"), F.col("f.fp2").alias("fps2"), F.col("f.label").alias("labels"))
 
 
 def links(distinct: DataFrame, radius: int, both: int | None = None, tile: int = TILE) -> DataFrame:
     """Links a, b that connect all distinct fingerprints within `radius` bits (and `both` with the second).
 
     Cells are the counts of the halves for a small radius, which skips more tile pairs, and of the
-    whole for a larger one, whose tiles would be dealt to too many cells.
+    whole for a larger one, whose tiles would be dealt to too many cells.  If distinct has a column
+    label, the links are all those between fingerprints of different labels.
     """
-    halves = radius <= 3
-    t = tiles(distinct, halves, tile)
+    halves, labelled = radius <= 3, "label" in distinct.columns
+    t = tiles(distinct if labelled else distinct.withColumn("label", F.lit(None).cast("long")), halves, tile)
+    none = F.array().cast("array<bigint>")
     if both is None:
-        t = t.withColumn("fps2", F.array().cast("array<bigint>"))
+        t = t.withColumn("fps2", none)
+    if not labelled:
+        t = t.withColumn("labels", none)
     span = range(-radius, radius + 1)
     reach = [(i, j) for i in span for j in (span if halves else (0,)) if abs(i) + abs(j) <= radius]
     ahead = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in reach if (i, j) >= (0, 0)])
-    x = t.select("p", "q", F.col("part").alias("s"), F.col("fps").alias("x"), F.col("fps2").alias("x2"), F.explode(ahead).alias("to"))
-    x = x.select((F.col("p") + F.col("to.i")).alias("p"), (F.col("q") + F.col("to.j")).alias("q"), "s", "x", "x2", "to")
+    x = t.select("p", "q", F.col("part").alias("s"), F.col("fps").alias("x"), F.col("fps2").alias("x2"), F.col("labels").alias("lx"), F.explode(ahead).alias("to"))
+    x = x.select((F.col("p") + F.col("to.i")).alias("p"), (F.col("q") + F.col("to.j")).alias("q"), "s", "x", "x2", "lx", "to")
     own = (F.col("to.i") == 0) & (F.col("to.j") == 0)
-    pairs = x.join(t.select("p", "q", F.col("part").alias("o"), F.col("fps").alias("y"), F.col("fps2").alias("y2")), ["p", "q"])
+    pairs = x.join(t.select("p", "q", F.col("part").alias("o"), F.col("fps").alias("y"), F.col("fps2").alias("y2"), F.col("labels").alias("ly")), ["p", "q"])
     pairs = pairs.where(~own | (F.col("s") <= F.col("o")))
-    pairs = pairs.select((own & (F.col("s") == F.col("o"))).alias("same"), "x", "y", "x2", "y2")
+    pairs = pairs.select((own & (F.col("s") == F.col("o"))).alias("same"), "x", "y", "x2", "y2", "lx", "ly")
     n = distinct.sparkSession.sparkContext.defaultParallelism
-    return pairs.repartition(4 * n).mapInPandas(comparer(radius, both), LINKS)
+    return pairs.repartition(4 * n).mapInPandas(comparer(radius, both, labelled), LINKS)
 
 
 def shingle_sets(k: int):  # noqa: ANN201
@@ -193,14 +210,34 @@ def verified(found: DataFrame, groups: DataFrame, docs: DataFrame, shingle: int,
     return pairs.where(jaccard >= least).select("a", "b")
 
 
+def confirmed(
+    found: DataFrame, groups: DataFrame, docs: DataFrame, shingle: int, radius: int, both: int, tile: int, least: float, scratch: Scratch
+) -> DataFrame:
+    """Verified links that connect what all candidates, verified one by one, would connect.
+
+    found is a spanning forest of the candidates in each pair of tiles, so every fingerprint with a
+    candidate is an end of it.  Where links of the forest fail, its ends are compared again, and every
+    candidate between parts that the verified links leave apart is verified.
+    """
+    good = scratch.write(verified(found, groups, docs, shingle, least))
+    if good.count() == found.count():
+        return good
+    label = connected_components(good, "a", "b", scratch).select(F.col("node").alias("fp"), "component")
+    ends = found.select(F.col("a").alias("fp")).union(found.select(F.col("b").alias("fp"))).distinct()
+    ends = ends.join(groups.select("fp", "fp2"), "fp").join(label, "fp", "left")
+    ends = scratch.write(ends.select("fp", "fp2", F.coalesce("component", "fp").alias("label")))
+    rest = scratch.write(links(ends, radius, both, tile))
+    return good.union(scratch.write(verified(rest, groups, docs, shingle, least)))
+
+
 def components(
     docs: DataFrame, shingle: int = 3, radius: int = 2, both: int | None = None, tile: int = TILE, least: float | None = None
 ) -> DataFrame:
     """doc_id, fp (signed), component_id for every row of docs (doc_id, text).
 
     component_id is the smallest doc_id reachable through fingerprints within `radius` bits (and, if
-    given, `both` bits with a second fingerprint added).  With `least`, the links of the least
-    spanning forest count only if the texts' shingle sets have that Jaccard similarity.  Null, empty and blank texts have fingerprint 0 and link like any other;
+    given, `both` bits with a second fingerprint added).  With `least` (and `both`), a link counts only
+    if the texts' shingle sets have that Jaccard similarity.  Null, empty and blank texts have fingerprint 0 and link like any other;
     repeated rows and equal texts share a fingerprint.  An empty table gives an empty result.  Extra
     columns are ignored.
     """
@@ -211,7 +248,7 @@ def components(
     groups = scratch.write(groups)
     found = scratch.write(links(groups.select("fp", "fp2"), radius, both, tile))
     if least is not None:
-        found = scratch.write(verified(found, groups, docs, shingle, least))
+        found = confirmed(found, groups, docs, shingle, radius, both, tile, least, scratch)
     found = connected_components(found, "a", "b", scratch)
     root = groups.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left")
     root = root.withColumn("component", F.coalesce("component", "fp"))

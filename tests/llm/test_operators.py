@@ -80,6 +80,28 @@ def test_one_of_each_keeps_the_smallest_id(spark, texts):
     assert 40 in kept and 41 not in kept and 3 in kept and not kept & {42, 43, 44}
 
 
+def test_one_of_each_verifies_every_candidate(spark):
+    """Copies with other edits are often nearer to each other, and fail, than to the original, and pass."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words)]
+    for c in range(60):
+        edited = list(words)
+        for i in rng.choice(np.arange(5, 295, 6), 6, replace=False):
+            edited[i] = f"e{c}x{i}"
+        texts.append(" ".join(edited))
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
+    fps = [[simhash.simhash64(t.encode(), 5, s) for s in simhash.SEEDS] for t in texts]
+    n = range(len(texts))
+    bits = [[[(x ^ y).bit_count() for x, y in zip(fps[i], fps[j])] for j in n] for i in n]
+    near = [[j for j in n if bits[i][j][0] <= 20 and sum(bits[i][j]) <= 32 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in n]
+    group = list(n)
+    while (low := [min(group[j] for j in near[i]) for i in n]) != group:
+        group = low
+    kept = {r["doc_id"] for r in simhash.one_of_each(make(spark, texts)).select("doc_id").collect()}
+    assert kept == {i for i in n if group[i] == i} and len(kept) < 10
+
+
 def test_embeddings_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((30, 16))
