@@ -102,6 +102,23 @@ def test_one_of_each_verifies_every_candidate(spark):
     assert kept == {i for i in n if group[i] == i} and len(kept) < 10
 
 
+def test_one_of_each_counts_a_shingle_once(spark):
+    """A line that is repeated 200 times neither makes unlike texts equal nor sets like ones apart."""
+    line = " ".join(f"l{i}" for i in range(15)) + " "
+    one, other = (" ".join(f"{c}{i}" for i in range(500)) for c in "ab")
+    kept = {r["doc_id"] for r in simhash.one_of_each(make(spark, [line * 200 + one, line * 200 + other, line * 2 + one])).select("doc_id").collect()}
+    assert kept == {0, 1}
+
+
+def test_equal_fingerprints_are_verified(spark, monkeypatch):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "ab"]
+    docs = make(spark, texts + texts[:1])
+    fps = simhash.fingerprints(docs, 5, True).withColumn("fp", F.lit(7).cast("long")).withColumn("fp2", F.lit(7).cast("long"))
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: fps)
+    out = simhash.components(docs, 5, 20, 32, least=0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {0: 0, 1: 1, 2: 0}
+
+
 def test_embeddings_equal_brute_force(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((30, 16))
