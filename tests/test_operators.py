@@ -14,6 +14,8 @@ from tessera.operators import joins as J
 from tessera.operators import metrics as M
 from tessera.operators import ranks as R
 from tessera.operators import text as D
+from tessera import plans  # noqa: F401  (registers the queries)
+from tessera.registry import QUERIES
 
 
 def frame(spark, rows, schema):
@@ -35,6 +37,13 @@ def test_ranks_of_ties_and_singletons(spark):
     assert got == [(1.0, 0.0), (2.0, 0.5), (2.0, 0.5), (5.0, 1.0), (7.0, 0.5)]
 
 
+def test_within_group_pairs_take_every_customer(spark, tmp_path):
+    rows = [(k, k % 2, f"s{k % 3}", 400.0 * k) for k in range(1, 13)]
+    frame(spark, rows, "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {tuple(r) for r in QUERIES["J9_within_group_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(a[1], a[0], b[0], a[3] - b[3]) for a in rows for b in rows if a[1] == b[1] and a[2] != b[2] and abs(a[3] - b[3]) > 500}
+
+
 def test_auc_equals_pair_counting(spark):
     rows = [(i % 7 * 1.0, int(i * i % 5 < 2)) for i in range(60)]
     pairs = [(a, b) for a, x in rows if x for b, y in rows if not y]
