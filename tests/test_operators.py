@@ -44,6 +44,13 @@ def test_within_group_pairs_take_every_customer(spark, tmp_path):
     assert got == {(a[1], a[0], b[0], a[3] - b[3]) for a in rows for b in rows if a[1] == b[1] and a[2] != b[2] and abs(a[3] - b[3]) > 500}
 
 
+def test_pairwise_ranker_scores_every_customer(spark, tmp_path):
+    rows = [(k, k % 2, f"s{k % 3}", 400.0 * k) for k in range(1, 41)] + [(41, 9, "s", 0.0)]
+    frame(spark, rows, "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["c_custkey"]: r["win_chance"] for r in QUERIES["E11_E20_pairwise_ranker"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(1, 42)) and {k for k, v in got.items() if v is None} == {41}
+
+
 def test_auc_equals_pair_counting(spark):
     rows = [(i % 7 * 1.0, int(i * i % 5 < 2)) for i in range(60)]
     pairs = [(a, b) for a, x in rows if x for b, y in rows if not y]
