@@ -51,6 +51,15 @@ def test_pairwise_ranker_scores_every_customer(spark, tmp_path):
     assert sorted(got) == list(range(1, 42)) and {k for k, v in got.items() if v is None} == {41}
 
 
+def test_sequence_distance_takes_every_part(spark, tmp_path):
+    rows = [(k, f"part {k * k}", "t") for k in range(395, 406)]
+    frame(spark, rows, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["p_partkey"]: r["distance"] for r in QUERIES["D13_sequence_distance"](spark, str(tmp_path)).collect()}
+    names = {k: f"{a} {b}".upper() for k, a, b in rows}
+    sets = {k: {s[i : i + 3] for i in range(len(s) - 2)} for k, s in names.items()}
+    assert got == {k: pytest.approx(1 - len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1])) for k in range(395, 405)}
+
+
 def test_auc_equals_pair_counting(spark):
     rows = [(i % 7 * 1.0, int(i * i % 5 < 2)) for i in range(60)]
     pairs = [(a, b) for a, x in rows if x for b, y in rows if not y]
