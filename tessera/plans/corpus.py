@@ -106,7 +106,7 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "D13_sequence_distance",
-    """WITH s AS (SELECT p_partkey, p_name || ' ' || p_type AS s FROM part WHERE p_partkey < 400), k AS (SELECT p_partkey, upper(s) AS s, list_distinct(list_transform(range(1, greatest(CAST(length(s) AS BIGINT) - 1, 2)), lambda i: substr(upper(s), i, 3))) AS k FROM s)
+    """WITH s AS (SELECT p_partkey, p_name || ' ' || p_type AS s FROM part), k AS (SELECT p_partkey, upper(s) AS s, list_distinct(list_transform(range(1, greatest(CAST(length(s) AS BIGINT) - 1, 2)), lambda i: substr(upper(s), i, 3))) AS k FROM s)
 SELECT a.p_partkey, round(1 - len(list_intersect(a.k, b.k)) / CAST(len(list_distinct(list_concat(a.k, b.k))) AS DOUBLE), 9) AS distance FROM k a JOIN k b ON b.p_partkey = a.p_partkey + 1""",
 )
 def sequence_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
