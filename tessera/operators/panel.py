@@ -6,12 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.canonical import BASELINE
+from tessera.operators.contracts import require
 
 
-def geometric_mean(c: Column) -> Column:
-    """A5: exp(mean(ln x)); a value that is not positive raises."""
-    positive = F.when(c > 0, c).otherwise(F.raise_error(F.lit("a geometric mean needs positive values")).cast("double"))
-    return F.exp(F.avg(F.ln(F.when(c.isNotNull(), positive))))
+def geometric_mean(c: Column, nulls: bool = True) -> Column:
+    """A5: exp(mean(ln x)) of a group's values; null if any of them is not positive.
+
+    nulls: whether null values are left out; if not, a null makes the result null, too.  Use
+    require_positive() where a value that is not positive must stop the job.
+    """
+    fits = c > 0 if nulls else F.coalesce(c > 0, F.lit(False))
+    return F.when(F.bool_and(fits), F.exp(F.avg(F.ln(F.when(c > 0, c)))))
+
+
+def require_positive(df: DataFrame, value: str) -> DataFrame:
+    """A5's contract: no value is 0 or less (nulls pass); raises the number of rows that are, else returns df."""
+    n = df.agg(F.count_if(F.col(value) <= 0)).first()[0]
+    require(n == 0, "not_positive", f"{n} values of {value}")
+    return df
 
 
 def prioritised_baseline(df: DataFrame, keys: list[str], out: str = "baseline") -> DataFrame:
@@ -43,9 +55,9 @@ def baseline_rows(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def complete_panel(df: DataFrame, entity: list[str], item: str, value: str, items: list[str]) -> DataFrame:
-    """Geometric mean of the entities that have every item of the panel."""
+    """Geometric mean of the entities that have every item of the panel; null if an item's is null."""
     some = df.where(F.col(item).isin(items)).groupBy(*entity, item).agg(geometric_mean(F.col(value)).alias("_v"))
-    whole = some.groupBy(*entity).agg(F.count_distinct(item).alias("_n"), geometric_mean(F.col("_v")).alias("panel_gm"))
+    whole = some.groupBy(*entity).agg(F.count_distinct(item).alias("_n"), geometric_mean(F.col("_v"), nulls=False).alias("panel_gm"))
     return whole.where(F.col("_n") == len(items)).drop("_n")
 
 

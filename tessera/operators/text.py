@@ -59,6 +59,12 @@ def bands(sketch: Column, count: int, rows: int) -> Column:
     return F.when(F.size(sketch) > 0, keys)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows over as many partitions as there are cores or shuffle partitions: few rows may be much work."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def minhash_pairs(df: DataFrame, key: str, sets: str, least: float, count: int = 16, rows: int = 4) -> DataFrame:
     """Pairs that share a band and have a Jaccard similarity of `least` or more.
 
@@ -66,10 +72,13 @@ def minhash_pairs(df: DataFrame, key: str, sets: str, least: float, count: int =
     their own; they come back as pairs with their representative.
     """
     s = df.select(F.col(key).alias("k"), F.array_sort(sets).alias("s"))
-    first = s.groupBy("s").agg(F.min("k").alias("r"))
-    members = s.join(first, "s").where("k <> r").select(F.col("r").alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("similarity"))
-    reps = first.select("r", "s", minhash(F.col("s"), count * rows).alias("sketch"))
-    reps = reps.select("r", "s", bands(F.col("sketch"), count, rows).alias("bands"))
+    s = s.withColumn("h", F.xxhash64("s"))
+    first = written(dealt(s.groupBy("h", "s").agg(F.min("k").alias("r"))))
+    members = s.join(first, ["h", "s"]).where("k <> r").select(F.col("r").alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("similarity"))
+    # Written twice: a filter that the planner infers from the bands' explode would else be pushed
+    # through both projections and compute the whole sketch anew for each band, on both sides of the join.
+    reps = written(first.select("r", "s", minhash(F.col("s"), count * rows).alias("sketch")))
+    reps = written(reps.select("r", "s", bands(F.col("sketch"), count, rows).alias("bands")))
     pairs = banded_candidates(reps, "r", F.col("bands"))
     x, y = reps.select(F.col("r").alias("a"), F.col("s").alias("sa")), reps.select(F.col("r").alias("b"), F.col("s").alias("sb"))
     near = pairs.join(x, "a").join(y, "b").withColumn("similarity", jaccard(F.col("sa"), F.col("sb")))

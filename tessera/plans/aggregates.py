@@ -11,7 +11,9 @@ from tessera.operators import ranks as R
 from tessera.plans.base import PANEL, panel, r9, unit_rank_sql
 from tessera.registry import query, table
 
-GM = "exp(avg(ln({})))".format
+# The positivity rule: a group with a value that is not positive has no geometric mean.
+GM = "CASE WHEN bool_and({0} > 0) THEN exp(avg(ln(CASE WHEN {0} > 0 THEN {0} END))) END".format
+GM_OF_ALL = "CASE WHEN bool_and(coalesce({0} > 0, false)) THEN exp(avg(ln(CASE WHEN {0} > 0 THEN {0} END))) END".format
 KEYS = ["participant", "feature"]
 BASE = f"""{PANEL},
 base AS (
@@ -73,17 +75,17 @@ def geometric_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "A6_two_level_geometric_mean",
     f"""WITH {PANEL}, s AS (SELECT study, participant, feature, {GM('value')} AS v FROM panel GROUP BY ALL)
-SELECT study, participant, round({GM('v')}, 9) AS gm, count(*) AS panel_size FROM s GROUP BY ALL""",
+SELECT study, participant, round({GM_OF_ALL('v')}, 9) AS gm, count(*) AS panel_size FROM s GROUP BY ALL""",
 )
 def two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = panel(spark, sf_dir).groupBy("study", "participant", "feature").agg(P.geometric_mean(F.col("value")).alias("v"))
-    return s.groupBy("study", "participant").agg(r9(P.geometric_mean(F.col("v"))).alias("gm"), F.count("*").alias("panel_size"))
+    return s.groupBy("study", "participant").agg(r9(P.geometric_mean(F.col("v"), nulls=False)).alias("gm"), F.count("*").alias("panel_size"))
 
 
 @query(
     "A7_complete_panel",
     f"""WITH {PANEL}, s AS (SELECT participant, feature, {GM('value')} AS v FROM panel WHERE day <= 7 AND feature IN ('click', 'error', 'view') GROUP BY ALL)
-SELECT participant, round({GM('v')}, 9) AS panel_gm FROM s GROUP BY participant HAVING count(DISTINCT feature) = 3""",
+SELECT participant, round({GM_OF_ALL('v')}, 9) AS panel_gm FROM s GROUP BY participant HAVING count(DISTINCT feature) = 3""",
 )
 def complete_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel(spark, sf_dir).where("day <= 7")
@@ -295,12 +297,13 @@ def group_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     "A27_matched_subset_proxy",
     f"""WITH {PANEL}, e AS (SELECT study, participant, feature, avg(CASE WHEN day <= 10 THEN value END) AS pre, avg(CASE WHEN day > 20 THEN value END) AS post FROM panel GROUP BY ALL),
 g AS (SELECT study, participant, {GM('pre')} AS pre_gm, {GM('post')} AS post_gm, count(*) AS items FROM e WHERE pre IS NOT NULL AND post IS NOT NULL GROUP BY ALL)
-SELECT study, participant, items, round(pre_gm, 9) AS pre_gm, round(post_gm, 9) AS post_gm, round({unit_rank_sql("ln(post_gm / pre_gm)", "study")}, 9) AS fold_rank FROM g""",
+SELECT study, participant, items, round(pre_gm, 9) AS pre_gm, round(post_gm, 9) AS post_gm, round({unit_rank_sql("ln(post_gm / pre_gm)", "study")}, 9) AS fold_rank FROM g
+WHERE pre_gm IS NOT NULL AND post_gm IS NOT NULL""",
 )
 def matched_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda cond: F.avg(F.when(F.expr(cond), F.col("value")))
     e = panel(spark, sf_dir).groupBy("study", *KEYS).agg(part("day <= 10").alias("pre"), part("day > 20").alias("post")).dropna(subset=["pre", "post"])
     gm = P.geometric_mean
     g = e.groupBy("study", "participant").agg(gm(F.col("pre")).alias("pre_gm"), gm(F.col("post")).alias("post_gm"), F.count("*").alias("items"))
-    g = g.withColumn("fold", F.ln(F.col("post_gm") / F.col("pre_gm")))
+    g = g.dropna(subset=["pre_gm", "post_gm"]).withColumn("fold", F.ln(F.col("post_gm") / F.col("pre_gm")))
     return g.select("study", "participant", "items", r9("pre_gm").alias("pre_gm"), r9("post_gm").alias("post_gm"), r9(R.unit_rank(F.col("fold"), "study")).alias("fold_rank"))

@@ -12,6 +12,7 @@ from tessera.operators import contracts as K
 from tessera.operators import fusion as E
 from tessera.operators import joins as J
 from tessera.operators import metrics as M
+from tessera.operators import panel as P
 from tessera.operators import ranks as R
 from tessera.operators import text as D
 from tessera import plans  # noqa: F401  (registers the queries)
@@ -37,6 +38,16 @@ def test_ranks_of_ties_and_singletons(spark):
     assert got == [(1.0, 0.0), (2.0, 0.5), (2.0, 0.5), (5.0, 1.0), (7.0, 0.5)]
 
 
+def test_geometric_mean_of_values_that_are_not_positive(spark):
+    rows = [("a", 2.0), ("a", 8.0), ("a", None), ("b", 3.0), ("b", 0.0), ("c", -1.0), ("d", None)]
+    df = frame(spark, rows, "g string, v double")
+    got = {r["g"]: (r["some"], r["every"]) for r in df.groupBy("g").agg(P.geometric_mean(F.col("v")).alias("some"), P.geometric_mean(F.col("v"), nulls=False).alias("every")).collect()}
+    assert got == {"a": (pytest.approx(4.0), None), "b": (None, None), "c": (None, None), "d": (None, None)}
+    with pytest.raises(K.ContractError, match="2 values"):
+        P.require_positive(df, "v")
+    assert P.require_positive(df.where("g = 'a'"), "v").count() == 3
+
+
 def test_within_group_pairs_take_every_customer(spark, tmp_path):
     rows = [(k, k % 2, f"s{k % 3}", 400.0 * k) for k in range(1, 13)]
     frame(spark, rows, "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
@@ -126,6 +137,29 @@ def test_prefix_pairs_equal_brute_force(spark):
     assert got == want
 
 
+def test_minhash_pairs_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    sets = [rng.sample(range(10**6), rng.randint(5, 60)) for _ in range(80)]
+    for k in range(240):
+        s = list(sets[k % 80])
+        for i in rng.sample(range(len(s)), rng.randint(0, max(1, len(s) // 6))):
+            s[i] = rng.randrange(10**6)
+        sets.append(sorted(set(s)))
+    sets += sets[:30] + [[], []]
+    df = frame(spark, list(enumerate(sets)), "k long, s array<long>")
+    found = D.minhash_pairs(df, "k", "s", 0.6)
+    share = lambda a, b: len(set(a) & set(b)) / max(1, len(set(a) | set(b)))
+    got = {(a, b): v for a, b, v in found.collect()}
+    assert all(share(sets[a], sets[b]) == pytest.approx(v) and v >= 0.6 for (a, b), v in got.items() if sets[a])
+    root = {r["node"]: r["group"] for r in D.groups(df, "k", found).collect()}
+    want = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and (share(a, b) >= 0.6 or (not a and not b))]
+    joined = sum(root[i] == root[j] for i, j in want)
+    assert len(want) > 300 and joined >= 0.97 * len(want)
+    assert all(root[i] == root[j] for i, j in want if sorted(sets[i]) == sorted(sets[j]))
+
+
 def test_groups_are_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (7, 8), (8, 9), (9, 3)]
     nodes = frame(spark, [(i,) for i in range(1, 11)], "id long")
