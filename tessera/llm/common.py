@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _FALLBACK: dict[str, str] = {}
 
 
@@ -38,10 +39,17 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """rows: bound of the rows in an Arrow batch for this job alone."""
         path = f"{self.root}/{self.n:04d}"
         self.n += 1
-        df.write.mode("errorifexists").parquet(path)
+        before = self.spark.conf.get(BATCH)
+        if rows is not None:
+            self.spark.conf.set(BATCH, str(rows))
+        try:
+            df.write.mode("errorifexists").parquet(path)
+        finally:
+            self.spark.conf.set(BATCH, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # type: ignore[attr-defined]
         return out
@@ -55,8 +63,25 @@ class Scratch:
 
 
 def batch_rows(spark: SparkSession, rows: int = 400) -> None:
-    """Bound what one Arrow batch of whole texts may hold in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound the rows of an Arrow batch by `rows`; Spark's own bound of its bytes (64 MB) holds as well.
+
+    Plans read the setting when they run, which for a returned table is after this call.  So it is
+    only ever lowered: the tightest bound that any operator of the session asked for holds for all.
+    """
+    now = int(spark.conf.get(BATCH))
+    spark.conf.set(BATCH, str(min(rows, now) if now > 0 else rows))
+
+
+def checked_broadcast(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A narrow table, to be broadcast if it has at most `most` rows, else to be shuffled like any other."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:

@@ -1,13 +1,14 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Distinct fingerprints are dealt into cells by the population counts of their two halves.  Two
-fingerprints that differ in r bits lie in cells whose counts differ by r in sum at most, so only
-such cells' tiles are compared, with numpy exclusive-or and bit counts.  A pair of tiles returns a
-spanning forest of its links, never all pairs.
+Distinct fingerprints are dealt into cells by the population counts of their parts (halves, or finer
+where there are more fingerprints).  Two fingerprints that differ in r bits lie in cells whose counts
+differ by r in sum at most, so only such cells' tiles are compared, with numpy exclusive-or and bit
+counts.  A pair of tiles returns a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Scratch, annotate, batch_rows, connected_components
+from tessera.llm.common import Scratch, checked_broadcast, connected_components
 
 TILE = 4096  # fingerprints in a tile, on average at most
 SALT = 64  # parts into which the copies of one fingerprint are dealt in joins
-SEEDS = (42, 43)  # of the fingerprint, and of a second one that wide comparisons add
-FINGERPRINTS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "fp", "fp2", "key")])
+PAIRS = 200_000  # comparisons of a fingerprint at most, on average, before cells are made finer
+FINGERPRINTS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "fp")])
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -40,47 +41,24 @@ def shingle_hashes(text: bytes, k: int, seed: int = 42) -> np.ndarray:
     return np.array([xxh64_intdigest(flat[s:e], seed) for s, e in zip(starts, ends[k - 1 :].tolist(), strict=True)], ">u8")
 
 
-def simhash64(text: bytes, k: int, seed: int = 42, distinct: bool = False) -> int:
-    """Bits that are set in over half of a text's shingle hashes (distinct: each once); no words: 0."""
+def simhash64(text: bytes, k: int, seed: int = 42) -> int:
+    """Bits that are set in over half of a text's shingle hashes, repeats included; no words: 0."""
     h = shingle_hashes(text, k, seed)
-    if distinct:
-        h = np.unique(h)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 4096):
         ones += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def set_hash(text: bytes, k: int) -> int:
-    """XXH64 of a text's distinct shingle hashes in order: equal for texts of equal shingle sets; no words: 0."""
-    from xxhash import xxh64_intdigest
-
-    h = np.unique(shingle_hashes(text, k))
-    return xxh64_intdigest(h.tobytes()) if len(h) else 0
-
-
-def fingerprinter(k: int, wide: bool):  # noqa: ANN201
+def fingerprinter(k: int):  # noqa: ANN201
     def fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [(t or "").encode("utf-8", "replace") for t in pdf["text"].tolist()]
-            fp, fp2 = (np.array([simhash64(t, k, s, wide) for t in texts] if s == SEEDS[0] or wide else [0] * len(texts), np.uint64) for s in SEEDS)
-            key = np.array([set_hash(t, k) for t in texts], np.uint64) if wide else fp
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view(np.int64), "fp2": fp2.view(np.int64), "key": key.view(np.int64)})
+            fp = np.array([simhash64((t or "").encode("utf-8", "replace"), k) for t in pdf["text"].tolist()], np.uint64)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp.view(np.int64)})
 
     return fingerprints
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, wide: bool = False) -> DataFrame:
-    """doc_id, fp, fp2, key as signed 64-bit integers, for every row; rows of one key are one group.
-
-    wide: two fingerprints of the distinct shingles, and the key is a hash of their set; else one
-    fingerprint of all shingles, which is the key too.
-    """
-    batch_rows(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(fingerprinter(shingle, wide), FINGERPRINTS)
-
-
 def forest(distance: np.ndarray, radius: int, same: bool) -> tuple[list[int], list[int]]:
     """Row and column numbers of a least spanning forest of the entries up to radius.
 
@@ -119,165 +97,91 @@ def differing(a: np.ndarray, b: np.ndarray, rows: int = 256) -> np.ndarray:
     return out
 
 
-def comparer(radius: int, both: int | None, labelled: bool = False):  # noqa: ANN201
-    """mapInPandas function over tile pairs: links, by their keys, of a least spanning forest.
-
-    With `both`, fingerprints link if they differ in up to radius bits and, with the second ones
-    added, in up to `both` bits.  labelled: all links between different labels, not a forest of them.
-    """
-
-    def across(same: bool, x, y, x2, y2, kx, ky, lx, ly, rows: int = 256) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        for at in range(0, len(x), rows):
-            i, j = np.nonzero((differing(x[at : at + rows], y) <= radius) & (lx[at : at + rows, None] != ly[None, :]))
-            i += at
-            near = np.bitwise_count(x[i] ^ y[j]) + np.bitwise_count(x2[i] ^ y2[j]) <= both
-            if same:
-                near &= i < j
-            if near.any():
-                yield pd.DataFrame({"a": kx.view(np.int64)[i[near]], "b": ky.view(np.int64)[j[near]]})
+def comparer(radius: int):  # noqa: ANN201
+    """mapInPandas function over tile pairs: links of a least spanning forest of the pairs up to radius."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for same, *tile in zip(*(pdf[c] for c in ("same", "x", "y", "x2", "y2", "kx", "ky", "lx", "ly")), strict=True):
-                x, y, x2, y2, kx, ky, lx, ly = (np.ascontiguousarray(v, np.int64).view(np.uint64) for v in tile)
-                if labelled:
-                    yield from across(bool(same), x, y, x2, y2, kx, ky, lx, ly)
-                    continue
+            for same, *tile in zip(pdf["same"], pdf["x"], pdf["y"], strict=True):
+                x, y = (np.ascontiguousarray(v, np.int64).view(np.uint64) for v in tile)
                 d = differing(x, y)
                 if same:
                     np.fill_diagonal(d, 255)
-                if both is not None:
-                    i, j = np.nonzero(d <= radius)
-                    total = d[i, j] + np.bitwise_count(x2[i] ^ y2[j])
-                    d[:] = 255
-                    d[i, j] = total
-                left, right = forest(d, radius if both is None else both, bool(same))
+                left, right = forest(d, radius, bool(same))
                 if left:
-                    kx, ky = (x, y) if both is None else (kx, ky)
-                    yield pd.DataFrame({"a": kx.view(np.int64)[left], "b": ky.view(np.int64)[right]})
+                    yield pd.DataFrame({"a": x.view(np.int64)[left], "b": y.view(np.int64)[right]})
 
     return compare
 
 
-def tiles(distinct: DataFrame, halves: bool, tile: int = TILE) -> DataFrame:
-    """Distinct keys (key, fp, fp2, label) as rows p, q, part, fps, fps2, keys, labels: p and q count the
-    bits of the two halves, or p those of the whole and q is 0."""
-    low = F.bit_count(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
-    high = F.bit_count(F.shiftrightunsigned("fp", 32))
-    cells = distinct.select("key", "fp", "fp2", "label", (high if halves else high + low).alias("p"), (low if halves else F.lit(0)).alias("q"))
-    size = cells.groupBy("p", "q").agg(F.ceil(F.count("*") / F.lit(tile)).alias("parts"))  # 33 x 33 rows at most
-    dealt = cells.join(F.broadcast(size), ["p", "q"])
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
-    # Sorted, because a tile is gathered once for each side of the pairs and its order must agree.
-    rows = dealt.groupBy("p", "q", "part").agg(F.array_sort(F.collect_list(F.struct("fp", "fp2", "key", "label"))).alias("f"))
-    return rows.select("p", "q", "part", *[F.col(f"f.{c}").alias(n) for c, n in (("fp", "fps"), ("fp2", "fps2"), ("key", "keys"), ("label", "labels"))])
+def steps(parts: int, radius: int) -> list[tuple[int, ...]]:
+    """Differences of the bit counts of `parts` parts that add up to radius at most; of d and -d, one."""
+    out = [()]
+    for _ in range(parts):
+        out = [(*o, i) for o in out for i in range(-radius, radius + 1) if sum(map(abs, o)) + abs(i) <= radius]
+    return [o for o in out if o >= (0,) * parts]
 
 
-def links(distinct: DataFrame, radius: int, both: int | None = None, tile: int = TILE) -> DataFrame:
-    """Links a, b of keys that connect all fingerprints within `radius` bits (and `both` with the second).
+def finest(n: int, radius: int) -> int:
+    """Parts whose bit counts make a cell: the fewest that leave a fingerprint PAIRS comparisons on average.
 
-    Cells are the counts of the halves for a small radius, which skips more tile pairs, and of the
-    whole for a larger one, whose tiles would be dealt to too many cells.  If distinct has a column
-    label, the links are all those between fingerprints of different labels.
+    For random fingerprints, bit counts of a part of w bits are equal with a chance of
+    1 / sqrt(pi * w), and of the cells' neighbours len(steps) count.
     """
-    halves, labelled = radius <= 3, "label" in distinct.columns
-    t = tiles(distinct if labelled else distinct.withColumn("label", F.lit(None).cast("long")), halves, tile)
-    none = F.array().cast("array<bigint>")
-    if both is None:
-        t = t.withColumn("fps2", none).withColumn("keys", none)
-    if not labelled:
-        t = t.withColumn("labels", none)
-    span = range(-radius, radius + 1)
-    reach = [(i, j) for i in span for j in (span if halves else (0,)) if abs(i) + abs(j) <= radius]
-    ahead = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in reach if (i, j) >= (0, 0)])
-    x = t.select("p", "q", F.col("part").alias("s"), F.col("fps").alias("x"), F.col("fps2").alias("x2"), F.col("keys").alias("kx"), F.col("labels").alias("lx"), F.explode(ahead).alias("to"))
-    x = x.select((F.col("p") + F.col("to.i")).alias("p"), (F.col("q") + F.col("to.j")).alias("q"), "s", "x", "x2", "kx", "lx", "to")
-    own = (F.col("to.i") == 0) & (F.col("to.j") == 0)
-    pairs = x.join(t.select("p", "q", F.col("part").alias("o"), F.col("fps").alias("y"), F.col("fps2").alias("y2"), F.col("keys").alias("ky"), F.col("labels").alias("ly")), ["p", "q"])
-    pairs = pairs.where(~own | (F.col("s") <= F.col("o")))
-    pairs = pairs.select((own & (F.col("s") == F.col("o"))).alias("same"), "x", "y", "x2", "y2", "kx", "ky", "lx", "ly")
-    n = distinct.sparkSession.sparkContext.defaultParallelism
-    return pairs.repartition(4 * n).mapInPandas(comparer(radius, both, labelled), LINKS)
-
-
-def shingle_sets(k: int):  # noqa: ANN201
-    """For annotate(): the sorted distinct 64-bit hashes of each text's k-word shingles, and set_hash()."""
-
-    def make():  # noqa: ANN202
-        def sets(texts: list[str | None]) -> tuple[list[list[int]], list[int]]:
-            coded = [(t or "").encode("utf-8", "replace") for t in texts]
-            s = [np.unique(shingle_hashes(t, k).astype(np.uint64)).view(np.int64).tolist() for t in coded]
-            return s, np.array([set_hash(t, k) for t in coded], np.uint64).view(np.int64).tolist()
-
-        return sets
-
-    return make
-
-
-def verified(found: DataFrame, groups: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The links (a, b) whose texts' shingle sets have a Jaccard similarity of `least` or more."""
-    ends = found.select(F.col("a").alias("key")).union(found.select(F.col("b").alias("key"))).distinct()
-    reps = checked_broadcast(groups.join(ends, "key").select("key", F.col("least").alias("_rep")))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(reps, F.col("doc_id").eqNullSafe(F.col("_rep")))
-    fields = [T.StructField("s", T.ArrayType(T.LongType())), T.StructField("_key", T.LongType())]
-    sets = annotate(texts.select("key", "text"), "text", shingle_sets(shingle), fields, keep_text=False)
-    sets = sets.where("key = _key").dropDuplicates(["key"])  # an id may stand for other texts, too
-    pairs = found.join(sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
-    pairs = pairs.join(sets.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    jaccard = common / F.greatest(F.size("sa") + F.size("sb") - common, F.lit(1))
-    return pairs.where(jaccard >= least).select("a", "b")
-
-
-def confirmed(
-    found: DataFrame, groups: DataFrame, docs: DataFrame, shingle: int, radius: int, both: int, tile: int, least: float, scratch: Scratch
-) -> DataFrame:
-    """Verified links that connect what all candidates, verified one by one, would connect.
-
-    found is a spanning forest of the candidates in each pair of tiles, so every key with a
-    candidate is an end of it.  Where links of the forest fail, its ends are compared again, and every
-    candidate between parts that the verified links leave apart is verified.
+    for parts in (2, 4, 8):
+        if n * len(steps(parts, radius)) / math.sqrt(math.pi * 64 / parts) ** parts <= PAIRS:
+            return parts
+    return 16 if radius <= 2 else 8
+
+
+def links(distinct: DataFrame, radius: int, tile: int = TILE, parts: int | None = None) -> DataFrame:
+    """Links a, b that connect all fingerprints (fp, distinct) within `radius` bits.
+
+    A cell holds the fingerprints with the same bit counts of their parts.  Two fingerprints within
+    the radius lie in cells whose counts differ by no more than it in sum, so only their tiles meet.
     """
-    good = scratch.write(verified(found, groups, docs, shingle, least))
-    if good.count() == found.count():
-        return good
-    label = connected_components(good, "a", "b", scratch).select(F.col("node").alias("key"), "component")
-    ends = found.select(F.col("a").alias("key")).union(found.select(F.col("b").alias("key"))).distinct()
-    ends = ends.join(groups.select("key", "fp", "fp2"), "key").join(label, "key", "left")
-    ends = scratch.write(ends.select("key", "fp", "fp2", F.coalesce("component", "key").alias("label")))
-    rest = scratch.write(links(ends, radius, both, tile))
-    return good.union(scratch.write(verified(rest, groups, docs, shingle, least)))
-
-
-def components(
-    docs: DataFrame, shingle: int = 3, radius: int = 2, both: int | None = None, tile: int = TILE, least: float | None = None
-) -> DataFrame:
+    spark = distinct.sparkSession
+    if parts is None:
+        parts = finest(distinct.count(), radius) if radius <= 3 else 1
+    width = 64 // parts
+    mask = F.lit((1 << width) - 1) if width < 64 else F.lit(-1)
+    counts = F.array(*[F.bit_count(F.shiftrightunsigned("fp", i * width).bitwiseAND(mask)) for i in range(parts)])
+    cells = distinct.select("fp", counts.alias("c"))
+    size = cells.groupBy("c").agg(F.ceil(F.count("*") / F.lit(tile)).alias("parts")).where("parts > 1")
+    dealt = cells.join(checked_broadcast(size), "c", "left")
+    part = F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1)))
+    # Sorted, because a tile is gathered once for each side of the pairs and its order must agree.
+    t = dealt.groupBy("c", part.alias("part")).agg(F.sort_array(F.collect_list("fp")).alias("x"))
+    ahead = F.array(*[F.array(*[F.lit(i) for i in o]) for o in steps(parts, radius)])
+    left = t.select("x", F.col("part").alias("s"), "c", F.explode(ahead).alias("to"))
+    own = F.forall("to", lambda i: i == 0)
+    left = left.select("x", "s", own.alias("own"), F.zip_with("c", "to", lambda a, b: a + b).alias("c"))
+    pairs = left.join(t.select("c", F.col("part").alias("o"), F.col("x").alias("y")), "c").where("not own or s < o or (s = o and size(x) > 1)")
+    pairs = pairs.select((F.col("own") & (F.col("s") == F.col("o"))).alias("same"), "x", "y")
+    return pairs.repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(comparer(radius), LINKS)
+
+
+def components(docs: DataFrame, shingle: int = 3, radius: int = 2, tile: int = TILE, parts: int | None = None) -> DataFrame:
     """doc_id, fp (signed), component_id for every row of docs (doc_id, text).
 
-    component_id is the smallest doc_id reachable through fingerprints within `radius` bits (and, if
-    given, `both` bits with a second fingerprint added; the two are then of distinct shingles, and only
-    equal shingle sets are one group).  With `least` (and `both`), a link counts only if the texts'
-    shingle sets have that Jaccard similarity.  Null, empty and blank texts have fingerprint 0 and link like any other;
-    repeated rows and equal texts share a fingerprint.  An empty table gives an empty result.  Extra
-    columns are ignored.
+    component_id is the smallest doc_id reachable through fingerprints within `radius` bits.  Null, empty
+    and blank texts have fingerprint 0 and link like any other; repeated rows and equal texts share a
+    fingerprint.  An empty table gives an empty result.  Extra columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
-    fps = scratch.write(fingerprints(docs, shingle, both is not None))
-    groups = fps.groupBy("key").agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    groups = scratch.write(groups)
-    found = scratch.write(links(groups.select("key", "fp", "fp2"), radius, both, tile))
-    if least is not None:
-        found = confirmed(found, groups, docs, shingle, radius, both, tile, least, scratch)
+    scratch = Scratch(docs.sparkSession, "simhash")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    fps = scratch.write(rows.mapInPandas(fingerprinter(shingle), FINGERPRINTS), rows=400)
+    groups = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    found = scratch.write(links(groups.select("fp"), radius, tile, parts), rows=64)
     found = connected_components(found, "a", "b", scratch)
-    root = groups.join(found.select(F.col("node").alias("key"), "component"), "key", "left")
-    root = root.withColumn("component", F.coalesce("component", "key"))
+    root = groups.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left")
+    root = root.withColumn("component", F.coalesce("component", "fp"))
     lowest = root.groupBy("component").agg(F.min("least").alias("component_id"))
     # Only groups of several documents need their id looked up; their copies are dealt over SALT parts.
     known = root.join(lowest, "component").where("n > 1 or component_id <> least")
-    known = known.select("key", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    known = known.select("fp", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
     salted = fps.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
-    out = salted.join(known, ["key", "salt"], "left")
+    out = salted.join(known, ["fp", "salt"], "left")
     return out.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -285,21 +189,3 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFr
     """components() with the fingerprint as 16 lower-case hexadecimal digits."""
     out = components(docs, shingle, radius)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 20, both: int = 32, least: float = 0.8) -> DataFrame:
-    """The rows of docs, unchanged, whose doc_id is the smallest of their group; one row for each id.
-
-    Texts with a shingle similarity of 0.8 differ in 10 of 64 bits and 19 of 128 on average; within 20
-    and 32 lie about 999 in 1000 of them, and hardly any pair of unrelated texts, so little is verified.
-    """
-    found = Scratch(docs.sparkSession, "kept").write(components(docs, shingle, radius, both, least=least))
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
-    out = docs.join(checked_broadcast(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if twice else out  # texts are dealt by id only if ids repeat
-
-
-def checked_broadcast(ids: DataFrame, most: int = 500_000) -> DataFrame:
-    """A table of ids, to be broadcast if it has at most `most` rows, else to be shuffled like any other."""
-    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
