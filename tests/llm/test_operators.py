@@ -389,11 +389,84 @@ def test_next_row_across_stretches(spark):
     rows = imatch.in_order(df, rows_each=7)
     from pyspark.sql import Window as W
 
-    nxt = F.lead("text").over(W.partitionBy("_bucket").orderBy("_extra", "_o", "text"))
+    nxt = F.lead("text").over(W.partitionBy("_bucket").orderBy("_extra", F.col("doc_id").asc_nulls_last(), "_h"))
     got = {r["doc_id"]: r["n"] for r in rows.withColumn("n", nxt).where("_extra = 0").collect()}
     order = sorted(ids)
     assert got == {a: f"t{b}" for a, b in zip(order, [*order[1:], order[0]])}
 
+    # A third of the ids null and a third one id: each text is followed by the next in (id, hash) order.
+    many = [(None if i % 3 == 0 else 77 if i % 3 == 1 else i, f"t{i}") for i in range(300)]
+    df = spark.createDataFrame(many, "doc_id long, text string")
+    rows = imatch.in_order(df, rows_each=10).withColumn("n", nxt)
+    got = {r["text"]: r["n"] for r in rows.where("_extra = 0").collect()}
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = [t for _, _, t in sorted((d is None, (d or 0, hashes[t]), t) for d, t in many)]
+    assert got == dict(zip(order, [*order[1:], order[0]]))
+    assert rows.groupBy("_bucket").count().agg(F.max("count")).first()[0] <= 40
+
+
+def test_fingerprints_equal_brute_force(spark):
+    """Lexicon, subsets and likeness, computed anew with the xxhash library."""
+    import struct
+
+    import xxhash
+
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(vocabulary[: rng.choice([20, 400])]) for _ in range(rng.randint(0, 120))) for _ in range(40)]
+    texts += [texts[0] + " v1", texts[1].upper(), "v1", "", None]
+    df = make(spark, texts)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    one = lambda h, seed: xxhash.xxh64_intdigest(struct.pack("<q", h), seed)
+    terms = [sorted({signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in (t or "").lower().split()}) for t in texts]
+    df_of = {}
+    for t in terms:
+        for h in t:
+            df_of[h] = df_of.get(h, 0) + 1
+    lexicon = {h for h, n in df_of.items() if len(texts) * 0.02 <= n <= len(texts) * 0.25}
+
+    def folded(hs):
+        seed = 42
+        for h in hs:
+            seed = one(h, seed)
+        return seed
+
+    def fingerprint(t):
+        own = [h for h in t if h in lexicon] or t
+        # xxhash64(h, k) folds the int k (4 bytes) into the hash of h
+        other = {h: signed(xxhash.xxh64_intdigest(struct.pack("<i", 1), one(h, 42))) for h in own}
+        subsets = []
+        for rate in imatch.RATES:
+            row = []
+            for m in range(imatch.SEEDS):
+                value = lambda h: (h if m < 6 else other[h]) % (1 << 64) >> (m % 6 * imatch.FIELD)  # noqa: E731, B023
+                some = [h for h in own if value(h) % (1 << rate) == 0]
+                row.append(f"{folded(some) & 65535:04x}" if some else imatch.EMPTY)
+            subsets.append(row)
+        return f"{folded(own):016x}" if own else "", subsets
+
+    def likeness(a, b):
+        if a[0] == b[0]:
+            return 1.0
+        if not a[0] or not b[0]:
+            return 0.0
+        agree = [sum(p == q != imatch.EMPTY for p, q in zip(x, y)) for x, y in zip(a[1], b[1])]
+        some = [sum(p != imatch.EMPTY or q != imatch.EMPTY for p, q in zip(x, y)) for x, y in zip(a[1], b[1])]
+        k = max((k for k, n in enumerate(some) if 2 * n >= imatch.SEEDS), default=0)
+        return sum(agree[k:]) / max(1, sum(some[k:]))
+
+    want = [fingerprint(t) for t in terms]
+    got = {r["doc_id"]: r for r in imatch.edited_fingerprints(df, 0.25, 0.02).collect()}
+    for i, fp in enumerate(want):
+        assert got[i]["fingerprint"] == "|".join([fp[0], *("".join(row) for row in fp[1])])
+        assert got[i]["near_next"] == pytest.approx(likeness(fp, want[(i + 1) % len(want)]))
+    assert got[1]["fingerprint"] == got[41]["fingerprint"]
+
+
+def test_fingerprints_of_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None if i % 2 else i // 4, f"text {i % 7} of {i % 5}") for i in range(3000)], "doc_id long, text string")
+    assert imatch.edited_fingerprints(df).count() == 3000
+
 
 def test_languages(spark):
     rng = random.Random(6)
