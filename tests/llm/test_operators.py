@@ -223,6 +223,27 @@ def test_tiles_of_one_bucket_count_each_link_once(spark):
     assert {r["n_links"] for r in out.collect()} == {49} and out.where("kept").count() == 1
 
 
+def test_embeddings_recall_and_extremes(spark, monkeypatch):
+    """Recall over many small buckets, mixed lengths, huge and tiny components, repeated ids."""
+    monkeypatch.setattr(embeddings, "BUCKET", 8)
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((300, 24))
+    x = np.concatenate([base, *[base + rng.uniform(0.05, 0.6) * rng.standard_normal(base.shape) for _ in range(3)]])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    rows = [(i, r.tolist()) for i, r in enumerate(x)]
+    n = len(rows)
+    rows += [(n, [1e200] * 16), (n + 1, [2e200] * 16), (n + 2, [1e-200] * 16), (n + 3, [1.0] * 5), (n + 4, [1.0] * 5), (n + 4, [2.0] * 5)]
+    got = {}
+    for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["vec_id"], []).append(r)
+    assert embeddings.tables_for(n, 0.9)[0] > 10 and all(got[i][0]["n_links"] <= near[i].sum() for i in range(n))
+    assert sum(got[i][0]["n_links"] for i in range(n)) >= 0.98 * near.sum()
+    assert [got[n + i][0]["n_links"] for i in range(4)] == [2, 2, 2, 2] and {r["n_links"] for r in got[n + 4]} == {2}
+    assert {got[n + i][0]["component_id"] for i in range(3)} == {n} and {r["component_id"] for i in (3, 4) for r in got[n + i]} == {n + 3}
+
+
 def test_mix_hits_targets_and_limits(spark):
     rng = random.Random(7)
     rows = [(i, sentence(rng, rng.randint(0, 400)), s) for i, s in enumerate(["a"] * 150 + ["b"] * 100 + [None] * 20 + ["c"] * 2)] + [(900, None, "c")]
