@@ -2,8 +2,8 @@
 
 All rolling k-word hashes of a text are joined to the positions of the same hashes in templates of
 licence notices.  Matches of one template vote for their diagonal (position in the text minus
-position in the template); neighbouring diagonals merge, so that inserted or lost words do not split
-a notice; a span whose words cover enough of the template names its licence.  Only DataFrame
+position in the template); each diagonal merges with its neighbours, so that inserted or lost words do
+not split a notice; a span whose words cover enough of the template names its licence.  Only DataFrame
 functions are used.
 """
 
@@ -31,6 +31,14 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
     ("all-rights-reserved", "all rights reserved"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("boost", "distributed under the boost software license version 1 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc0", "to the extent possible under law has waived all copyright and related or neighboring rights to"),
 )
 
 
@@ -58,28 +66,34 @@ def grams(w: Column, k: int) -> Column:
 def spans(docs: DataFrame, templates: tuple = TEMPLATES, k: int = K, drift: int = 3, least: float = 0.75) -> DataFrame:
     """Verified spans: doc_id, sig, template, label, first_word, last_word, coverage.
 
-    Diagonals of one template that are at most `drift` apart merge.  coverage is the share of the
-    template's k-grams found in the span; a span counts from `least` on, if it is not longer than
-    the template and the drift allow.
+    A diagonal merges with those at most `drift` away.  Of each k-gram of the template, the hit on the
+    nearest diagonal counts, so a span is never longer than the template and twice the drift.  coverage
+    is the share of the template's k-grams that are found; a span counts from `least` on, if none of the
+    merged diagonals gives a better one.  A text may repeat a notice any number of times, also without
+    a word between: each diagonal is judged on its own.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("sig"), words_of(text).alias("w"))
     rows = rows.select("doc_id", "sig", F.posexplode(grams(F.col("w"), k)).alias("q", "h"))
     hits = rows.join(F.broadcast(template_grams(docs.sparkSession, templates, k)), "h")
     by = ["doc_id", "sig", "template", "label", "grams"]
-    diagonal = hits.groupBy(*by, (F.col("q") - F.col("p")).alias("d")).agg(
-        F.collect_set("p").alias("ps"), F.min("q").alias("q0"), F.max("q").alias("q1")
-    )
-    order = W.partitionBy("doc_id", "sig", "template").orderBy("d")
-    diagonal = diagonal.withColumn("new", F.coalesce((F.col("d") - F.lag("d").over(order) > drift).cast("int"), F.lit(1)))
-    diagonal = diagonal.withColumn("band", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    band = diagonal.groupBy(*by, "band").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ps")))).alias("found"), F.min("q0").alias("first_word"), (F.max("q1") + k - 1).alias("last_word")
-    )
-    coverage = F.col("found") / F.col("grams")
-    length = F.col("last_word") - F.col("first_word") + 1
-    band = band.withColumn("coverage", coverage).where((F.col("coverage") >= least) & (length <= F.col("grams") + k - 1 + 2 * drift))
-    return band.select("doc_id", "sig", "template", "label", "first_word", "last_word", "coverage")
+    diagonal = hits.groupBy(*by, (F.col("q") - F.col("p")).alias("d")).agg(F.collect_set("p").alias("ps"))
+    around = W.partitionBy("doc_id", "sig", "template").orderBy("d").rangeBetween(-drift, drift)
+    # 2 * drift + 1 diagonals of at most `grams` places each
+    diagonal = diagonal.withColumn("near", F.collect_list(F.struct("d", "ps")).over(around))
+    nearest = F.array_sort(F.transform("near", lambda x: F.struct(F.abs(x["d"] - F.col("d")).alias("off"), x["d"].alias("d"), x["ps"].alias("ps"))))
+    start = F.struct(F.array().cast("array<int>").alias("seen"), F.lit(1 << 30).alias("lo"), F.lit(-1).alias("hi"))
+
+    def add(s: Column, x: Column) -> Column:
+        new = F.array_except(x["ps"], s["seen"])
+        lo, hi = F.least(s["lo"], x["d"] + F.array_min(new)), F.greatest(s["hi"], x["d"] + F.array_max(new))
+        return F.struct(F.concat(s["seen"], new).alias("seen"), lo.alias("lo"), hi.alias("hi"))
+
+    span = diagonal.withColumn("s", F.aggregate(nearest, start, add)).drop("near", "ps")
+    span = span.withColumn("coverage", F.size("s.seen") / F.col("grams")).where(F.col("coverage") >= least)
+    span = span.withColumn("best", F.max("coverage").over(around)).where("coverage = best")
+    last = F.col("s.hi") + (k - 1)
+    return span.select("doc_id", "sig", "template", "label", F.col("s.lo").alias("first_word"), last.alias("last_word"), "coverage").distinct()
 
 
 def stands(part: list[str]):  # noqa: ANN201

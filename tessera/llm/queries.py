@@ -92,7 +92,7 @@ def urls_sql() -> str:
 
 
 def licenses_sql() -> str:
-    """Words and k-gram joins in SQL; the same diagonals, bands and coverage."""
+    """Words and k-gram joins in SQL; coverage by a self-join of all hits, with neither windows nor merged diagonals."""
     rows = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(license_scan.TEMPLATES))
     phrases = ", ".join(f"('{p}', '{label}')" for p, label in license_scan.PHRASES)
     return f"""
@@ -107,13 +107,10 @@ tg AS (SELECT template, label, len(w) - 2 AS grams, unnest(range(1, len(w) - 1))
 tgram AS (SELECT template, label, grams, p - 1 AS p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS h FROM tg),
 hit AS (SELECT doc_id, template, label, grams, p, q, q - p AS d FROM gram JOIN tgram USING (h)),
 diag AS (SELECT DISTINCT doc_id, template, d FROM hit),
-step AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY doc_id, template ORDER BY d) <= 3 THEN 0 ELSE 1 END AS fresh FROM diag),
-band AS (SELECT doc_id, template, d, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY d) AS band FROM step),
 cover AS (
-  SELECT doc_id, template, label, band, count(DISTINCT p) / any_value(grams) AS coverage, max(q) + 2 - min(q) + 1 AS length, any_value(grams) AS grams
-  FROM hit JOIN band USING (doc_id, template, d) GROUP BY doc_id, template, label, band),
-found AS (
-  SELECT doc_id, max(coverage) AS best, list(DISTINCT label) AS more FROM cover WHERE coverage >= 0.75 AND length <= grams + 8 GROUP BY doc_id),
+  SELECT doc_id, template, diag.d, any_value(label) AS label, count(DISTINCT p) / any_value(grams) AS coverage
+  FROM diag JOIN hit USING (doc_id, template) WHERE abs(hit.d - diag.d) <= 3 GROUP BY doc_id, template, diag.d),
+found AS (SELECT doc_id, max(coverage) AS best, list(DISTINCT label) AS more FROM cover WHERE coverage >= 0.75 GROUP BY doc_id),
 phrase(p, label) AS (VALUES {phrases}),
 pw AS (SELECT label, string_split(p, ' ') AS p FROM phrase),
 place AS (
