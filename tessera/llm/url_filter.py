@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, ascii_lower
+from tessera.llm.common import Scratch, ascii_lower, checked_broadcast
 
 # The rules (host and path).
 BLOCK = ("com/en/", "example.net/de/8", "org/es/")
@@ -24,7 +24,11 @@ LISTED = tuple(
     f"{name}.example.{top}/" for name in ("ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")
 )
 HASHES = 4
-LARGEST = 1 << 26  # bits of one level at most: 8 MB
+SHAPES = 64  # forms of keys (host labels, length of path) in one list at most; each costs a look-up
+LARGEST = 1 << 28  # bits of one level at most: 32 MB, which every executor holds
+
+
+Keys = tuple[str, ...] | DataFrame
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -33,13 +37,17 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(url, parts, 1)), F.regexp_extract(url, parts, 2)
 
 
-def split_key(key: str) -> tuple[int, int]:
-    """A key's number of host labels and length of path (with its slash)."""
-    host, slash, path = key.partition("/")
-    return len(host.split(".")), len(slash + path)
+def shapes(listed: DataFrame) -> list[tuple[int, int]]:
+    """The pairs of number of host labels and length of path (with its slash) that occur in a list."""
+    host = F.substring_index("key", "/", 1)
+    rows = listed.select(F.size(F.split(host, "\\.")).alias("labels"), (F.length("key") - F.length(host)).alias("path")).distinct()
+    out = sorted(tuple(r) for r in rows.limit(SHAPES + 1).collect())
+    if len(out) > SHAPES:
+        raise ValueError(f"the list has more than {SHAPES} shapes of keys")
+    return out
 
 
-def candidates(host: Column, path: Column, keys: tuple[str, ...]) -> list[Column]:
+def candidates(host: Column, path: Column, forms: list[tuple[int, int]]) -> list[Column]:
     """Keys that could be listed: the host's last labels with the path's first characters.
 
     Only the combinations of label count and path length that occur in the list can match; one
@@ -47,7 +55,7 @@ def candidates(host: Column, path: Column, keys: tuple[str, ...]) -> list[Column
     """
     labels = F.split(host, "\\.")
     out = []
-    for count, length in sorted({split_key(k) for k in keys}):
+    for count, length in forms:
         suffix = F.array_join(F.slice(labels, F.greatest(F.size(labels) - count + 1, F.lit(1)), F.lit(count)), ".")
         fits = (F.size(labels) >= count) & (F.length(path) >= length)
         out.append(F.when(fits, F.concat(suffix, F.substring(path, 1, length))))
@@ -55,15 +63,17 @@ def candidates(host: Column, path: Column, keys: tuple[str, ...]) -> list[Column
 
 
 def place(key: Column, level: int, i: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(level)) + i * F.pmod(F.xxhash64(key, F.lit(-level)), F.lit(1 << 30)), F.lit(bits))
+    """Hash i of a key at a level: both parts are below `bits` before they are added."""
+    first, step = F.pmod(F.xxhash64(key, F.lit(level)), F.lit(bits)), F.pmod(F.xxhash64(key, F.lit(-level)), F.lit(bits))
+    return F.pmod(first + i * step, F.lit(bits))
 
 
 def bits_for(n: int, share: int = 10) -> int:
-    """A power of two of at least share bits a key."""
+    """A power of two of at least share bits a key; near LARGEST fewer, which costs levels and not exactness."""
     bits = max(64, 1 << math.ceil(math.log2(max(1, n) * share)))
-    if bits > LARGEST:
-        raise ValueError(f"a level of {n} keys exceeds {LARGEST} bits; use fewer bits a key or split the list")
-    return bits
+    if bits > LARGEST and 4 * n > LARGEST:
+        raise ValueError(f"{n} listed keys occur in the corpus: a level holds {LARGEST // 4} at most; judge the corpus in parts")
+    return min(bits, LARGEST)
 
 
 def encode(keys: DataFrame, level: int, bits: int) -> DataFrame:
@@ -87,15 +97,16 @@ def passes(key: Column, words: Column, level: int, bits: int) -> Column:
 class Cascade:
     """Exact membership of a list, for the keys of one corpus.
 
-    universe: a written table of all distinct keys of the corpus (key).  Building needs one anti-join
-    with the list, which is a parameter; judging needs none.
+    universe: a written table of all distinct keys of the corpus (key).  Building joins it once with
+    the list, a table (key) of any size; only listed keys that occur in the corpus are encoded.
+    Judging needs no join.
     """
 
-    def __init__(self, spark: SparkSession, listed: tuple[str, ...], universe: DataFrame, scratch: Scratch, most: int = 24):
+    def __init__(self, listed: DataFrame, universe: DataFrame, scratch: Scratch, most: int = 40):
         self.levels: list[tuple[DataFrame, int]] = []
-        inside = scratch.write(spark.createDataFrame([(k,) for k in sorted(set(listed))], "key string"))
-        outside = universe.join(F.broadcast(inside), "key", "left_anti")
-        mine, others, n = inside, outside, len(set(listed))
+        keys = checked_broadcast(listed.select("key").distinct())
+        mine = scratch.write(universe.join(keys, "key", "left_semi"))
+        others, n = universe.join(keys, "key", "left_anti"), mine.count()
         while n:
             level = len(self.levels) + 1
             if level > most:
@@ -115,25 +126,29 @@ class Cascade:
         return out
 
 
-def judge(pages: DataFrame, block: tuple = BLOCK, allow: tuple = ALLOW, listed: tuple = LISTED) -> DataFrame:
+def judge(pages: DataFrame, block: Keys = BLOCK, allow: Keys = ALLOW, listed: Keys = LISTED) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages (page_id, url).
 
-    The longest rule that fits decides (rules are distinct, so two of one length that fit one url are
-    equal).  Without a rule, a url under a listed key is blocked, any other allowed.  A null url, and
-    one without `://`, has an empty host and path and fits nothing.  Repeated rows are judged each; an
+    The three lists are tables with a column key (host and path prefix) or a few strings.  The longest
+    rule that fits decides (rules are distinct, so two of one length that fit one url are equal).
+    Without a rule, a url under a listed key is blocked, any other allowed.  A null url, and one
+    without `://`, has an empty host and path and fits nothing.  Repeated rows are judged each; an
     empty table gives an empty result.  Extra columns are ignored.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "urls")
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    lists = (block, allow, listed)
-    names = [[f"k{i}_{j}" for j, _ in enumerate(candidates(host, path, keys))] for i, keys in enumerate(lists)]
-    keys = [c.alias(n) for i, k in enumerate(lists) for n, c in zip(names[i], candidates(F.col("host"), F.col("path"), k), strict=True)]
+    lists = [x if isinstance(x, DataFrame) else spark.createDataFrame([(k,) for k in x], "key string") for x in (block, allow, listed)]
+    names, keys = [], []
+    for i, x in enumerate(lists):
+        own = candidates(F.col("host"), F.col("path"), shapes(x))
+        names.append([f"k{i}_{j}" for j in range(len(own))])
+        keys += [c.alias(n) for n, c in zip(names[i], own, strict=True)]
     rows = rows.select("page_id", "host", "path", *keys)
-    every = F.array_compact(F.array(*[n for group in names for n in group]))
+    every = F.array_compact(F.array(*[n for group in names for n in group])) if keys else F.array().cast("array<string>")
     universe = scratch.write(rows.select(F.explode(every).alias("key")).distinct())
-    cascades = [Cascade(spark, k, universe, scratch) for k in lists]
+    cascades = [Cascade(x, universe, scratch) for x in lists]
 
     def found(i: int, name: str) -> Column:
         return F.col(name).isNotNull() & cascades[i].holds(F.col(name))

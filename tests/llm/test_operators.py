@@ -368,11 +368,42 @@ def test_cascade_is_exact_over_its_universe(spark):
     listed = tuple(f"h{i}.example/" for i in range(0, 300, 7))
     scratch = Scratch(spark, "test")
     universe = scratch.write(spark.createDataFrame([(f"h{i}.example/",) for i in range(3000)], "key string"))
-    c = url_filter.Cascade(spark, listed, universe, scratch)
+    table = spark.createDataFrame([(k,) for k in (*listed, *listed, "h9999.example/")], "key string")
+    c = url_filter.Cascade(table, universe, scratch)
     got = {r["key"] for r in universe.where(c.holds(F.col("key"))).collect()}
     assert got == set(listed) and len(c.levels) >= 2
 
 
+def test_hashes_of_a_level_never_overflow(spark):
+    at = [url_filter.place(F.col("id").cast("string"), 1, i, url_filter.LARGEST).alias(f"p{i}") for i in range(url_filter.HASHES)]
+    low, high = spark.range(200_000).select(F.least(*[F.min(c) for c in at]), F.greatest(*[F.max(c) for c in at])).first()
+    assert 0 <= low and high < url_filter.LARGEST
+    assert url_filter.bits_for(0) == 64 and url_filter.bits_for(url_filter.LARGEST // 8) == url_filter.LARGEST
+
+
+def test_urls_of_a_listed_table_and_long_urls(spark):
+    listed = spark.createDataFrame([(f"h{i}.example/x/{i % 3}",) for i in range(50)] * 2, "key string")
+    urls = ["http://h7.example/x/1", "http://a.h7.example/x/1" + "y" * 100_000, "http://h7.example/x/2", "http://" + "a." * 5000 + "h8.example/x/2?q", "http://h7.example/x/1"]
+    df = spark.createDataFrame([(1, u) for u in urls] + [(1, urls[0])], "page_id long, url string")
+    got = sorted((r["path"][:5], r["verdict"]) for r in url_filter.judge(df, (), (), listed).collect())
+    assert got == [("/x/1", "block")] * 3 + [("/x/1y", "block"), ("/x/2", "allow"), ("/x/2", "block")]
+
+
+def test_licences_that_repeat_without_a_word_between(spark):
+    texts = ["all rights reserved " * n for n in range(1, 9)]
+    notice = license_scan.TEMPLATES[0][1]
+    texts += [f"{notice} " * 5, f"x {notice} y z {notice}", "lorem ipsum " * 50_000 + "all rights reserved " * 20_000]
+    rows = {r["doc_id"]: r for r in license_scan.scan(make(spark, texts)).collect()}
+    assert all(rows[i]["labels"] == "all-rights-reserved" and rows[i]["score"] == 1.0 for i in (*range(8), 10))
+    assert rows[8]["labels"] == rows[9]["labels"] == "mit"
+    found = [tuple(r) for r in license_scan.spans(make(spark, texts)).where("doc_id = 9 and template = 0").select("first_word", "last_word", "coverage").collect()]
+    assert sorted(found) == [(1, 5, 1.0), (8, 12, 1.0)]
+    # three words inserted into a notice, at two places
+    words = license_scan.TEMPLATES[1][1].split()
+    text = " ".join([*words[:8], "kindly", *words[8:14], "oh", "so", *words[14:]])
+    assert license_scan.scan(make(spark, [text])).first()["labels"] == "mit"
+
+
 def test_licenses(spark):
     texts = ["Released under the MIT License. mit license", "x the GNU General Public\nLicense", "All Rights reserved!", None, "", "Licensed under -- CC BY-NC 4.0.", "mit licensed"]
     texts += ["Permission is hereby granted, FREE of charge, to any lucky person obtaining a copy of this software and associated documentation files"]
