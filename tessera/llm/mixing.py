@@ -1,8 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Slots of `block` words each carry the points of the golden-ratio sequence.  A slot goes to the
-source whose stretch of the cumulative targets holds its point; slots of a source are ranked, and
-slot r takes block r (modulo the source's blocks) of the source's documents in shuffled order.
+A source's documents, shuffled, are cut into blocks of `block` words, and its target into slots of one
+block each.  Slots carry the points of the golden-ratio sequence; a slot goes to the source whose stretch
+of the cumulative slots holds its point.  Slots of a source are ranked, and slot r takes block r (modulo
+the source's blocks).  Where the sequence gives a source some slots less than its target needs, they
+close the schedule, and with them the part of a block that is left of the target; so small sources,
+too, come to their target.
 """
 
 from __future__ import annotations
@@ -11,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.common import Scratch, prefix_within
+from tessera.llm.common import Scratch, checked_broadcast, fresh, prefix_within
 
 GOLDEN = 0.6180339887498949
+BLOCK = 512  # words
 MOST = 3  # times that a word may be taken
 SPACE = "\\x20\\x09-\\x0D"
 
@@ -44,91 +48,122 @@ def targets(rows: DataFrame) -> DataFrame:
     return s.select("source", "source_size", target.alias("target"))
 
 
-def schedule(goal: DataFrame, block: int) -> DataFrame:
-    """source, block, uses: how many slots take each block of each source."""
+def goals(rows: DataFrame, block: int) -> DataFrame:
+    """targets() with take (the target in whole words), blocks, ranks (whole blocks to take, one by one
+    and over again), part_of (the block of which only a part is taken) and part (its words).  One row per source."""
+    g = targets(rows).withColumn("take", F.least(F.round("target").cast("long"), F.lit(MOST) * F.col("source_size")))
+    g = g.withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)))
+    size = F.greatest("source_size", F.lit(1))
+    rest = F.col("take") % size
+    g = g.withColumn("part_of", F.floor(rest / F.lit(block))).withColumn("part", rest - F.col("part_of") * F.lit(block))
+    return g.withColumn("ranks", F.floor(F.col("take") / size) * F.col("blocks") + F.col("part_of"))
+
+
+def slots(goal: DataFrame) -> DataFrame:
+    """id, source, rank: the schedule's slots in order; rank counts the slots of a source from 0.
+
+    goal: a written table of goals().  Points are looked up in a grid, so the number of sources, whose
+    stretches may be many in one cell, is not limited; the grid is broadcast only if it is small.
+    """
     spark = goal.sparkSession
-    goal = goal.withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)))
+    need = F.col("ranks") + (F.col("part") > 0).cast("long")
+    some = goal.select("source", need.alias("need")).where("need > 0")
+    n, count = some.agg(F.coalesce(F.sum("need"), F.lit(0)), F.count("*")).first()
     by = W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ends = goal.withColumn("end", F.sum("target").over(by))
-    total = goal.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"]
-    slots = int(round(total / block)) if total else 0
-    row = ends.agg(F.array_sort(F.collect_list(F.struct("end", F.col("source").isNull().alias("last"), "source"))).alias("a"))
-    bounds = [(r["end"], r["source"]) for r in row.first()["a"]]  # one entry per source
-    if not bounds:
-        bounds = [(0.0, None)]
-    last = bounds[-1][0] or 1.0
-    edge = F.array(*[F.lit(float(e) / float(last)) for e, _ in bounds[:-1]]) if len(bounds) > 1 else F.array().cast("array<double>")
-    names = F.array(*[F.lit(s).cast("string") for _, s in bounds])
+    ends = some.withColumn("hi", F.sum("need").over(by)).withColumn("lo", F.col("hi") - F.col("need"))
+    cells = max(64, 2 * count)
+    edge = [(F.col(c) / F.lit(float(n or 1))).alias(c) for c in ("lo", "hi")]
+    grid = ends.select("source", *edge)
+    grid = grid.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)))))
     i = F.col("id")
     point = i * F.lit(GOLDEN) - F.floor(i * F.lit(GOLDEN))
-    at = spark.range(0, max(0, slots)).select(i, (i / F.lit(65536)).cast("long").alias("chunk"), point.alias("u"))
-    at = at.withColumn("which", F.size(F.filter(edge, lambda e: e <= F.col("u"))))
-    at = at.select("id", "chunk", F.get(names, F.col("which")).alias("source"), F.lit(1).alias("one"))
-    ranked = prefix_within(at, ["source"], "chunk", ["id"], "one", "rank")
-    g = goal.select(F.col("source").alias("s"), "blocks")
-    ranked = ranked.join(F.broadcast(g), F.col("source").eqNullSafe(F.col("s"))).where(F.col("rank") < MOST * F.col("blocks"))
-    return ranked.groupBy("source", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("uses"))
-
-
-def mix_rows(docs: DataFrame, block: int = 128, rows_each: int = 4096) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of docs (doc_id, text, source)."""
+    at = spark.range(0, n).select(i, F.floor(i / F.lit(65536)).alias("chunk"), point.alias("u"))
+    at = at.withColumn("cell", F.floor(F.col("u") * cells)).join(checked_broadcast(grid, 100_000), "cell").where("u >= lo and u < hi")
+    at = at.select("id", "chunk", "source", F.lit(1).alias("one"))
+    return prefix_within(at, ["source"], "chunk", ["id"], "one", "rank").select("id", "source", "rank")
+
+
+def schedule(goal: DataFrame) -> DataFrame:
+    """source, block, uses, part: how many slots take each whole block of each source, and words of a part of it."""
+    g = goal.select(F.col("source").alias("s"), "blocks", "ranks", "part_of", "part")
+    ranked = slots(goal).join(checked_broadcast(g, 100_000), F.col("source").eqNullSafe(F.col("s"))).where("rank < ranks")
+    taken = ranked.groupBy("source", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("uses"))
+    taken = Scratch(goal.sparkSession, "schedule").write(taken)
+    done = taken.groupBy("source").agg(F.sum("uses").alias("done"))
+    late = g.join(done, F.col("s").eqNullSafe(F.col("source")), "left").drop("source").withColumn("done", F.coalesce("done", F.lit(0)))
+    late = late.where("done < ranks").select(F.col("s").alias("source"), "blocks", F.explode(F.sequence(F.col("done"), F.col("ranks") - 1)).alias("rank"))
+    late = late.select("source", (F.col("rank") % F.col("blocks")).alias("block"), F.lit(1).cast("long").alias("uses"))
+    none = F.lit(0).cast("long")
+    parts = goal.where("part > 0").select("source", F.col("part_of").alias("block"), none.alias("uses"), "part")
+    every = taken.unionByName(late).withColumn("part", none).unionByName(parts)
+    return every.groupBy("source", "block").agg(F.sum("uses").alias("uses"), F.sum("part").alias("part"))
+
+
+def mix_rows(docs: DataFrame, block: int = BLOCK, rows_each: int = 4096) -> DataFrame:
+    """doc_id, source, h, size, source_size, target, taken for every row of docs (doc_id, text, source); h hashes the text."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    rows = docs.select("doc_id", F.col("source").cast("string"), word_count(F.col("text").cast("string")).alias("size"))
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", F.col("source").cast("string"), F.xxhash64(text).alias("h"), word_count(text).alias("size"))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = scratch.write(rows.withColumn("key", key))
-    goal = scratch.write(targets(rows))
+    goal = scratch.write(goals(rows, block))
     parts = max(1, -(-rows.count() // rows_each))
+    # Copies of one id (or of the null one) are dealt by their texts, too.
     slot = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(parts)
     some = rows.where("size > 0").withColumn("bucket", F.shiftright(slot, 32))
-    placed = prefix_within(some, ["source"], "bucket", ["key", "doc_id", "size"], "size", "start")
+    some = some.withColumn("bucket", F.when(F.col("doc_id").isNull(), parts + F.pmod(F.xxhash64("h"), F.lit(parts))).otherwise(F.col("bucket")))
+    placed = prefix_within(some, ["source"], "bucket", ["key", "doc_id", "h"], "size", "start")
     placed = scratch.write(placed.drop("key", "bucket"))
-    uses = schedule(goal, block)
     first, final = F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")
     pieces = placed.select("source", "start", "size", F.explode(F.sequence(first, final)).alias("block"))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
-    pieces = pieces.select("source", "start", "block", words.alias("words"))
-    u = uses.select(F.col("source").alias("s"), F.col("block").alias("b"), "uses")
+    from_ = F.greatest("start", F.col("block") * block)
+    pieces = pieces.select("source", "start", "block", (from_ - F.col("block") * block).alias("at"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - from_).alias("words"))
+    u = schedule(goal).select(F.col("source").alias("s"), F.col("block").alias("b"), "uses", "part")
     got = pieces.join(u, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    got = got.groupBy(F.col("source").alias("s"), F.col("start").alias("at")).agg(F.sum(F.col("words") * F.col("uses")).alias("got"))
-    out = placed.join(got, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")), "left")
-    out = out.select("doc_id", "source", "size", F.coalesce("got", F.lit(0)).alias("taken"))
-    out = out.unionByName(rows.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken")))
-    g = F.broadcast(goal.withColumnRenamed("source", "s"))
-    return out.join(g, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", "taken")
+    words = F.col("words") * F.col("uses") + F.greatest(F.lit(0), F.least(F.col("part") - F.col("at"), F.col("words")))
+    got = got.groupBy(F.col("source").alias("s"), F.col("start").alias("from")).agg(F.sum(words).alias("got"))
+    out = placed.join(got, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("from")), "left")
+    out = out.select("doc_id", "source", "h", "size", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
+    out = out.unionByName(rows.where("size = 0").select("doc_id", "source", "h", "size", F.lit(0).cast("long").alias("taken")))
+    g = checked_broadcast(goal.select(F.col("source").alias("s"), "source_size", "target"), 100_000)
+    return out.join(g, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "h", "size", "source_size", "target", "taken")
 
 
-def mix(docs: DataFrame, block: int = 128) -> DataFrame:
+def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source).
 
     taken counts words with repeats, at most MOST times the document's size.  A null, empty or blank
     text has size 0 and takes nothing; null sources form a source of their own.  Repeated rows each
     have a place in the order; equal rows may swap theirs.  An empty table gives an empty result.
-    The order of a source's documents is that of md5(doc_id), so reruns agree.  Extra columns are ignored.
+    The order of a source's documents is that of md5(doc_id), rows without an id last, so reruns agree.
+    A source takes its target, rounded to whole words.  Extra columns are ignored.
     """
     return mix_rows(docs, block).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(docs: DataFrame, block: int = 128) -> DataFrame:
+def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each time that a document is taken.
 
     A document taken n times in whole comes n times; where the mix ends inside a document, one more
     row holds its first words only, joined by spaces (n_chars is set to what is left).
     """
     cols = docs.columns
-    size = word_count(F.col("text"))
-    same = W.partitionBy("doc_id", "source", "_size")
-    left = docs.withColumn("_size", size).withColumn("_k", F.row_number().over(same.orderBy(F.xxhash64("text"))))
-    right = mix_rows(docs, block).where("taken > 0").select("doc_id", "source", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    right = right.withColumn("_k", F.row_number().over(same.orderBy("_taken")))
-    r = right.select(*[F.col(c).alias(f"r{c}") for c in right.columns])
-    on = left["doc_id"].eqNullSafe(r["rdoc_id"]) & left["source"].eqNullSafe(r["rsource"]) & (left["_size"] == r["r_size"]) & (left["_k"] == r["r_k"])
-    times = F.expr("sequence(1, cast(ceil(r_taken / _size) as int))")
-    out = left.join(r, on).select(*cols, F.explode(times).alias("_t"), "_size", F.col("r_taken").alias("_got"))
-    rest = (F.col("_got") - (F.col("_t") - 1) * F.col("_size")).cast("int")
+    n, k, h, t, got = (fresh(docs, c) for c in ("size", "place", "hash", "turn", "taken"))
+    same = W.partitionBy("doc_id", "source", h)
+    left = docs.withColumn(n, word_count(F.col("text"))).withColumn(h, F.xxhash64(F.col("text").cast("string")))
+    left = left.withColumn(k, F.row_number().over(same.orderBy(n)))
+    right = mix_rows(docs, block).where("taken > 0").select(F.col("doc_id").alias("r_id"), F.col("source").alias("r_source"), F.col("h").alias("r_h"), F.col("taken").alias("r_taken"))
+    right = right.withColumn("r_k", F.row_number().over(W.partitionBy("r_id", "r_source", "r_h").orderBy("r_taken")))
+    r = right.select(F.struct("r_id", "r_source", "r_h", "r_k", "r_taken").alias(fresh(docs, "r")))
+    r_ = lambda c: F.col(f"{fresh(docs, 'r')}.r_{c}")
+    on = F.col("doc_id").eqNullSafe(r_("id")) & F.col("source").cast("string").eqNullSafe(r_("source")) & F.col(h).eqNullSafe(r_("h")) & (F.col(k) == r_("k"))
+    out = left.join(r, on).select(*cols, n, r_("taken").alias(got))
+    out = out.select("*", F.explode(F.sequence(F.lit(1), F.ceil(F.col(got) / F.col(n)).cast("int"))).alias(t))
+    rest = (F.col(got) - (F.col(t) - 1) * F.col(n)).cast("int")
     bare = F.regexp_replace("text", f"^[{SPACE}]+", "")
     cut = F.array_join(F.slice(F.split(bare, f"[{SPACE}]+"), F.lit(1), F.greatest(rest, F.lit(0))), " ")
-    out = out.withColumn("text", F.when(rest >= F.col("_size"), F.col("text")).otherwise(cut))
+    out = out.withColumn("text", F.when(rest >= F.col(n), F.col("text")).otherwise(cut))
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*cols)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import embeddings, html_extract, imatch, langid, license_scan, mixing, packing, queries, similar, simhash, toxicity, url_filter
 
+from tessera.llm.common import Scratch
+
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, h long, fp string, _k int"
 
@@ -244,6 +246,61 @@ def test_embeddings_recall_and_extremes(spark, monkeypatch):
     assert {got[n + i][0]["component_id"] for i in range(3)} == {n} and {r["component_id"] for i in (3, 4) for r in got[n + i]} == {n + 3}
 
 
+def test_mix_equals_a_plain_loop(spark):
+    """The words that a source gives are the first ones of its shuffled documents, over and over; small sources, too."""
+    rng = random.Random(9)
+    rows = [(i, sentence(rng, 40), f"s{i}") for i in range(6)]
+    rows += [(10 + i, sentence(rng, rng.randint(0, 90)), rng.choice(["big", "mid", "mid2", None])) for i in range(200)]
+    rows += [(10, rows[6][1], rows[6][2]), (None, sentence(rng, 30), "mid"), (None, sentence(rng, 31), "mid"), (900, " ", "only-blank")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, block=16).collect()
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(t.split())
+    target = {}
+    for r in got:
+        target.setdefault((r["source_size"], r["target"]), 0)
+        target[(r["source_size"], r["target"])] += r["taken"]
+    total = {}
+    for s, n in size.items():
+        total.setdefault(n, []).append(s)
+    assert all(taken == len(total[n]) * round(t) or len(total[n]) > 1 for (n, t), taken in target.items())
+    assert all(r["taken"] == 3 * 40 for r in got if r["doc_id"] is not None and r["doc_id"] < 6 and r["target"] == 120)
+    goal = {r["source_size"]: r["target"] for r in got}
+    for s in ("big", "mid", "mid2", None):
+        mine = [(d is None, hashlib.md5(("" if d is None else str(d)).encode()).hexdigest(), d, len(t.split())) for d, t, x in rows if x == s and t.split()]
+        if any(m[0] for m in mine):
+            continue  # rows without an id are ordered by hashes that only Spark computes
+        take, at, want = round(goal[size[s]]), 0, []
+        for _, _, d, n in sorted(mine):
+            want.append((d, take // size[s] * n + max(0, min(take % size[s] - at, n))))
+            at += n
+        source = {d: x for d, _, x in rows}
+        assert sorted((r["doc_id"], r["taken"]) for r in got if r["size"] and source.get(r["doc_id"], "?") == s) == sorted(want)
+    g = mixing.goals(df.select("source", mixing.word_count(F.col("text")).alias("size")), 16)
+    plan = mixing.slots(Scratch(spark, "test").write(g)).orderBy("id").collect()
+    assert [r["id"] for r in plan] == list(range(len(plan)))
+    seen = {}
+    for r in plan:
+        assert r["rank"] == seen.get(r["source"], 0)
+        seen[r["source"]] = r["rank"] + 1
+    need = {r["source"]: r["ranks"] + (r["part"] > 0) for r in g.collect()}
+    assert all(abs(seen.get(s, 0) - n) <= 3 for s, n in need.items())
+
+
+def test_mixed_documents_hold_the_words_taken(spark):
+    rng = random.Random(10)
+    rows = [(i % 37 or None, sentence(rng, rng.randint(0, 50)), rng.choice(["a", "b", None]), i, "k") for i in range(90)]
+    df = spark.createDataFrame([*rows, *rows[:5]], "doc_id long, text string, source string, size int, h string")
+    taken = mixing.mix_rows(df, 16).groupBy("doc_id", "source").agg(F.sum("taken").alias("n")).collect()
+    out = mixing.mixed_documents(df, 16)
+    assert out.columns == df.columns
+    words = {}
+    for r in out.collect():
+        words[(r["doc_id"], r["source"])] = words.get((r["doc_id"], r["source"]), 0) + len(r["text"].split())
+    assert words == {(r["doc_id"], r["source"]): r["n"] for r in taken if r["n"]}
+
+
 def test_mix_hits_targets_and_limits(spark):
     rng = random.Random(7)
     rows = [(i, sentence(rng, rng.randint(0, 400)), s) for i, s in enumerate(["a"] * 150 + ["b"] * 100 + [None] * 20 + ["c"] * 2)] + [(900, None, "c")]
