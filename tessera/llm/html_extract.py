@@ -1,8 +1,10 @@
 """Main text of web pages by two passes of rules over text blocks.
 
-Pass one decides long blocks by link density and stop-word density, and blocks in parts of the page
-that are never its article by their tags.  Pass two gives ambiguous short blocks the label of their
-nearest decided neighbours.
+Pass one decides long blocks by link density and stop-word density (by length and links alone where no
+block of the page has stop words of a known language), and blocks in parts of the page that are never
+its article by their tags and class names.  A class name does not hold for a part that contains the
+page's article or first heading, if there is no text outside of it.  Pass two gives ambiguous short
+blocks the label of their nearest decided neighbours.
 """
 
 from __future__ import annotations
@@ -60,26 +62,27 @@ STOPS = 0.12  # share of stop words from which a long block is text
 class Block:
     text: str
     linked: int
-    never: bool
+    never: bool  # by an element's name
+    hints: tuple[int, ...]  # elements around it whose class or id says so, from the outermost
     inside: bool
     heading: bool
     good: bool | None = None
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order, with what pass one needs to know of each."""
+def blocks_of(page: str) -> tuple[list[Block], set[int]]:
+    """Text blocks in page order with what pass one needs to know of each, and the hinted elements that hold an article."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, in a part that is never text, in an article
+    stack: list[tuple[str, bool, tuple[int, ...], bool]] = []  # element, never text, hinted elements, in an article
     parts: list[str] = []
-    linked, links, at = 0, 0, 0
+    linked, links, at, holds, hinted = 0, False, 0, set(), 0
 
     def close() -> None:
         nonlocal parts, linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            never, inside = stack[-1][1:] if stack else (False, False)
-            heading = any(n[0] in "hH" and n[1:].isdigit() for n, _, _ in stack[-3:])
-            out.append(Block(text, linked, never, inside, heading))
+            never, hints, inside = stack[-1][1:] if stack else (False, (), False)
+            heading = any(e[0][0] in "hH" and e[0][1:].isdigit() for e in stack[-3:])
+            out.append(Block(text, linked, never, hints, inside, heading))
         parts, linked = [], 0
 
     def add(piece: str) -> None:
@@ -88,6 +91,11 @@ def blocks_of(page: str) -> list[Block]:
         if links:
             linked += len(piece)
 
+    def leave(k: int) -> None:
+        nonlocal links
+        del stack[k:]
+        links = any(e[0] == "a" for e in stack)
+
     end = 0
     for m in TAG.finditer(page):
         if m.start() < end:
@@ -103,12 +111,10 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in BLOCK:
             close()
-        if name == "a":
-            links = 0 if sign else 1
         if sign:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    del stack[k:]
+                    leave(k)  # and whatever is still open inside, such as a link
                     break
             continue
         if name in VOID or m[3].endswith("/>"):
@@ -117,33 +123,60 @@ def blocks_of(page: str) -> list[Block]:
             stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
             at = end = stop.end() if stop else len(page)
             continue
-        if name in BLOCK and stack and stack[-1][0] == "p":
-            stack.pop()
-        never, inside = stack[-1][1:] if stack else (False, False)
-        if name in ("article", "main") and not never:
+        if name in BLOCK or name == "a":  # a paragraph ends where a block begins, a link where the next one does
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == ("a" if name == "a" else "p"):
+                    leave(k)
+                    break
+                if stack[k][0] in BLOCK:
+                    break
+        never, hints, inside = stack[-1][1:] if stack else (False, (), False)
+        if name in ("article", "main", "h1"):
+            holds.update(hints)
+        if name in ("article", "main") and not never and not hints:
             inside = True
         elif name in NEVER or (name == "header" and not inside):
             never = True
-        if not never and name not in ("html", "body", "article", "main") and len(m[3]) > 1:
-            never = any(HINTS.search(v.strip("\"'")) for v in NAMED.findall(m[3]))
-        stack.append((name, never, inside))
+        if not never and name not in ("html", "body", "article", "main") and len(m[3]) > 1 and any(HINTS.search(v.strip("\"'")) for v in NAMED.findall(m[3])):
+            hinted += 1
+            hints = (*hints, hinted)
+        stack.append((name, never, hints, inside))
+        links = links or name == "a"
     if at < len(page):
         add(page[at:])
     close()
-    return out
+    return out, holds
+
+
+def stop_share(text: str) -> float:
+    words = WORDS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def decide(blocks: list[Block]) -> None:
+def decide(blocks: list[Block], holds: set[int] = frozenset()) -> None:
     """Pass one: decided blocks get a label, ambiguous ones keep None."""
-    for b in blocks:
-        words = WORDS.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b.never or b.linked >= LINKS * len(b.text):
+    stops = [stop_share(b.text) for b in blocks]
+    known = any(len(b.text) >= SHORT and s >= STOPS for b, s in zip(blocks, stops, strict=True))
+    like_text = [
+        len(b.text) >= (SHORT if known else 2 * SHORT) and b.linked < LINKS * len(b.text) and (s >= STOPS or not known) for b, s in zip(blocks, stops, strict=True)
+    ]
+    left = set()  # hinted elements whose hint does not hold
+    while not any(t and not b.never and left.issuperset(b.hints) for b, t in zip(blocks, like_text, strict=True)):
+        held: dict[int, int] = {}
+        for b, t in zip(blocks, like_text, strict=True):
+            outer = next((h for h in b.hints if h not in left), None)
+            if t and not b.never and outer in holds:
+                held[outer] = held.get(outer, 0) + len(b.text)
+        if not held:
+            break
+        left.add(max(held, key=lambda h: (held[h], -h)))
+    for b, s, t in zip(blocks, stops, like_text, strict=True):
+        if b.never or not left.issuperset(b.hints) or b.linked >= LINKS * len(b.text):
             b.good = False
         elif b.inside:
-            b.good = True if len(b.text) >= SHORT or stops >= STOPS else None
+            b.good = True if len(b.text) >= SHORT or s >= STOPS else None
         elif len(b.text) >= SHORT:
-            b.good = stops >= STOPS
+            b.good = t
 
 
 def inherit(blocks: list[Block]) -> None:
@@ -175,8 +208,8 @@ def inherit(blocks: list[Block]) -> None:
 
 
 def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
-    decide(blocks)
+    blocks, holds = blocks_of(page or "")
+    decide(blocks, holds)
     inherit(blocks)
     return "\n".join(b.text for b in blocks if b.good)
 

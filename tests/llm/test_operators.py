@@ -394,6 +394,26 @@ def test_main_text():
     assert html_extract.main_text(menu + text + "<p>And so on.</p>" + text).count("\n") == 2
 
 
+def test_main_text_of_odd_pages():
+    long = "It is the kind of text that has a lot of the words of the language in it, and so on."
+    # a link that is never closed ends with its block
+    page = f"<p>See <a href='/x'>this<p>{long}</p><div><p>{long} <a>More</p><p>{long}</p></div>"
+    assert html_extract.main_text(page).count(long) == 3
+    # hints on the article's wrapper; those inside it hold
+    for wrapper in ('class="market-share"', 'id="search"', 'class="content widget"'):
+        page = f"<body><div {wrapper}><h1>Head</h1><p>{long}</p><div class=comments><p>{long} I think.</p></div></div><div class='ad'>{long}</div></body>"
+        assert html_extract.main_text(page) == f"Head\n{long}"
+    # a hinted part with neither article nor heading stays out, even if there is nothing else
+    assert html_extract.main_text(f"<div class=cookie-notice><p>{long}</p></div>") == ""
+    # languages without known stop words go by length and links
+    russian = "Это длинный абзац русского текста, в котором нет ни одного известного служебного слова, " * 2
+    menu = "<ul>" + "<li><a>Новости раздела</a>" * 20 + "</ul>"
+    assert html_extract.main_text(f"{menu}<div><p>{russian}</p></div>") == russian.strip()
+    # very long pages, deep nesting
+    assert len(html_extract.main_text(f"<article>{'<p>' + long + '</p>'}" * 20_000)) == 20_000 * (len(long) + 1) - 1
+    assert html_extract.main_text("<div>" * 3000 + f"<p>{long}</p>") == long
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "z"), (1, "u", PAGE, "z"), (2, None, None, None)], "page_id long, url string, html string, text string")
     rows = html_extract.main_texts(df).orderBy("page_id").collect()
