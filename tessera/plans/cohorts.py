@@ -185,7 +185,8 @@ def first_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("k", k).where("k <= 5").select("doc_id", "lang")
 
 
-REPS = 20
+REPS = 1000  # replicates of a bootstrap
+SUBSAMPLES, COHORT, PUBLIC = 200, 40, 12  # of a subsampling: replicates, rows of a source, and those of them that are public
 
 
 def resampled(s: DataFrame, strata: list[str], seed: str, reps: int = REPS) -> DataFrame:
@@ -239,14 +240,14 @@ def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "B3_cluster_bootstrap",
     f"""WITH {SCORED}, g AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM scored)),
-dr AS (SELECT rep, {h60_sql("'b3'", "rep", "i")} % n AS d FROM (SELECT *, unnest(range(0, 40)) AS rep FROM g)), bs AS (SELECT rep, s.y, s.s4 FROM dr JOIN g ON dr.d = g.i JOIN scored s ON s.source = g.source),
-ok AS (SELECT rep FROM bs GROUP BY rep HAVING count(DISTINCT y) = 2 ORDER BY rep LIMIT 20), v AS (SELECT * FROM bs WHERE rep IN (SELECT rep FROM ok)) SELECT {SUMMARY('auc')} FROM {rep_auc_sql('s4', 'v')}""",
+dr AS (SELECT rep, {h60_sql("'b3'", "rep", "i")} % n AS d FROM (SELECT *, unnest(range(0, {2 * REPS})) AS rep FROM g)), bs AS (SELECT rep, s.y, s.s4 FROM dr JOIN g ON dr.d = g.i JOIN scored s ON s.source = g.source),
+ok AS (SELECT rep FROM bs GROUP BY rep HAVING count(DISTINCT y) = 2 ORDER BY rep LIMIT {REPS}), v AS (SELECT * FROM bs WHERE rep IN (SELECT rep FROM ok)) SELECT {SUMMARY('auc')} FROM {rep_auc_sql('s4', 'v')}""",
 )
 def cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources are drawn (one row each); twice as many replicates as needed, the first 20 with both classes count."""
+    """Sources are drawn (one row each); twice as many replicates as needed, the first REPS with both classes count."""
     s = scored(spark, sf_dir).select("source", "y", "s4")
     g = s.select("source").distinct().withColumn("i", F.row_number().over(W.orderBy("source")) - 1).withColumn("n", F.count("*").over(W.partitionBy()))
-    d = g.select("i", "n", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("rep")).select("rep", F.pmod(h60("b3", F.col("rep"), F.col("i")), F.col("n")).alias("i"))
+    d = g.select("i", "n", F.explode(F.sequence(F.lit(0), F.lit(2 * REPS - 1))).alias("rep")).select("rep", F.pmod(h60("b3", F.col("rep"), F.col("i")), F.col("n")).alias("i"))
     times = d.join(g.select("i", "source"), "i").groupBy("rep", "source").agg(F.count("*").alias("times"))
     hist = s.groupBy("source", "s4").agg(F.sum("y").alias("p"), F.count("*").alias("k"))
     h = times.join(hist, "source").groupBy("rep", "s4").agg(F.sum(F.col("times") * F.col("p")).alias("p"), F.sum(F.col("times") * F.col("k")).alias("k"))
@@ -254,19 +255,19 @@ def cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     neg = F.col("k") - F.col("p")
     h = h.withColumn("tp", F.sum("p").over(down)).withColumn("all_pos", F.sum("p").over(every)).withColumn("all_neg", F.sum(neg).over(every))
     area = F.sum(neg * (F.col("tp") - F.col("p") + F.col("p") / 2.0)) / F.nullif(F.max("all_pos") * F.max("all_neg"), F.lit(0))
-    return h.groupBy("rep").agg(area.alias("auc")).where("auc is not null").orderBy("rep").limit(20).agg(*summary("auc"))
+    return h.groupBy("rep").agg(area.alias("auc")).where("auc is not null").orderBy("rep").limit(REPS).agg(*summary("auc"))
 
 
-SUB = f"""{SCORED}, r AS (SELECT rep, source, doc_id, s1, s2, s3, row_number() OVER (PARTITION BY rep, source ORDER BY {h60_sql("'b4'", "rep", "doc_id")}, doc_id) AS k FROM (SELECT *, unnest(range(0, 10)) AS rep FROM scored)),
-c AS (SELECT *, CASE WHEN k <= 5 THEN 'public' ELSE 'private' END AS part FROM r WHERE k <= 14),
+SUB = f"""{SCORED}, r AS (SELECT rep, source, doc_id, s1, s2, s3, row_number() OVER (PARTITION BY rep, source ORDER BY {h60_sql("'b4'", "rep", "doc_id")}, doc_id) AS k FROM (SELECT *, unnest(range(0, {SUBSAMPLES})) AS rep FROM scored)),
+c AS (SELECT *, CASE WHEN k <= {PUBLIC} THEN 'public' ELSE 'private' END AS part FROM r WHERE k <= {COHORT}),
 rk AS (SELECT rep, source, part, {avg_rank_sql("s1", "rep, source, part")} AS t, {avg_rank_sql("s2", "rep, source, part")} AS a, {avg_rank_sql("s3", "rep, source, part")} AS b FROM c),
 d AS (SELECT rep, source, part, CASE WHEN count(*) >= 3 THEN round((covar_pop(t, a) / nullif(stddev_pop(t) * stddev_pop(a), 0)) - (covar_pop(t, b) / nullif(stddev_pop(t) * stddev_pop(b), 0)), 9) END AS delta FROM rk GROUP BY ALL)"""
 
 
 def _subsamples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored(spark, sf_dir).select("source", "doc_id", "s1", "s2", "s3", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("rep"))
+    s = scored(spark, sf_dir).select("source", "doc_id", "s1", "s2", "s3", F.explode(F.sequence(F.lit(0), F.lit(SUBSAMPLES - 1))).alias("rep"))
     k = F.row_number().over(W.partitionBy("rep", "source").orderBy(h60("b4", F.col("rep"), F.col("doc_id")), "doc_id"))
-    c = s.withColumn("k", k).where("k <= 14").withColumn("part", F.when(F.col("k") <= 5, "public").otherwise("private"))
+    c = s.withColumn("k", k).where(F.col("k") <= COHORT).withColumn("part", F.when(F.col("k") <= PUBLIC, "public").otherwise("private"))
     rank = lambda x: R.average_rank(F.col(x), "rep", "source", "part").alias(f"r{x}")
     d = c.select("rep", "source", "part", rank("s1"), rank("s2"), rank("s3")).groupBy("rep", "source", "part")
     return d.agg(F.when(F.count("*") >= 3, r9(correlation("rs1", "rs2") - correlation("rs1", "rs3"))).alias("delta"))
@@ -288,13 +289,13 @@ def subsampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "B5_B8_small_subset_sensitivity",
     f"""WITH {SUB}, n AS (SELECT source, count(*) AS n FROM scored GROUP BY source), v AS (SELECT source, count(delta) AS valid, count(*) - count(delta) AS invalid, avg(CAST(delta > 0 AS INT)) AS positive FROM d WHERE part = 'private' GROUP BY source)
-SELECT n.source, CASE WHEN n < 20 THEN 'not_run_too_few' ELSE 'ok' END AS status, CASE WHEN n >= 20 THEN valid END AS valid, CASE WHEN n >= 20 THEN invalid END AS invalid, round(CASE WHEN n >= 20 THEN positive END, 9) AS positive_fraction FROM n JOIN v ON n.source = v.source""",
+SELECT n.source, CASE WHEN n < {COHORT} THEN 'not_run_too_few' ELSE 'ok' END AS status, CASE WHEN n >= {COHORT} THEN valid END AS valid, CASE WHEN n >= {COHORT} THEN invalid END AS invalid, round(CASE WHEN n >= {COHORT} THEN positive END, 9) AS positive_fraction FROM n JOIN v ON n.source = v.source""",
 )
 def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = scored(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
     v = _subsamples(spark, sf_dir).where("part = 'private'").groupBy("source")
     v = v.agg(F.count("delta").alias("valid"), (F.count("*") - F.count("delta")).alias("invalid"), F.avg((F.col("delta") > 0).cast("int")).alias("p"))
-    run = F.col("n") >= 20
+    run = F.col("n") >= COHORT
     only = lambda c: F.when(run, F.col(c))
     return n.join(v, "source").select("source", F.when(run, "ok").otherwise("not_run_too_few").alias("status"), only("valid").alias("valid"), only("invalid").alias("invalid"), r9(only("p")).alias("positive_fraction"))
 

@@ -201,9 +201,11 @@ def pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators import models as L
 
-    e = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") == 0).cast("double").alias("y"), *[F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(8)])
+    t = table(spark, sf_dir, "embeddings")
+    n = t.agg(F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()[0]
+    e = t.select("vec_id", (F.col("label") == 0).cast("double").alias("y"), *[F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(n)])
     e = e.withColumn("fold", (F.col("vec_id") % 2).cast("int"))
-    return L.cross_fitted(e, [f"e{i}" for i in range(8)], "y", "fold", 2, L.perceptron("y", 8)).select("vec_id", r9("oof").alias("oof"))
+    return L.cross_fitted(e, [f"e{i}" for i in range(n)], "y", "fold", 2, L.perceptron("y", n)).select("vec_id", r9("oof").alias("oof"))
 
 
 @query("H3_frame_fingerprint")
