@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.contracts import require
+
 
 def row_text(*cols: str) -> Column:
     """A row as canonical text: columns in the given order, null as \\N, joined by commas."""
@@ -59,22 +61,30 @@ def verified_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return out.select("name", state.alias("state"))
 
 
-def semantic_hash(df: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """H4: sha256 over ids and IEEE-754 bits in the order of the key; for tables of bounded size."""
-    import hashlib
-    import struct
+def packed_text(c: Column | str) -> Column:
+    """The UTF-8 bytes of a text after their number, as a big-endian unsigned 32-bit integer."""
+    data = F.encode(F.col(c) if isinstance(c, str) else c, "UTF-8")
+    return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(data)), 8, "0")), data)
+
+
+@F.pandas_udf("binary")
+def _big_endian(v: pd.Series) -> pd.Series:
+    raw = v.astype("float64").to_numpy(dtype=">f8").tobytes()
+    return pd.Series([raw[i : i + 8] for i in range(0, len(raw), 8)])
 
-    @F.pandas_udf("string")
-    def digest(tables: pd.Series) -> pd.Series:
-        def one(rows) -> str:  # noqa: ANN001
-            h = hashlib.sha256()
-            for r in sorted(rows, key=lambda r: r["k"]):
-                name = str(r["k"]).encode()
-                h.update(struct.pack(">I", len(name)) + name)
-                h.update(b"".join(struct.pack(">d", float("nan") if v is None else v) for v in r["v"]))
-            return h.hexdigest()
 
-        return tables.map(one)
+def packed_double(c: Column | str) -> Column:
+    """The eight big-endian IEEE-754 bytes of a double; null: not a number.  No SQL function has them."""
+    return _big_endian(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("double"), F.lit(float("nan"))))
 
-    row = F.struct(F.col(key).alias("k"), F.array(*[F.col(c).cast("double") for c in values]).alias("v"))
-    return df.agg(F.collect_list(row).alias("rows")).select(digest("rows").alias("digest"))
+
+def semantic_hash(df: DataFrame, key: str, values: list[str], most: int = 1_000_000) -> DataFrame:
+    """H4: sha256 over ids and IEEE-754 bits in the order of the key.
+
+    One digest over all rows in order needs them together, so a table of more than `most` rows raises;
+    frame_fingerprint() is for tables of any size.
+    """
+    require(df.limit(most + 1).count() <= most, "table_size", f"more than {most} rows")
+    rows = df.select(F.col(key).alias("k"), F.concat(packed_text(F.col(key).cast("string")), *[packed_double(c) for c in values]).alias("b"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", F.hex("b").alias("b")))), lambda r: r["b"])
+    return rows.agg(F.sha2(F.unhex(F.array_join(ordered, "")), 256).alias("digest"))

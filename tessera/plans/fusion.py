@@ -208,12 +208,23 @@ def probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.cross_fitted(e, [f"e{i}" for i in range(n)], "y", "fold", 2, L.perceptron("y", n)).select("vec_id", r9("oof").alias("oof"))
 
 
-@query("H3_frame_fingerprint")
+@query(
+    "H3_frame_fingerprint",
+    """WITH h AS (SELECT sha256(n_nationkey || ',' || n_name || ',' || n_regionkey) AS h FROM nation),
+w AS (SELECT count(*) AS n, sum(('0x' || substr(h, 1, 16))::UBIGINT::HUGEINT) AS a, sum(('0x' || substr(h, 17, 16))::UBIGINT::HUGEINT) AS b, sum(('0x' || substr(h, 33, 16))::UBIGINT::HUGEINT) AS c, sum(('0x' || substr(h, 49, 16))::UBIGINT::HUGEINT) AS d FROM h)
+SELECT sha256(n || ',' || a || ',' || b || ',' || c || ',' || d) AS fingerprint, n FROM w""",
+)
 def frame_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.frame_fingerprint(table(spark, sf_dir, "nation"), "n_nationkey", "n_name", "n_regionkey")
 
 
-@query("H4_semantic_hash")
+@query(
+    "H4_semantic_hash",
+    """WITH b AS (SELECT s_suppkey AS k, encode(CAST(s_suppkey AS VARCHAR)) AS id, CAST(CAST(CAST(s_acctbal AS DOUBLE) AS BIT) AS VARCHAR) AS bits FROM supplier),
+h AS (SELECT k, lpad(hex(octet_length(id)), 8, '0') || hex(id) || array_to_string(list_transform(range(0, 16), lambda i: substr('0123456789ABCDEF',
+      1 + 8 * CAST(substr(bits, 4 * i + 1, 1) AS INT) + 4 * CAST(substr(bits, 4 * i + 2, 1) AS INT) + 2 * CAST(substr(bits, 4 * i + 3, 1) AS INT) + CAST(substr(bits, 4 * i + 4, 1) AS INT), 1)), '') AS x FROM b)
+SELECT sha256(from_hex(string_agg(x, '' ORDER BY k))) AS digest FROM h""",
+)
 def semantic_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.semantic_hash(table(spark, sf_dir, "supplier"), "s_suppkey", ["s_acctbal"])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -145,8 +146,11 @@ def report(rows: DataFrame, title: str, most: int = 200) -> str:
     return "\n".join([*lines, *("| " + " | ".join(str(r[c]) for c in cols) + " |" for r in got)]) + "\n"
 
 
-def tensors(spark: SparkSession, path: str, member: str) -> DataFrame:
-    """Rows of an array in .npz shards as (shard, row, values); non-finite values raise."""
+def tensors(spark: SparkSession, path: str, member: str, expected: tuple[dict[str, int], int, str] | None = None) -> DataFrame:
+    """Rows of an array in .npz shards as (shard, row, values); non-finite values raise.
+
+    expected: rows of each shard, values of a row and their type; a shard that differs raises.
+    """
 
     def rows(batches):  # noqa: ANN001, ANN202
         import io
@@ -157,6 +161,8 @@ def tensors(spark: SparkSession, path: str, member: str) -> DataFrame:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
                 a = np.load(io.BytesIO(content), allow_pickle=False)[member]
+                if expected and (a.shape, str(a.dtype)) != ((expected[0][name.rsplit("/", 1)[-1]], expected[1]), expected[2]):
+                    raise ValueError(f"{name} holds {a.shape} of {a.dtype}")
                 if not np.isfinite(a).all():
                     raise ValueError(f"{name} holds values that are not finite")
                 flat = a.reshape(len(a), -1).astype("float32")
@@ -164,3 +170,33 @@ def tensors(spark: SparkSession, path: str, member: str) -> DataFrame:
 
     f = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
     return f.mapInPandas(rows, "shard string, row long, values array<float>")
+
+
+def atomic_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A file, whole or absent: written under another name in the same folder and renamed; an existing one raises."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, part = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.part")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    require(not fs.exists(target), "exists", path)
+    out = fs.create(part, False)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    require(fs.rename(part, target), "rename", path)
+
+
+def sealed_tensors(spark: SparkSession, path: str, member: str, manifest: DataFrame, width: int, dtype: str = "float32") -> DataFrame:
+    """tensors() of shards that agree with a manifest (shard, start, stop, sha256).
+
+    The shards are those of the manifest, byte by byte; their ranges leave no gap from 0, and each has
+    stop - start rows of `width` values of the given type.  Anything else raises.
+    """
+    ranges = sorted((r["start"], r["stop"], r["shard"]) for r in manifest.collect())  # one row a shard
+    require(all(a[1] == b[0] for a, b in zip(ranges, ranges[1:], strict=False)) and (not ranges or ranges[0][0] == 0), "ranges", str(ranges[:4]))
+    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path)
+    there = f.select(F.element_at(F.split("path", "/"), -1).alias("shard"), F.sha2("content", 256).alias("found"))
+    bad = there.join(manifest.select("shard", "sha256"), "shard", "full_outer").where(~F.col("found").eqNullSafe(F.col("sha256"))).limit(3).collect()
+    require(not bad, "seal", str([r["shard"] for r in bad]))
+    rows = {shard: stop - start for start, stop, shard in ranges}
+    return tensors(spark, path, member, (rows, width, dtype))
