@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.contracts import require
 
@@ -67,7 +68,6 @@ def packed_text(c: Column | str) -> Column:
     return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(data)), 8, "0")), data)
 
 
-@F.pandas_udf("binary")
 def _big_endian(v: pd.Series) -> pd.Series:
     raw = v.astype("float64").to_numpy(dtype=">f8").tobytes()
     return pd.Series([raw[i : i + 8] for i in range(0, len(raw), 8)])
@@ -75,7 +75,8 @@ def _big_endian(v: pd.Series) -> pd.Series:
 
 def packed_double(c: Column | str) -> Column:
     """The eight big-endian IEEE-754 bytes of a double; null: not a number.  No SQL function has them."""
-    return _big_endian(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("double"), F.lit(float("nan"))))
+    pack = F.pandas_udf(_big_endian, T.BinaryType())
+    return pack(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("double"), F.lit(float("nan"))))
 
 
 def semantic_hash(df: DataFrame, key: str, values: list[str], most: int = 1_000_000) -> DataFrame:

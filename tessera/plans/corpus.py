@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.hashing import h60_sql
+from tessera.functions.hashing import h60, h60_sql
 from tessera.operators import arrays as A
 from tessera.operators import sequences as Q
 from tessera.operators import text as D
 from tessera.plans.base import r9
-from tessera.registry import query, table
+from tessera.registry import query, spread, table
 
 
 @query("D1_exact_dedup", "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY sha256(text) ORDER BY lang, doc_id) AS k FROM documents) WHERE k = 1")
@@ -44,12 +44,12 @@ s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(ran
 def _shingled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ASCII tokens only, so that both engines' \\w agree."""
     w = F.regexp_extract_all(F.lower(F.regexp_replace("text", r"[^\x00-\x7F]", "")), F.lit(D.TOKEN), F.lit(0))
-    return table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).select("doc_id", D.shingles(F.col("w")).alias("s"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", w.alias("w")).select("doc_id", D.shingles(F.col("w")).alias("s"))
 
 
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the hashes of their 5-token shingles."""
-    d = table(spark, sf_dir, "documents").select("doc_id", D.tokens(F.col("text")).alias("w"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", D.tokens(F.col("text")).alias("w"))
     return d.select("doc_id", D.shingle_hashes(F.col("w")).alias("s"))
 
 
@@ -189,19 +189,29 @@ def token_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SHARD = 4096  # rows of a shard that is cut into batches, on average
+
+
 @query("Q9_padded_batches")
 def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy batches of ascending length inside each source's shard: id, length, batch."""
+    """Greedy batches of ascending length inside each source's shards: id, length, shard, batch.
+
+    A source has as many shards as keep them at SHARD rows on average, so what one task holds (ids and
+    lengths) does not grow with the source.
+    """
     from tessera.operators.cohort import batches
+    from tessera.operators.joins import small
 
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.size(F.split("text", " ", -1)).alias("n"))
+    shards = d.groupBy(F.col("source").alias("s")).agg(F.ceil(F.count("*") / F.lit(SHARD)).alias("shards"))
+    d = d.join(small(shards), F.col("source").eqNullSafe(F.col("s")))
+    d = d.select("doc_id", "source", "n", F.pmod(h60("q9", F.col("doc_id")), F.col("shards")).cast("int").alias("shard"))
 
-    def run(pdf):  # noqa: ANN001, ANN202
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "doc_id"])
-        return pdf.assign(batch=list(batches(pdf["n"].tolist(), 16384)))[["doc_id", "source", "n", "batch"]]
+        return pdf.assign(batch=list(batches(pdf["n"].tolist(), 16384)))[["doc_id", "source", "n", "shard", "batch"]]
 
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("shard")
-    return d.select("*", shard).groupBy("source", "shard").applyInPandas(lambda p: run(p), "doc_id long, source string, n int, batch int")
+    return d.groupBy("source", "shard").applyInPandas(run, "doc_id long, source string, n int, shard int, batch int")
 
 
 @query(
@@ -218,7 +228,7 @@ def loo_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     a context is rare among the others, the distribution is uniform.
     """
     c = F.split(F.lower("text"), "")
-    d = table(spark, sf_dir, "documents").where(F.length("text") > 1).select("doc_id", "lang", c.alias("c"))
+    d = spread(table(spark, sf_dir, "documents")).where(F.length("text") > 1).select("doc_id", "lang", c.alias("c"))
     n = F.size("c")
     d = d.select("doc_id", "lang", F.explode(F.arrays_zip(F.slice("c", F.lit(1), n - 1).alias("a"), F.slice("c", F.lit(2), n - 1).alias("b"))).alias("p"))
     local = d.groupBy("doc_id", "lang", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("k"))

@@ -160,6 +160,114 @@ def test_minhash_pairs_against_all_pairs(spark):
     assert all(root[i] == root[j] for i, j in want if sorted(sets[i]) == sorted(sets[j]))
 
 
+def test_simhash_bits_are_majorities(spark):
+    import random
+
+    rng = random.Random(5)
+    sets = [[rng.getrandbits(63) - (1 << 62) for _ in range(rng.randint(0, 12))] for _ in range(40)]
+    got = {r["k"]: r["b"] for r in frame(spark, list(enumerate(sets)), "k int, s array<long>").select("k", D.simhash(F.col("s")).alias("b")).collect()}
+    assert got == {k: sum(1 << i for i in range(63) if s and 2 * sum(x >> i & 1 for x in s) >= len(s)) for k, s in enumerate(sets)}
+
+
+def test_simhash_groups_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    xs = [rng.getrandbits(62) for _ in range(50)]
+    xs += [x ^ sum(1 << b for b in rng.sample(range(60), rng.randint(0, 8))) for x in xs for _ in range(2)]
+    df = frame(spark, list(enumerate(xs)), "k long, b long")
+    got = {r["node"]: r["group"] for r in D.groups(df, "k", D.simhash_pairs(df, "k", "b", 6, 7)).collect()}
+    group = list(range(len(xs)))
+    while (low := [min(group[j] for j, b in enumerate(xs) if (a ^ b).bit_count() <= 6) for a in xs]) != group:
+        group = low
+    assert got == dict(enumerate(group))
+
+
+def test_bottom_k_groups_against_all_pairs(spark, tmp_path):
+    import random
+
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(rng.randint(40, 120))) for _ in range(40)]
+    texts += [t.rsplit(" ", 1)[0] for t in texts[:20]] + texts[:10] + ["", ""]
+    frame(spark, list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["group"] for r in QUERIES["D8_bottom_k_groups"](spark, str(tmp_path)).collect()}
+    near = sum(got[40 + i] == got[i] for i in range(20))  # a lost shingle in the first band shifts all bands
+    assert near >= 16 and all(got[60 + i] == got[i] for i in range(10)) and got[71] == got[70]
+    assert len(set(got.values())) == 41 + 20 - near
+
+
+def test_padded_batches_fill_their_budget(spark, tmp_path):
+    rows = [(i, f"s{i % 3}" if i % 4 else None, "w " * (i * 37 % 900)) for i in range(400)]
+    frame(spark, rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["Q9_padded_batches"](spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(400))
+    shards = {}
+    for r in out:
+        shards.setdefault((r["source"], r["shard"]), []).append((r["n"], r["doc_id"], r["batch"]))
+    for shard in shards.values():
+        batch, inside = 0, 0
+        for n, _, b in sorted(shard):
+            if inside and n * (inside + 1) > 16384:
+                batch, inside = batch + 1, 0
+            inside += 1
+            assert b == batch
+
+
+def test_character_weights_of_tokens(spark, tmp_path):
+    frame(spark, [(1, 'ab 12 "x y" a1'), (2, ""), (3, "7 . b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["weight"], r["tokens"], r["heavy"]) for r in QUERIES["Q12_Q14_character_weights"](spark, str(tmp_path)).collect()}
+    # ab 2 x 1; 12 2 x 0.2; the quoted five 0.5 each; a1 1 and 0.2, as numbers count inside identifiers, too
+    assert got == {1: (pytest.approx(2 + 0.4 + 2.5 + 1.2), 5, 2), 2: (0.0, 0, 0), 3: (pytest.approx(1.2), 3, 1)}
+
+
+def test_ridge_equals_its_normal_equations(spark):
+    import numpy as np
+    from tessera.operators import models as L
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 2)) * [1.0, 5.0]
+    y = x @ [0.5, -0.2] + 0.1 * rng.standard_normal(60) + 2
+    df = frame(spark, [(i, float(a), float(b), float(t), i % 3) for i, ((a, b), t) in enumerate(zip(x, y))], "doc_id long, a double, b double, y double, fold int")
+    got = {r["doc_id"]: r["oof"] for r in L.cross_fitted(df, ["a", "b"], "y", "fold", 3, L.ridge("y", 1.0)).collect()}
+    plain = {}
+    for k in range(3):
+        train = np.arange(60) % 3 != k
+        design = np.column_stack([np.ones(train.sum()), x[train]])
+        w = np.linalg.lstsq(design, y[train], rcond=None)[0]
+        plain |= {i: w[0] + x[i] @ w[1:] for i in np.flatnonzero(~train)}
+    got_, want = np.array([got[i] for i in range(60)]), np.array([plain[i] for i in range(60)])
+    assert np.corrcoef(got_, want)[0, 1] > 0.99 and np.abs(got_ - y).mean() < np.abs(y - y.mean()).mean()
+
+
+def test_sealed_tensors_raise_on_any_difference(spark, tmp_path):
+    import hashlib
+    import io
+
+    import numpy as np
+    from tessera.sources import readers as S
+
+    def shard(a):
+        buffer = io.BytesIO()
+        np.savez(buffer, values=a)
+        return buffer.getvalue()
+
+    raw = [shard(np.ones((3, 2), np.float32)), shard(np.zeros((2, 2), np.float32)), shard(np.zeros((2, 2)))]
+    for k, content in enumerate(raw):
+        S.atomic_bytes(spark, f"file://{tmp_path}/{k // 2}/s{k % 2}.npz", content)
+    with pytest.raises(K.ContractError, match="exists"):
+        S.atomic_bytes(spark, f"file://{tmp_path}/0/s0.npz", b"")
+    seal = lambda rows: frame(spark, rows, "shard string, start long, stop long, sha256 string")
+    sha = [hashlib.sha256(r).hexdigest() for r in raw]
+    good = [("s0.npz", 0, 3, sha[0]), ("s1.npz", 3, 5, sha[1])]
+    assert S.sealed_tensors(spark, f"{tmp_path}/0", "values", seal(good), 2).count() == 5
+    for bad, code in (([good[0]], "seal"), ([good[0], ("s1.npz", 4, 6, sha[1])], "ranges"), ([good[0], ("s1.npz", 3, 5, sha[0])], "seal")):
+        with pytest.raises(K.ContractError) as e:
+            S.sealed_tensors(spark, f"{tmp_path}/0", "values", seal(bad), 2)
+        assert e.value.code == code
+    with pytest.raises(Exception, match="float64"):
+        S.sealed_tensors(spark, f"{tmp_path}/1", "values", seal([("s0.npz", 0, 2, sha[2])]), 2).collect()
+
+
 def test_groups_are_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (7, 8), (8, 9), (9, 3)]
     nodes = frame(spark, [(i,) for i in range(1, 11)], "id long")
