@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.registry import spread
 from tessera.llm import embeddings, html_extract, imatch, langid, license_scan, mixing, packing, simhash, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt over all cores if it is in fewer files than these."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def vocabulary_path() -> str:

@@ -22,6 +22,7 @@ from tessera.llm.common import annotate, crc_mod, hash_sample
 
 WINDOW, STRIDE = 48, 24  # words
 CHARS = 16  # longer runs of word characters are read as several words
+PIECES = 5  # of a long training text
 CODES = 384  # character inputs: 0 pads, ASCII as is, the rest folded into 256 classes
 WORD = re.compile(r"\w{1,16}")
 FIELDS = [T.StructField("_toxicity", T.DoubleType())]
@@ -64,33 +65,43 @@ def windows(ids: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_label: int, longest: int) -> pd.DataFrame:
-    """Training rows: of each label at most per_label texts of at most `longest` characters.
+    """Training rows: of each label per_label texts at most, of each text `longest` characters at most.
 
-    They come in the order of a hash of the id.  Rows whose crc32(doc_id as text) mod 5 is 0 are
-    held out.  Labels other than 0 and 1 are ignored; a doc_id with several labels counts as 1 if any is.
+    Only documents that have a label and a text are drawn, in the order of a hash of the id.  Of a longer
+    text, PIECES pieces are taken at evenly spaced places.  Rows whose crc32(doc_id as text) mod 5 is 0
+    are held out.  Labels other than 0 and 1 are ignored; a doc_id with several labels counts as 1 if
+    any is.  The driver gets 2 * per_label * longest characters at most.
     """
     y = labels.where(F.col("toxic").isin(0, 1)).where(crc_mod(F.col("doc_id"), 5) != 0)
     y = y.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    size = F.length("text")
-    ids = docs.where(crc_mod(F.col("doc_id"), 5) != 0).where((size > 0) & (size <= longest)).select("doc_id", "text")
-    chosen = hash_sample(y, "toxic", F.col("doc_id"), 2 * per_label).select("doc_id", "toxic", "_k")
-    rows = ids.join(F.broadcast(chosen), "doc_id").toPandas()  # at most 4 * per_label ids
-    rows = rows.sort_values(["toxic", "_k", "doc_id", "text"])
-    return rows.groupby("toxic").head(per_label).reset_index(drop=True)
+    texts = docs.where(crc_mod(F.col("doc_id"), 5) != 0).where(F.length("text") > 0).select("doc_id", "text")
+    # Ids of two columns of numbers meet before any text is read.
+    both = texts.select("doc_id").join(y, "doc_id")
+    chosen = hash_sample(both.distinct(), "toxic", F.col("doc_id"), per_label).select("doc_id", "toxic", "_k")
+    n, part = F.length("text"), longest // PIECES
+    cut = F.concat_ws(" ", *[F.substring(F.col("text"), (F.floor((n - part) * i / (PIECES - 1)) + 1).cast("int"), F.lit(part)) for i in range(PIECES)])
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "_k", F.when(n > longest, cut).otherwise(F.col("text")).alias("text"))
+    rows = rows.groupBy("toxic", "_k", "doc_id").agg(F.min("text").alias("text"))  # of repeated ids, one text
+    return rows.toPandas().sort_values(["toxic", "_k"]).reset_index(drop=True)
 
 
 def fit(
     rows: pd.DataFrame,
     hidden: int = 8,
-    char_hidden: int = 8,
-    steps: int = 360,
-    docs_each: int = 8,
+    char_hidden: int = 12,
+    steps: int = 540,
+    docs_each: int = 12,
     windows_each: int = 8,
     vocabulary: int = 2000,
+    least_share: float = 0.05,
     rate: float = 0.02,
     seed: int = 11,
 ) -> dict:
-    """Train on texts with a 0/1 label each; a text's logit is the soft maximum over its windows."""
+    """Train on texts with a 0/1 label each; a text's logit is the soft maximum over its windows.
+
+    Words in least_share of the texts or more have a vector of their own (vocabulary of them at most);
+    rarer ones, which would be learned by heart, enter by their characters alone.
+    """
     rng = np.random.default_rng(seed)
     texts = [words_of(t) for t in rows["text"]]
     y = rows["toxic"].to_numpy(int) if len(rows) else np.zeros(0, int)
@@ -98,7 +109,7 @@ def fit(
     if not all(map(len, by)):
         return {"prior": float(y.mean()) if len(y) else 0.0}
     seen = Counter(w for t in texts for w in set(t))
-    known = {w: i + 1 for i, (w, c) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:vocabulary]) if c >= 5}
+    known = {w: i + 1 for i, (w, c) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:vocabulary]) if c >= max(5, least_share * len(texts))}
     h, ch = hidden, char_hidden
     p = {
         "cf": nn.init(rng, 3 * ch, CODES, scale=0.3),
@@ -315,7 +326,7 @@ def scorer(model, cached: int = 60_000):  # noqa: ANN001, ANN201
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, longest: int = 20_000, **kw) -> dict:  # noqa: ANN003
-    """Fit on a bounded sample: per_label texts of each label, none longer than `longest`."""
+    """Fit on a bounded sample: per_label texts of each label, `longest` characters of each (see sample())."""
     return fit(sample(docs, labels, per_label, longest), **kw)
 
 

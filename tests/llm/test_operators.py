@@ -632,3 +632,19 @@ def test_toxicity(spark):
     assert [out[i]["score"] for i in (900, 901, 902)] == [0, 0, 0] and out[903]["predicted"] == 0
     assert toxicity.toxicity(df.where("doc_id < 0"), lab).count() == 0
     assert toxicity.toxicity(df, lab.where("toxic > 1")).count() == len(rows)
+
+
+def test_toxicity_sample(spark):
+    """Labels of absent documents take no place; long texts are cut, not left out; ties and repeats are settled."""
+    rows = [(i, f"t{i} " * (2000 if i == 1 else 3)) for i in range(40)] + [(2, "again"), (2, "again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.range(100_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    got = toxicity.sample(df, labels.union(labels), 50, 100)
+    want = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(got["doc_id"]) == want and all(got["toxic"] == got["doc_id"] % 2) and got["text"].str.len().max() <= 104
+    assert got[got["doc_id"] == 2]["text"].tolist() == ["again"]
+    few = toxicity.sample(df.union(df), labels, 3, 100)
+    assert few.groupby("toxic").size().tolist() == [3, 3] and set(few["doc_id"]) <= set(want)
+    twice = df.where("doc_id in (3, 4)")
+    scores = toxicity.toxicity(twice.union(twice), labels, train_on=df, steps=2).collect()
+    assert len(scores) == 4 and len({(r["doc_id"], r["score"]) for r in scores}) == 2
