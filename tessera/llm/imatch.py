@@ -103,16 +103,21 @@ def likeness(a: Column, b: Column) -> Column:
     term of either text (over all rates if there is none); so it is about the share of common terms.
     """
 
-    def counts(k: int) -> tuple[Column, Column]:
-        both = F.zip_with(a["subsets"][k], b["subsets"][k], lambda p, q: F.when((p == EMPTY) & (q == EMPTY), 0).when(p == q, 1).otherwise(2))
-        return F.size(F.filter(both, lambda v: v == 1)), F.size(F.filter(both, lambda v: v > 0))
-
-    each = [counts(k) for k in range(len(RATES))]
-    share = F.when(a["whole"] == b["whole"], 1.0).when((a["whole"] == "") | (b["whole"] == ""), 0.0)
-    tail = [(sum((x for x, _ in each[k:]), F.lit(0)), sum((n for _, n in each[k:]), F.lit(0))) for k in range(len(RATES))]
-    for k in range(len(RATES) - 1, -1, -1):
-        share = share.when(each[k][1] * 2 >= SEEDS, tail[k][0] / F.greatest(tail[k][1], F.lit(1)))
-    return share.otherwise(tail[0][0] / F.greatest(tail[0][1], F.lit(1))).cast("double")
+    def counts(x: Column, y: Column) -> Column:
+        both = F.zip_with(x, y, lambda p, q: F.when((p == EMPTY) & (q == EMPTY), 0).when(p == q, 1).otherwise(2))
+        start = F.struct(F.lit(0).alias("agree"), F.lit(0).alias("some"))
+        return F.aggregate(both, start, lambda s, v: F.struct((s["agree"] + (v == 1).cast("int")).alias("agree"), (s["some"] + (v > 0).cast("int")).alias("some")))
+
+    def add(s: Column, x: Column) -> Column:
+        agree, some = F.when(s["done"], 0).otherwise(x["agree"]), F.when(s["done"], 0).otherwise(x["some"])
+        done = s["done"] | (x["some"] * 2 >= SEEDS)
+        return F.struct((s["agree"] + agree).alias("agree"), (s["some"] + some).alias("some"), done.alias("done"))
+
+    each = F.zip_with(F.reverse(a["subsets"]), F.reverse(b["subsets"]), counts)  # from the lowest rate on
+    start = F.struct(F.lit(0).alias("agree"), F.lit(0).alias("some"), F.lit(False).alias("done"))
+    share = F.aggregate(each, start, add, lambda s: s["agree"] / F.greatest(s["some"], F.lit(1)))
+    same, none = a["whole"] == b["whole"], (a["whole"] == "") | (b["whole"] == "")
+    return F.when(same, 1.0).when(none, 0.0).otherwise(share).cast("double")
 
 
 def in_order(docs: DataFrame, rows_each: int = 1000) -> DataFrame:
