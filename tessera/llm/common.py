@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from functools import reduce
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder; they cut lineage and survive lost executors."""
+    """Tables written to the shared folder; they cut lineage and survive lost executors.
+
+    A returned table may still read them, so they stay until clean() is called.
+    """
+
+    roots: ClassVar[list[str]] = []  # of this process, oldest first
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        Scratch.roots.append(self.root)
 
     def write(self, df: DataFrame, rows: int | None = None) -> DataFrame:
         """rows: bound of the rows in an Arrow batch for this job alone."""
@@ -62,6 +69,17 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clean(spark: SparkSession, since: int = 0) -> None:
+    """Delete the scratch tables that operators of this process wrote since there were `since` folders of them.
+
+    Call it when the tables that they returned are written or no longer needed.
+    """
+    for root in Scratch.roots[since:]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(root)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    del Scratch.roots[since:]
+
+
 def batch_rows(spark: SparkSession, rows: int = 400) -> None:
     """Bound the rows of an Arrow batch by `rows`; Spark's own bound of its bytes (64 MB) holds as well.
 
@@ -84,12 +102,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Deal rows evenly over at least as many partitions as the session has cores."""
-    n = max(df.sparkSession.sparkContext.defaultParallelism, least or 0)
-    return df.repartition(n)
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and leave every other character as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -13,25 +13,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import nn
-from tessera.llm.common import annotate, crc_mod, hash_sample
+from tessera.llm.common import annotate, crc_mod, fresh, hash_sample
 
 UNKNOWN = "und"
 SPAN = 128  # bytes that the network reads in one go; longer texts are read as several spans
-FIELDS = [T.StructField("_lang", T.StringType()), T.StructField("_lang_score", T.DoubleType())]
+TYPES = {"_lang": T.StringType(), "_lang_score": T.DoubleType()}
 
 
-def sample(docs: DataFrame, per_language: int, spans: int) -> pd.DataFrame:
-    """Training rows: at most per_language rows of each language, `spans` pieces of each.
+def sample(docs: DataFrame, rows_each: int, spans: int) -> pd.DataFrame:
+    """At most rows_each rows of each language, `spans` pieces of each: lang, pieces, place.
 
-    Rows are taken in the order of a hash of the id, pieces at places that the hash fixes.
+    Rows are taken in the order of a hash of the id (place: from 1 on), pieces at places that the hash
+    fixes.  A null id is hashed like any other value; rows of one id tie and come in any order of their texts.
     """
     rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).where(crc_mod(F.col("doc_id"), 4) != 2)
     n, h = F.length("text"), F.xxhash64("doc_id")
     starts = [F.pmod(F.xxhash64(h, F.lit(k)), F.greatest(n - SPAN, F.lit(1))) for k in range(spans)]
     pieces = F.array(*[F.substring(F.col("text"), (s + 1).cast("int"), F.lit(SPAN)) for s in starts])
     rows = rows.select("doc_id", F.col("lang").alias("lang"), pieces.alias("pieces"))
-    out = hash_sample(rows, "lang", F.col("doc_id"), per_language).select("lang", "pieces", "_h").toPandas()
-    return out.assign(_p=out["pieces"].map(lambda x: "".join(x))).sort_values(["lang", "_h", "_p"])
+    out = hash_sample(rows, "lang", F.col("doc_id"), rows_each).select("lang", "pieces", "_h", F.col("_k").alias("place")).toPandas()
+    out = out.assign(_p=out["pieces"].map(lambda x: "".join(x))).sort_values(["lang", "_h", "_p"])
+    return out.assign(place=out.groupby("lang").cumcount() + 1)
 
 
 def spans_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -158,9 +160,30 @@ def predictor(model):  # noqa: ANN001, ANN201
     return make
 
 
-def train(docs: DataFrame, per_language: int = 400, spans: int = 4, **kw) -> dict:  # noqa: ANN003
-    """Fit on a bounded sample of rows with a known language: per_language rows of each."""
-    return fit(sample(docs, per_language, spans), **kw)
+def least_score(model: dict, rows: pd.DataFrame, often: float = 2 / 3) -> float:
+    """The highest score below which that share of the predictions is wrong, on rows not trained on; 0 if there is none.
+
+    A row's pieces are pooled like a document.
+    """
+    if not model["langs"] or not len(rows):
+        return 0.0
+    p = pooled(model, ["".join(x).encode("utf-8", "replace") for x in rows["pieces"]])
+    right = np.array(model["langs"])[p.argmax(1)] == rows["lang"].to_numpy()
+    score = p.max(1)
+    order = np.argsort(score, kind="stable")
+    wrong = np.cumsum(~right[order])
+    bad = np.flatnonzero(wrong >= often * np.arange(1, len(order) + 1))
+    return float(np.nextafter(score[order][bad[-1]], 2.0)) if len(bad) else 0.0
+
+
+def train(docs: DataFrame, per_language: int = 400, spans: int = 4, checked: int = 400, **kw) -> dict:  # noqa: ANN003
+    """Fit on a bounded sample of rows with a known language: per_language rows of each.
+
+    As many as `checked` more of each, never trained on, give the score below which a text is not told (`least`).
+    """
+    rows = sample(docs, per_language + checked, spans)
+    model = fit(rows[rows["place"] <= per_language], **kw)
+    return model | {"least": least_score(model, rows[rows["place"] > per_language])}
 
 
 def identify(docs: DataFrame, train_on: DataFrame | None = None, **kw) -> DataFrame:  # noqa: ANN003
@@ -172,18 +195,27 @@ def identify(docs: DataFrame, train_on: DataFrame | None = None, **kw) -> DataFr
     Held out are the rows whose crc32(doc_id as text) mod 4 is 2; they are never trained on.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = with_language(rows, train_on if train_on is not None else docs, keep_text=False, **kw)
+    out, lang, score, _ = with_language(rows, train_on if train_on is not None else docs, keep_text=False, **kw)
     held = (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out")
-    return out.select("doc_id", held, F.col("_lang").alias("lang_pred"), F.col("_lang_score").alias("score"))
+    return out.select("doc_id", held, F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
 
 
-def with_language(docs: DataFrame, train_on: DataFrame, keep_text: bool = True, **kw) -> DataFrame:  # noqa: ANN003
-    """docs with the columns _lang and _lang_score."""
-    model = docs.sparkSession.sparkContext.broadcast(train(train_on, **kw))
-    return annotate(docs, "text", predictor(model), FIELDS, keep_text)
+def with_language(docs: DataFrame, train_on: DataFrame, keep_text: bool = True, **kw) -> tuple[DataFrame, str, str, float]:  # noqa: ANN003
+    """docs with two more columns, their names (language and score), and the least score that tells a language."""
+    model = train(train_on, **kw)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [fresh(docs, n) for n in TYPES]
+    fields = [T.StructField(n, t) for n, t in zip(names, TYPES.values(), strict=True)]
+    return annotate(docs, "text", predictor(shared), fields, keep_text), *names, model["least"]
 
 
-def accepted(docs: DataFrame, least: float = 0.3, **kw) -> DataFrame:  # noqa: ANN003
-    """The rows of docs, unchanged, whose language is known with a score of `least` or more."""
-    out = with_language(docs, docs, **kw)
-    return out.where((F.col("_lang") != UNKNOWN) & (F.col("_lang_score") >= least)).select(*docs.columns)
+def accepted(docs: DataFrame, least: float | None = None, **kw) -> DataFrame:  # noqa: ANN003
+    """The rows of docs, unchanged, whose language is known with a score of `least` or more.
+
+    By default least is the score below which, on labelled rows that were not trained on, two predictions
+    in three are wrong (0 if there is none).  Null texts and those without a letter go, and so does every row if
+    none has a known language.  Equal texts fare alike, repeated rows stay repeated; an empty table
+    stays empty; extra columns pass, whatever their names.
+    """
+    out, lang, score, found = with_language(docs, docs, **kw)
+    return out.where((F.col(lang) != UNKNOWN) & (F.col(score) >= (found if least is None else least))).select(*docs.columns)

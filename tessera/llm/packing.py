@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Scratch, batch_rows, prefix_within
+from tessera.llm.common import Scratch, prefix_within
 
 END = 1  # the id that closes every document
 WINDOW = 2048
@@ -164,11 +164,10 @@ def pack(docs: DataFrame, vocabulary_path: str, window: int = WINDOW, keep_ids:
     table gives an empty result.  Extra columns are ignored.
     """
     spark = docs.sparkSession
-    batch_rows(spark)
     with open(vocabulary_path, "rb") as f:
         vocabulary = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     pieces = rows.mapInPandas(cutter(vocabulary, window, keep_ids), PIECES)
     if not keep_ids:
         pieces = pieces.drop("ids")
-    return pack_pieces(Scratch(spark, "packing").write(pieces), window)
+    return pack_pieces(Scratch(spark, "packing").write(pieces, rows=400), window)

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.registry import spread
 from tessera.llm import embeddings, html_extract, imatch, langid, license_scan, mixing, packing, simhash, toxicity, url_filter
+from tessera.registry import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,42 +22,52 @@ def vocabulary_path() -> str:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; rows whose crc32(doc_id) mod 5 is 0 are never trained on.  Nulls, ties and repeated rows: see the operator."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and their likenesses.  Nulls, ties and repeated rows: see the operator."""
     return imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page.  Nulls, ties and repeated rows: see the operator."""
     return html_extract.main_texts(table(spark, sf_dir, "pages"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and verified licence notices of every document.  Nulls, ties and repeated rows: see the operator."""
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's url by the five rules and the listed hosts.  Nulls, ties and repeated rows: see the operator."""
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles, linked at two differing bits, for every document.  Nulls, ties and repeated rows: see the operator."""
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 2048 ids.  Nulls, ties and repeated rows: see the operator."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path(), window=2048)
 
 
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at a cosine of 0.9 and components of every vector.  Nulls, ties and repeated rows: see the operator."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; rows whose crc32(doc_id) mod 4 is 2 are never trained on.  Nulls, ties and repeated rows: see the operator."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document.  Nulls, ties and repeated rows: see the operator."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 

@@ -18,14 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import nn
-from tessera.llm.common import annotate, crc_mod, hash_sample
+from tessera.llm.common import annotate, crc_mod, fresh, hash_sample
 
 WINDOW, STRIDE = 48, 24  # words
 CHARS = 16  # longer runs of word characters are read as several words
 PIECES = 5  # of a long training text
 CODES = 384  # character inputs: 0 pads, ASCII as is, the rest folded into 256 classes
 WORD = re.compile(r"\w{1,16}")
-FIELDS = [T.StructField("_toxicity", T.DoubleType())]
 
 
 def words_of(text: str | None) -> list[str]:
@@ -338,18 +337,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_on: DataFrame | None = No
     null doc_id counts as empty text when rows are held out.  Extra columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = with_score(rows, train_on if train_on is not None else docs, labels, keep_text=False, **kw)
+    out, name = with_score(rows, train_on if train_on is not None else docs, labels, keep_text=False, **kw)
     held = (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out")
-    score = F.col("_toxicity")
+    score = F.col(name)
     return out.select("doc_id", held, score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
-def with_score(docs: DataFrame, train_on: DataFrame, labels: DataFrame, keep_text: bool = True, **kw) -> DataFrame:  # noqa: ANN003
-    """docs with the column _toxicity."""
+def with_score(docs: DataFrame, train_on: DataFrame, labels: DataFrame, keep_text: bool = True, **kw) -> tuple[DataFrame, str]:  # noqa: ANN003
+    """docs with a column more, and its name."""
     model = docs.sparkSession.sparkContext.broadcast(train(train_on, labels, **kw))
-    return annotate(docs, "text", scorer(model), FIELDS, keep_text)
+    name = fresh(docs, "_toxicity")
+    return annotate(docs, "text", scorer(model), [T.StructField(name, T.DoubleType())], keep_text), name
 
 
 def accepted(docs: DataFrame, labels: DataFrame, below: float = 0.5, **kw) -> DataFrame:  # noqa: ANN003
-    """The rows of docs, unchanged, that score less than `below`."""
-    return with_score(docs, docs, labels, **kw).where(F.col("_toxicity") < below).select(*docs.columns)
+    """The rows of docs, unchanged, that score less than `below`.
+
+    Null and empty texts score 0 and stay.  Equal texts fare alike, repeated rows stay repeated; an empty
+    table stays empty; extra columns pass, whatever their names.
+    """
+    out, name = with_score(docs, docs, labels, **kw)
+    return out.where(F.col(name) < below).select(*docs.columns)

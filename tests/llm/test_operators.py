@@ -648,3 +648,46 @@ def test_toxicity_sample(spark):
     twice = df.where("doc_id in (3, 4)")
     scores = toxicity.toxicity(twice.union(twice), labels, train_on=df, steps=2).collect()
     assert len(scores) == 4 and len({(r["doc_id"], r["score"]) for r in scores}) == 2
+
+
+def test_language_stage_rejects_below_the_score_where_it_is_often_wrong(spark):
+    rng = random.Random(11)
+    words = {"de": "der die und nicht straße schön über ich zwei".split(), "en": "the and with that this from which were have".split()}
+    rows = []
+    for i in range(600):
+        lang = "de" if i % 2 else "en"
+        mixed = i % 20 == 0  # texts in both languages, labelled with either
+        rows.append((i, " ".join(rng.choice(words[rng.choice(["de", "en"]) if mixed else lang]) for _ in range(60)), rng.choice(["de", "en"]) if mixed else lang, "x", 1.0))
+    rows += [(900, "123 !", "en", "x", 1.0), (901, None, "en", "x", 1.0), (902, rows[1][1], "de", "x", 1.0), (902, rows[1][1], "de", "x", 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _lang string, _lang_score double")
+    model = langid.train(df, per_language=150, checked=150, steps=60)
+    assert 0.5 < model["least"] < 1
+    out = langid.accepted(df, per_language=150, checked=150, steps=60)
+    kept = [r["doc_id"] for r in out.collect()]
+    clean = [i for i in range(600) if i % 20]
+    assert out.columns == df.columns and kept.count(902) == 2 and not {900, 901} & set(kept)
+    assert len(set(kept) & set(clean)) >= 0.97 * len(clean) and len(set(kept) & set(range(0, 600, 20))) <= 25
+    assert langid.least_score(model | {"langs": []}, None) == 0.0 and langid.accepted(df.where("doc_id < 0")).count() == 0
+
+
+def test_toxicity_stage_leaves_columns_alone(spark):
+    rows = [(i, "bad idiot words " * 5 if i % 4 == 0 else "good fine words " * 5, "x", 2.0) for i in range(80)] + [(900, None, "x", 2.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _toxicity string, TOXIC double")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, toxic int")
+    out = toxicity.accepted(df.union(df), labels, steps=40)
+    assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == sorted(2 * [*(i for i in range(80) if i % 4), 900])
+
+
+def test_packing_of_repeated_and_null_rows(spark):
+    rows = [(1, "a b c " * 200), (1, "a b c " * 200), (None, "x y"), (None, "x y"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit("k"))
+    out = packing.pack(df, queries.vocabulary_path(), window=64).collect()
+    ends = [r for r in out if r["start"] + r["length"] == r["doc_tokens"]]
+    assert len(ends) == 6 and [r["doc_tokens"] for r in ends if r["doc_id"] in (3, 4)] == [1, 1]
+    held = {}
+    for r in out:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in held.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(n for _, n in parts) <= 64
+    assert packing.pack(df.where("doc_id = 9"), queries.vocabulary_path(), window=64).count() == 0
