@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,6 +55,51 @@ def loo_rank(v: Column, *group: Column | str) -> Column:
     return F.when(n >= 3, (below + 0.5 * (ties - 1)) / (n - 1))
 
 
+def places(df: DataFrame, value: str, *group: str, ranges: int = 64) -> DataFrame:
+    """group, value, below, ties, n: for each distinct value of a group, how many rows lie below it and at it.
+
+    Rows are counted by value first.  A group's distinct values are dealt into `ranges` ranges, whose
+    totals are its offsets; so no window holds more than one range of a group, however large the
+    group, and a value that many rows share is one row.  Nulls have no place; null groups are groups.
+    """
+    from tessera.operators.joins import small
+
+    def looked_up(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        """a with the other columns of b, a table with one row for each combination of keys."""
+        other = b.select(*[F.col(k).alias(f"_{k}_") for k in keys], *[c for c in b.columns if c not in keys])
+        on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in keys], F.lit(True))
+        return a.join(small(other), on).drop(*[f"_{k}_" for k in keys])
+
+    hist = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("ties"))
+    cuts = hist.groupBy(*group).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 100 * ranges).alias("_cuts"))
+    if ranges == 1:
+        cuts = cuts.withColumn("_cuts", F.array().cast("array<double>"))
+    h = looked_up(hist, cuts, group)
+    h = h.withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
+    total = h.groupBy(*group, "_range").agg(F.sum("ties").alias("_t"))  # `ranges` rows a group
+    across = by(*group) if group else W.partitionBy(F.lit(0))
+    before = F.sum("_t").over(across.orderBy("_range")) - F.col("_t")
+    total = total.withColumn("_before", before).withColumn("n", F.sum("_t").over(across)).drop("_t")
+    inner = F.sum("ties").over(by(*group, "_range").orderBy(value)) - F.col("ties")
+    out = looked_up(h.withColumn("_inner", inner), total, (*group, "_range"))
+    return out.select(*group, value, (F.col("_inner") + F.col("_before")).alias("below"), "ties", "n")
+
+
+def with_places(df: DataFrame, value: str, out: str, rank, *group: str, ranges: int = 64) -> DataFrame:  # noqa: ANN001
+    """df with rank(average rank from 1, n) of a value in its group as a column; null values have a null."""
+    p = places(df, value, *group, ranges=ranges)
+    names = {c: f"_{c}_" for c in p.columns}
+    p = p.select(*[F.col(c).alias(n) for c, n in names.items()])
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(names[c])) for c in group], F.col(value) == F.col(names[value]))
+    mean = F.col("_below_") + (F.col("_ties_") + 1) / 2.0
+    return df.join(p, on, "left").withColumn(out, rank(mean, F.col("_n_"))).drop(*names.values())
+
+
+def unit_of(rank: Column, n: Column) -> Column:
+    """W1 from an average rank and a size."""
+    return F.when(n == 1, 0.5).otherwise((rank - 1.0) / F.nullif(n - 1, F.lit(0)))
+
+
 def reference_ecdf(df: DataFrame, value: str, is_reference: str, *group: str) -> DataFrame:
     """Adds ecdf_mid and ecdf_right, shares of the reference rows below (and at) each value.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import panel as P
 from tessera.operators import ranks as R
+from tessera.operators import text as D
 from tessera.plans.base import PANEL, panel, r9, unit_rank_sql
 from tessera.registry import query, table
 
@@ -54,7 +55,8 @@ def baseline_fold_change_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel(spark, sf_dir)
     target = p.where("day between 8 and 14").groupBy(*KEYS).agg(F.avg("value").alias("target"))
     fc = P.prioritised_baseline(p, KEYS).join(target, KEYS).withColumn("fc", F.ln(F.col("target") / F.col("baseline")))
-    return fc.select(*KEYS, r9("fc").alias("fc"), r9(R.unit_rank(F.col("fc"), "feature")).alias("fc_rank"))
+    fc = R.with_places(D.written(fc.select(*KEYS, "fc")), "fc", "fc_rank", R.unit_of, "feature")
+    return fc.select(*KEYS, r9("fc").alias("fc"), r9("fc_rank").alias("fc_rank"))
 
 
 @query(

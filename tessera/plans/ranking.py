@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.canonical import length_bucket
 from tessera.functions.hashing import h60, h60_sql
 from tessera.operators import ranks as R
+from tessera.operators import text as D
 from tessera.plans.base import PANEL, SCORED, avg_rank_sql, panel, r9, scored, unit_rank_sql
 from tessera.registry import query, table
 
@@ -95,19 +96,16 @@ f AS (SELECT doc_id, g, CASE WHEN nl >= 20 THEN l ELSE g END AS l2, CASE WHEN nc
 def calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter global, half language, a quarter language and length; small cells back off.
 
-    The global mid-rank comes from the histogram of distinct scores, so no window gathers all rows.
+    Ranks come from counts of distinct scores in ranges, so no window gathers a language or all rows.
     """
-    b = scored(spark, sf_dir).withColumn("bucket", length_bucket(F.col("n_chars")))
-    hist = b.groupBy("s3").agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(W.orderBy("s3"))
-    n = F.sum("k").over(W.partitionBy())
-    hist = hist.select("s3", ((upto - F.col("k") + (F.col("k") + 1) / 2.0 - 0.5) / n).alias("g"))
-    v = F.col("s3")
-    m = b.withColumn("l", R.mid_rank(v, "lang")).withColumn("nl", R.size("lang"))
-    m = m.withColumn("c", R.mid_rank(v, "lang", "bucket")).withColumn("nc", R.size("lang", "bucket")).join(hist, "s3")
-    lang = F.when(F.col("nl") >= 20, F.col("l")).otherwise(F.col("g"))
-    cell = F.when(F.col("nc") >= 20, F.col("c")).otherwise(lang)
-    return m.select("doc_id", r9(0.25 * F.col("g") + 0.5 * lang + 0.25 * cell).alias("calibrated"))
+    b = D.written(scored(spark, sf_dir).select("doc_id", "lang", "s3", length_bucket(F.col("n_chars")).alias("bucket")))
+    mid = lambda rank, n: F.struct(((rank - 0.5) / n).alias("p"), n.alias("n"))
+    m = R.with_places(b, "s3", "g", mid)
+    m = R.with_places(m, "s3", "l", mid, "lang")
+    m = R.with_places(m, "s3", "c", mid, "lang", "bucket")
+    lang = F.when(F.col("l.n") >= 20, F.col("l.p")).otherwise(F.col("g.p"))
+    cell = F.when(F.col("c.n") >= 20, F.col("c.p")).otherwise(lang)
+    return m.select("doc_id", r9(0.25 * F.col("g.p") + 0.5 * lang + 0.25 * cell).alias("calibrated"))
 
 
 @query(
@@ -115,12 +113,10 @@ def calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {SCORED} SELECT doc_id, round(CASE WHEN count(*) OVER (PARTITION BY source) >= 20 THEN {AR("s4", "source")} / count(*) OVER (PARTITION BY source) ELSE {AR("s4")} / count(*) OVER () END, 9) AS rk FROM scored""",
 )
 def override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored(spark, sf_dir)
-    hist = s.groupBy("s4").agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(W.orderBy("s4"))
-    hist = hist.select("s4", ((upto - F.col("k") + (F.col("k") + 1) / 2.0) / F.sum("k").over(W.partitionBy())).alias("everyone"))
-    s = s.withColumn("mine", R.pct_rank(F.col("s4"), "source")).withColumn("n", R.size("source")).join(hist, "s4")
-    return s.select("doc_id", r9(F.when(F.col("n") >= 20, F.col("mine")).otherwise(F.col("everyone"))).alias("rk"))
+    s = D.written(scored(spark, sf_dir).select("doc_id", "source", "s4"))
+    pct = lambda rank, n: F.struct((rank / n).alias("p"), n.alias("n"))
+    s = R.with_places(R.with_places(s, "s4", "mine", pct, "source"), "s4", "everyone", pct)
+    return s.select("doc_id", r9(F.when(F.col("mine.n") >= 20, F.col("mine.p")).otherwise(F.col("everyone.p"))).alias("rk"))
 
 
 @query(

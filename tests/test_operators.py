@@ -38,6 +38,26 @@ def test_ranks_of_ties_and_singletons(spark):
     assert got == [(1.0, 0.0), (2.0, 0.5), (2.0, 0.5), (5.0, 1.0), (7.0, 0.5)]
 
 
+def test_places_in_ranges_equal_plain_ranks(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1.5, None, float(rng.randint(0, 90))])) for _ in range(500)] + [("alone", 3.0)]
+    df = frame(spark, rows, "g string, v double")
+    for ranges in (1, 8):
+        got = R.with_places(df, "v", "r", lambda rank, n: F.struct(rank.alias("rank"), n.alias("n"), R.unit_of(rank, n).alias("u")), "g", ranges=ranges).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            mine = [v for g, v in rows if g == r["g"] and v is not None]
+            if r["v"] is None:
+                assert r["r"]["rank"] is None
+                continue
+            want = sum(v < r["v"] for v in mine) + (sum(v == r["v"] for v in mine) + 1) / 2
+            assert (r["r"]["rank"], r["r"]["n"]) == (want, len(mine))
+            assert r["r"]["u"] == pytest.approx(0.5 if len(mine) == 1 else (want - 1) / (len(mine) - 1))
+    assert {(r["below"], r["n"]) for r in R.places(df.where("g = 'alone'"), "v").collect()} == {(0, 1)}
+
+
 def test_geometric_mean_of_values_that_are_not_positive(spark):
     rows = [("a", 2.0), ("a", 8.0), ("a", None), ("b", 3.0), ("b", 0.0), ("c", -1.0), ("d", None)]
     df = frame(spark, rows, "g string, v double")
