@@ -95,7 +95,10 @@ def prefix_pairs(df: DataFrame, key: str, sets: str, least: float) -> DataFrame:
     e = df.select(F.col(key).alias("k"), F.explode(sets).alias("e")).select("k", F.xxhash64("e").alias("x"))
     rare = e.groupBy("x").agg(F.count("*").alias("f"))
     ranked = e.join(rare, "x").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("f", "x"))).alias("o"))
-    ranked = written(ranked.select("k", F.col("o.x").alias("s")))
+    every = written(ranked.select("k", F.col("o.x").alias("s")).withColumn("h", F.xxhash64("s")))
+    # Equal sets are compared once; their keys come back as members of the class named by the least.
+    ranked = written(every.groupBy("h", "s").agg(F.min("k").alias("k")))
+    members = written(every.join(ranked.withColumnRenamed("k", "r"), ["h", "s"]).select("r", "k"))
     n = F.size("s")
     keep = (n - F.ceil(F.lit(least) * n) + 1).cast("int")
     h = ranked.select("k", n.alias("n"), F.explode(F.slice("s", F.lit(1), keep)).alias("x"))
@@ -104,7 +107,12 @@ def prefix_pairs(df: DataFrame, key: str, sets: str, least: float) -> DataFrame:
     x, y = ranked.select(F.col("k").alias("a"), F.col("s").alias("sa")), ranked.select(F.col("k").alias("b"), F.col("s").alias("sb"))
     both = c.join(x, "a").join(y, "b").select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("k"))
     share = F.col("k") / (F.col("n") - F.col("k"))
-    return both.where(share >= least).select("a", "b", share.alias("similarity"))
+    near = both.where(share >= least).select("a", "b", share.alias("similarity"))
+    same = ranked.select(F.col("k").alias("a"), F.col("k").alias("b"), F.lit(1.0).alias("similarity"))
+    # The result has all pairs of keys, by definition; minhash_pairs() links copies to their first instead.
+    one, other = members.select(F.col("r").alias("a"), F.col("k").alias("p")), members.select(F.col("r").alias("b"), F.col("k").alias("q"))
+    out = near.unionByName(same).join(one, "a").join(other, "b").where("a <> b or p < q")
+    return out.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")
 
 
 def simhash(hashes: Column) -> Column:
