@@ -307,9 +307,13 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, most_words: int = 1
 
 def inner_parts(ids: Column, longest: int) -> Column:
     """All shorter contiguous parts of two words or more."""
-    runs = [F.when(F.size(ids) > m, F.transform(F.sequence(F.lit(1), F.size(ids) - (m - 1)), lambda i, m=m: F.slice(ids, i, m))) for m in range(2, longest)]
     none = F.array().cast("array<array<bigint>>")
-    return F.array_distinct(F.concat(none, *[F.coalesce(r, none) for r in runs]))
+
+    def runs(m: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(ids) - (m - 1))
+        return F.when(F.size(ids) > m, F.transform(starts, lambda i: F.slice(ids, i, m))).otherwise(none)
+
+    return F.array_distinct(F.concat(none, *[runs(m) for m in range(2, longest)]))
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, most_words: int = 1_000_000, per: int = KEYS) -> DataFrame:
