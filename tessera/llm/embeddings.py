@@ -9,7 +9,6 @@ tiles.  A tile pair returns each class's number of links and a spanning forest,
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -61,7 +60,6 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-@functools.lru_cache(maxsize=4)
 def planes(dim: int, words: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, 64 * words))
 
@@ -182,8 +180,9 @@ def near_duplicates(
     Tables and their bits follow from the number of vectors, so that 98 in 100 of the pairs at a cosine
     of `least` are found, of closer ones more.  Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing; vectors of different lengths never link.  Equal vectors
-    link with each other.  vec_id is taken as unique; a repeated one is a vector of its own with that
-    id.  An empty table gives an empty result.  Extra columns are ignored.
+    link with each other.  A row is a vector of its own, also where its id repeats or is null; a null id
+    never names a component, unless all its members' are null, and is kept only there.  An empty
+    table gives an empty result.  Extra columns are ignored.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
@@ -194,8 +193,8 @@ def near_duplicates(
     key = F.when(usable, F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), ",")))
     rows = rows.select("vec_id", "v", key.alias("key"))
     ids = scratch.write(rows.select("vec_id", "key"))
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
-    classes = scratch.write(classes)
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"))
+    classes = scratch.write(classes.withColumn("rep", F.monotonically_increasing_id()))  # a name that holds once it is written
     count, longest = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     auto = tables_for(count, least)
     tables, bits = tables or auto[0], bits or auto[1]
@@ -212,20 +211,17 @@ def near_duplicates(
     found = scratch.write(found.mapInPandas(comparer(least, tables, bits, words, seed), FOUND), rows=4)
     links = found.where("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     comp = connected_components(found.where("b is not null").select("a", "b"), "a", "b", scratch)
-    known = classes.select("key", "rep", "n").join(links, "rep", "left")
-    known = known.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    known = known.select(
-        "key",
-        (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        F.coalesce("component", "rep").alias("component"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"),
-    ).where("n_links > 0")
-    salted = ids.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALT)).cast("int"))
+    known = classes.select("key", "rep", "n", "least").join(links, "rep", "left")
+    known = known.join(comp.select(F.col("node").alias("rep"), F.col("component").alias("root")), "rep", "left")
+    known = known.select("key", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root")).where("n_links > 0")
+    lowest = known.groupBy("root").agg(F.min("least").alias("component"))
+    known = known.join(lowest, "root").select("key", "n_links", "component", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    salted = ids.withColumn("salt", F.floor(F.rand(1) * SALT).cast("int"))
     out = salted.join(known, ["key", "salt"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"),
+        F.col("vec_id").eqNullSafe(component).alias("kept"),
     )
