@@ -166,7 +166,7 @@ def components(docs: DataFrame, shingle: int = 3, radius: int = 2, tile: int = T
 
     component_id is the smallest doc_id reachable through fingerprints within `radius` bits.  Null, empty
     and blank texts have fingerprint 0 and link like any other; repeated rows and equal texts share a
-    fingerprint.  An empty table gives an empty result.  Extra columns are ignored.
+    fingerprint.  Rows without an id link too; a null names a component only where it has no other id.  An empty table gives an empty result.  Extra columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -178,9 +178,9 @@ def components(docs: DataFrame, shingle: int = 3, radius: int = 2, tile: int = T
     root = root.withColumn("component", F.coalesce("component", "fp"))
     lowest = root.groupBy("component").agg(F.min("least").alias("component_id"))
     # Only groups of several documents need their id looked up; their copies are dealt over SALT parts.
-    known = root.join(lowest, "component").where("n > 1 or component_id <> least")
+    known = root.join(lowest, "component").where("n > 1 or not component_id <=> least")
     known = known.select("fp", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    salted = fps.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
+    salted = fps.withColumn("salt", F.floor(F.rand(1) * SALT).cast("int"))
     out = salted.join(known, ["fp", "salt"], "left")
     return out.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
