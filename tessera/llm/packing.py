@@ -46,7 +46,6 @@ def encoder(vocabulary: bytes):  # noqa: ANN201
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_str(vocabulary.decode())
-    slow.encode_special_tokens = True
     spec = json.loads(vocabulary)
     # The 256 printable stand-ins that byte-level BPE files use for bytes.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
