@@ -9,6 +9,7 @@ blocks the label of their nearest decided neighbours.
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import re
 from collections.abc import Iterator
@@ -63,39 +64,85 @@ class Block:
     text: str
     linked: int
     never: bool  # by an element's name
-    hints: tuple[int, ...]  # elements around it whose class or id says so, from the outermost
+    hint: int  # the innermost element around it whose class or id says so, 0: none
     inside: bool
     heading: bool
     good: bool | None = None
 
 
-def blocks_of(page: str) -> tuple[list[Block], set[int]]:
-    """Text blocks in page order with what pass one needs to know of each, and the hinted elements that hold an article."""
+@dataclass
+class Hints:
+    """Elements whose class or id says that they are no article, numbered from 1 as they open."""
+
+    outer: list[int]  # the next such element around each
+    holds: list[bool]  # whether an article or a first heading opens inside
+
+    def add(self, outer: int) -> int:
+        self.outer.append(outer)
+        self.holds.append(False)
+        return len(self.outer) - 1
+
+    def hold(self, hint: int) -> None:
+        while hint and not self.holds[hint]:
+            self.holds[hint] = True
+            hint = self.outer[hint]
+
+
+class Open:
+    """The open elements: (name, never text, hint, in an article), with the places of each name.
+
+    Every step takes constant time for each element that it opens or closes, however many stay open.
+    """
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, int, bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, element: tuple[str, bool, int, bool]) -> None:
+        self.places.setdefault(element[0], []).append(len(self.stack))
+        if element[0] in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(element)
+
+    def last(self, name: str) -> int:
+        at = self.places.get(name)
+        return at[-1] if at else -1
+
+    def last_block(self) -> int:
+        return self.blocks[-1] if self.blocks else -1
+
+    def leave(self, k: int) -> None:
+        """Close the element at place k and whatever is still open inside, such as a link."""
+        while len(self.stack) > k:
+            name = self.stack.pop()[0]
+            self.places[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+
+
+def blocks_of(page: str) -> tuple[list[Block], Hints]:
+    """Text blocks in page order with what pass one needs to know of each, and the hinted elements."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, tuple[int, ...], bool]] = []  # element, never text, hinted elements, in an article
+    now = Open()
     parts: list[str] = []
-    linked, links, at, holds, hinted = 0, False, 0, set(), 0
+    linked, at, hinted = 0, 0, Hints([0], [False])
 
     def close() -> None:
         nonlocal parts, linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            never, hints, inside = stack[-1][1:] if stack else (False, (), False)
-            heading = any(e[0][0] in "hH" and e[0][1:].isdigit() for e in stack[-3:])
-            out.append(Block(text, linked, never, hints, inside, heading))
+            never, hint, inside = now.stack[-1][1:] if now.stack else (False, 0, False)
+            heading = any(e[0][0] in "hH" and e[0][1:].isdigit() for e in now.stack[-3:])
+            out.append(Block(text, linked, never, hint, inside, heading))
         parts, linked = [], 0
 
     def add(piece: str) -> None:
         nonlocal linked
         parts.append(piece)
-        if links:
+        if now.places.get("a"):
             linked += len(piece)
 
-    def leave(k: int) -> None:
-        nonlocal links
-        del stack[k:]
-        links = any(e[0] == "a" for e in stack)
-
     end = 0
     for m in TAG.finditer(page):
         if m.start() < end:
@@ -112,10 +159,8 @@ def blocks_of(page: str) -> tuple[list[Block], set[int]]:
         if name in BLOCK:
             close()
         if sign:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    leave(k)  # and whatever is still open inside, such as a link
-                    break
+            if (k := now.last(name)) >= 0:
+                now.leave(k)
             continue
         if name in VOID or m[3].endswith("/>"):
             continue
@@ -123,29 +168,25 @@ def blocks_of(page: str) -> tuple[list[Block], set[int]]:
             stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
             at = end = stop.end() if stop else len(page)
             continue
-        if name in BLOCK or name == "a":  # a paragraph ends where a block begins, a link where the next one does
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == ("a" if name == "a" else "p"):
-                    leave(k)
-                    break
-                if stack[k][0] in BLOCK:
-                    break
-        never, hints, inside = stack[-1][1:] if stack else (False, (), False)
+        # a paragraph ends where a block begins, a link where the next one does
+        if name == "a" and now.last("a") > now.last_block():
+            now.leave(now.last("a"))
+        elif name in BLOCK and now.last("p") >= 0 and now.last("p") == now.last_block():
+            now.leave(now.last("p"))
+        never, hint, inside = now.stack[-1][1:] if now.stack else (False, 0, False)
         if name in ("article", "main", "h1"):
-            holds.update(hints)
-        if name in ("article", "main") and not never and not hints:
+            hinted.hold(hint)
+        if name in ("article", "main") and not never and not hint:
             inside = True
         elif name in NEVER or (name == "header" and not inside):
             never = True
         if not never and name not in ("html", "body", "article", "main") and len(m[3]) > 1 and any(HINTS.search(v.strip("\"'")) for v in NAMED.findall(m[3])):
-            hinted += 1
-            hints = (*hints, hinted)
-        stack.append((name, never, hints, inside))
-        links = links or name == "a"
+            hint = hinted.add(hint)
+        now.push((name, never, hint, inside))
     if at < len(page):
         add(page[at:])
     close()
-    return out, holds
+    return out, hinted
 
 
 def stop_share(text: str) -> float:
@@ -153,25 +194,52 @@ def stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def decide(blocks: list[Block], holds: set[int] = frozenset()) -> None:
+def free_of_hints(blocks: list[Block], like_text: list[bool], hints: Hints) -> list[bool]:
+    """Whether a block with that innermost hint may be text, for every hint (the first entry: without one).
+
+    As long as no block that is like text is free, the outermost hinted element that has most of such
+    text, of those that hold an article, gives way, and then those inside it.  Elements wait in a
+    heap, each enters it once.
+    """
+    n = len(hints.outer)
+    total, direct, free = [0] * n, [False] * n, [True] + [False] * (n - 1)
+    for b, t in zip(blocks, like_text, strict=True):
+        if t and not b.never:
+            total[b.hint] += len(b.text)
+            direct[b.hint] = True
+    if direct[0]:
+        return free
+    inner: list[list[int]] = [[] for _ in range(n)]
+    for h in range(n - 1, 0, -1):
+        total[hints.outer[h]] += total[h]
+        inner[hints.outer[h]].append(h)
+    waiting = []
+
+    def enter(outer: int) -> None:
+        for h in inner[outer]:
+            if hints.holds[h] and total[h]:
+                heapq.heappush(waiting, (-total[h], h))
+
+    enter(0)
+    while waiting:
+        h = heapq.heappop(waiting)[1]
+        free[h] = True
+        if direct[h]:
+            break
+        enter(h)
+    return free
+
+
+def decide(blocks: list[Block], hints: Hints) -> None:
     """Pass one: decided blocks get a label, ambiguous ones keep None."""
     stops = [stop_share(b.text) for b in blocks]
     known = any(len(b.text) >= SHORT and s >= STOPS for b, s in zip(blocks, stops, strict=True))
     like_text = [
         len(b.text) >= (SHORT if known else 2 * SHORT) and b.linked < LINKS * len(b.text) and (s >= STOPS or not known) for b, s in zip(blocks, stops, strict=True)
     ]
-    left = set()  # hinted elements whose hint does not hold
-    while not any(t and not b.never and left.issuperset(b.hints) for b, t in zip(blocks, like_text, strict=True)):
-        held: dict[int, int] = {}
-        for b, t in zip(blocks, like_text, strict=True):
-            outer = next((h for h in b.hints if h not in left), None)
-            if t and not b.never and outer in holds:
-                held[outer] = held.get(outer, 0) + len(b.text)
-        if not held:
-            break
-        left.add(max(held, key=lambda h: (held[h], -h)))
+    free = free_of_hints(blocks, like_text, hints)
     for b, s, t in zip(blocks, stops, like_text, strict=True):
-        if b.never or not left.issuperset(b.hints) or b.linked >= LINKS * len(b.text):
+        if b.never or not free[b.hint] or b.linked >= LINKS * len(b.text):
             b.good = False
         elif b.inside:
             b.good = True if len(b.text) >= SHORT or s >= STOPS else None
@@ -208,8 +276,8 @@ def inherit(blocks: list[Block]) -> None:
 
 
 def main_text(page: str | None) -> str:
-    blocks, holds = blocks_of(page or "")
-    decide(blocks, holds)
+    blocks, hints = blocks_of(page or "")
+    decide(blocks, hints)
     inherit(blocks)
     return "\n".join(b.text for b in blocks if b.good)
 
@@ -223,7 +291,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html).
 
     Null and empty html, and pages without text, give an empty string.  Malformed markup is read as
-    far as it goes.  Repeated rows are extracted each; an empty table gives an empty result.  Extra
+    far as it goes, in time linear in its length.  Repeated rows are extracted each; an empty table gives an empty result.  Extra
     columns are ignored.
     """
     batch_rows(pages.sparkSession)
