@@ -1,11 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-A source's documents, shuffled, are cut into blocks of `block` words, and its target into slots of one
-block each.  Slots carry the points of the golden-ratio sequence; a slot goes to the source whose stretch
-of the cumulative slots holds its point.  Slots of a source are ranked, and slot r takes block r (modulo
-the source's blocks).  Where the sequence gives a source some slots less than its target needs, they
-close the schedule, and with them the part of a block that is left of the target; so small sources,
-too, come to their target.
+A source's documents, shuffled, are cut into blocks of equal words.  Slots carry the points of the golden-ratio
+sequence; a slot goes to the source whose stretch of the cumulative weights, in blocks, holds its
+point.  Slots of a source are ranked, and slot r takes block r (modulo the source's blocks).  What a
+source gives is what its slots take: a few blocks more or less than its target.  Blocks of small
+sources are therefore short, a thousandth of the source.
 """
 
 from __future__ import annotations
@@ -17,7 +16,8 @@ from pyspark.sql import Window as W
 from tessera.llm.common import Scratch, checked_broadcast, fresh, prefix_within
 
 GOLDEN = 0.6180339887498949
-BLOCK = 512  # words
+BLOCK = 512  # words, at most
+BLOCKS = 1024  # of a source, at least, as far as it has as many words
 MOST = 3  # times that a word may be taken
 SPACE = "\\x20\\x09-\\x0D"
 
@@ -49,57 +49,45 @@ def targets(rows: DataFrame) -> DataFrame:
 
 
 def goals(rows: DataFrame, block: int) -> DataFrame:
-    """targets() with take (the target in whole words), blocks, ranks (whole blocks to take, one by one
-    and over again), part_of (the block of which only a part is taken) and part (its words).  One row per source."""
-    g = targets(rows).withColumn("take", F.least(F.round("target").cast("long"), F.lit(MOST) * F.col("source_size")))
-    g = g.withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)))
-    size = F.greatest("source_size", F.lit(1))
-    rest = F.col("take") % size
-    g = g.withColumn("part_of", F.floor(rest / F.lit(block))).withColumn("part", rest - F.col("part_of") * F.lit(block))
-    return g.withColumn("ranks", F.floor(F.col("take") / size) * F.col("blocks") + F.col("part_of"))
+    """targets() with length (words of a block), blocks and need (blocks that the target amounts to, a double).  One row per source."""
+    g = targets(rows).withColumn("length", F.greatest(F.lit(1), F.least(F.lit(block), F.expr(f"source_size div {BLOCKS}"))).cast("long"))
+    g = g.withColumn("blocks", F.ceil(F.col("source_size") / F.col("length")))
+    return g.withColumn("need", F.col("target") / F.greatest("source_size", F.lit(1)) * F.col("blocks"))
 
 
-def slots(goal: DataFrame) -> DataFrame:
+def slots(goal: DataFrame, step: float = GOLDEN) -> DataFrame:
     """id, source, rank: the schedule's slots in order; rank counts the slots of a source from 0.
 
-    goal: a written table of goals().  Points are looked up in a grid, so the number of sources, whose
-    stretches may be many in one cell, is not limited; the grid is broadcast only if it is small.
+    goal: a written table of goals(); step: slot i has the point i * step modulo 1.  Points are looked up
+    in a grid, so the number of sources, whose stretches may be many in one cell, is not limited; the
+    grid is broadcast only if it is small.
     """
     spark = goal.sparkSession
-    need = F.col("ranks") + (F.col("part") > 0).cast("long")
-    some = goal.select("source", need.alias("need")).where("need > 0")
-    n, count = some.agg(F.coalesce(F.sum("need"), F.lit(0)), F.count("*")).first()
+    some = goal.select("source", "need").where("need > 0")
+    total, count = some.agg(F.coalesce(F.sum("need"), F.lit(0.0)), F.count("*")).first()
     by = W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ends = some.withColumn("hi", F.sum("need").over(by)).withColumn("lo", F.col("hi") - F.col("need"))
+    upto = F.sum("need").over(by)
+    last = F.row_number().over(by) == count
+    ends = some.withColumn("hi", F.when(last, 1.0).otherwise(upto / F.lit(total or 1.0))).withColumn("lo", F.lag("hi", 1, 0.0).over(W.orderBy(F.col("source").asc_nulls_last())))
     cells = max(64, 2 * count)
-    edge = [(F.col(c) / F.lit(float(n or 1))).alias(c) for c in ("lo", "hi")]
-    grid = ends.select("source", *edge)
-    grid = grid.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)))))
+    grid = ends.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)))))
+    grid = grid.select("source", "lo", "hi", "cell")
     i = F.col("id")
-    point = i * F.lit(GOLDEN) - F.floor(i * F.lit(GOLDEN))
-    at = spark.range(0, n).select(i, F.floor(i / F.lit(65536)).alias("chunk"), point.alias("u"))
+    point = i * F.lit(step) - F.floor(i * F.lit(step))
+    at = spark.range(0, round(total)).select(i, F.floor(i / F.lit(65536)).alias("chunk"), point.alias("u"))
     at = at.withColumn("cell", F.floor(F.col("u") * cells)).join(checked_broadcast(grid, 100_000), "cell").where("u >= lo and u < hi")
     at = at.select("id", "chunk", "source", F.lit(1).alias("one"))
     return prefix_within(at, ["source"], "chunk", ["id"], "one", "rank").select("id", "source", "rank")
 
 
-def schedule(goal: DataFrame) -> DataFrame:
-    """source, block, uses, part: how many slots take each whole block of each source, and words of a part of it."""
-    g = goal.select(F.col("source").alias("s"), "blocks", "ranks", "part_of", "part")
-    ranked = slots(goal).join(checked_broadcast(g, 100_000), F.col("source").eqNullSafe(F.col("s"))).where("rank < ranks")
-    taken = ranked.groupBy("source", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("uses"))
-    taken = Scratch(goal.sparkSession, "schedule").write(taken)
-    done = taken.groupBy("source").agg(F.sum("uses").alias("done"))
-    late = g.join(done, F.col("s").eqNullSafe(F.col("source")), "left").drop("source").withColumn("done", F.coalesce("done", F.lit(0)))
-    late = late.where("done < ranks").select(F.col("s").alias("source"), "blocks", F.explode(F.sequence(F.col("done"), F.col("ranks") - 1)).alias("rank"))
-    late = late.select("source", (F.col("rank") % F.col("blocks")).alias("block"), F.lit(1).cast("long").alias("uses"))
-    none = F.lit(0).cast("long")
-    parts = goal.where("part > 0").select("source", F.col("part_of").alias("block"), none.alias("uses"), "part")
-    every = taken.unionByName(late).withColumn("part", none).unionByName(parts)
-    return every.groupBy("source", "block").agg(F.sum("uses").alias("uses"), F.sum("part").alias("part"))
+def schedule(goal: DataFrame, step: float = GOLDEN) -> DataFrame:
+    """source, block, uses: how many slots take each block of each source; none is taken over MOST times."""
+    g = goal.select(F.col("source").alias("s"), "blocks")
+    ranked = slots(goal, step).join(checked_broadcast(g, 100_000), F.col("source").eqNullSafe(F.col("s"))).where(F.col("rank") < MOST * F.col("blocks"))
+    return ranked.groupBy("source", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count("*").alias("uses"))
 
 
-def mix_rows(docs: DataFrame, block: int = BLOCK, rows_each: int = 4096) -> DataFrame:
+def mix_rows(docs: DataFrame, block: int = BLOCK, rows_each: int = 4096, step: float = GOLDEN) -> DataFrame:
     """doc_id, source, h, size, source_size, target, taken for every row of docs (doc_id, text, source); h hashes the text."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
@@ -115,14 +103,14 @@ def mix_rows(docs: DataFrame, block: int = BLOCK, rows_each: int = 4096) -> Data
     some = some.withColumn("bucket", F.when(F.col("doc_id").isNull(), parts + F.pmod(F.xxhash64("h"), F.lit(parts))).otherwise(F.col("bucket")))
     placed = prefix_within(some, ["source"], "bucket", ["key", "doc_id", "h"], "size", "start")
     placed = scratch.write(placed.drop("key", "bucket"))
-    first, final = F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")
-    pieces = placed.select("source", "start", "size", F.explode(F.sequence(first, final)).alias("block"))
-    from_ = F.greatest("start", F.col("block") * block)
-    pieces = pieces.select("source", "start", "block", (from_ - F.col("block") * block).alias("at"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - from_).alias("words"))
-    u = schedule(goal).select(F.col("source").alias("s"), F.col("block").alias("b"), "uses", "part")
+    length = checked_broadcast(goal.select(F.col("source").alias("s"), "length"), 100_000)
+    pieces = placed.join(length, F.col("source").eqNullSafe(F.col("s"))).withColumn("end", F.col("start") + F.col("size"))
+    pieces = pieces.select("source", "start", "end", "length", F.explode(F.sequence(F.expr("start div length"), F.expr("(end - 1) div length"))).alias("block"))
+    words = F.least("end", (F.col("block") + 1) * F.col("length")) - F.greatest("start", F.col("block") * F.col("length"))
+    pieces = pieces.select("source", "start", "block", words.alias("words"))
+    u = schedule(goal, step).select(F.col("source").alias("s"), F.col("block").alias("b"), "uses")
     got = pieces.join(u, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    words = F.col("words") * F.col("uses") + F.greatest(F.lit(0), F.least(F.col("part") - F.col("at"), F.col("words")))
-    got = got.groupBy(F.col("source").alias("s"), F.col("start").alias("from")).agg(F.sum(words).alias("got"))
+    got = got.groupBy(F.col("source").alias("s"), F.col("start").alias("from")).agg(F.sum(F.col("words") * F.col("uses")).alias("got"))
     out = placed.join(got, F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("from")), "left")
     out = out.select("doc_id", "source", "h", "size", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
     out = out.unionByName(rows.where("size = 0").select("doc_id", "source", "h", "size", F.lit(0).cast("long").alias("taken")))
@@ -130,16 +118,16 @@ def mix_rows(docs: DataFrame, block: int = BLOCK, rows_each: int = 4096) -> Data
     return out.join(g, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "h", "size", "source_size", "target", "taken")
 
 
-def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, block: int = BLOCK, step: float = GOLDEN) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source).
 
     taken counts words with repeats, at most MOST times the document's size.  A null, empty or blank
     text has size 0 and takes nothing; null sources form a source of their own.  Repeated rows each
     have a place in the order; equal rows may swap theirs.  An empty table gives an empty result.
     The order of a source's documents is that of md5(doc_id), rows without an id last, so reruns agree.
-    A source takes its target, rounded to whole words.  Extra columns are ignored.
+    A source takes its target to within a few blocks, as its slots fall.  Extra columns are ignored.
     """
-    return mix_rows(docs, block).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_rows(docs, block, step=step).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
