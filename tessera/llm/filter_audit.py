@@ -7,11 +7,9 @@ then the difference between two neighbouring subsets, for all documents as for l
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import permutations
+from math import factorial
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,74 +67,70 @@ def mask_counts(docs: DataFrame, labels: DataFrame, conditions: dict[str, Column
     return every.groupBy("part", "mask").agg(F.sum("rows").alias("n"), weight("good").alias("good"), weight("toxic").alias("toxic"))
 
 
-def survivors(counts: np.ndarray) -> np.ndarray:
-    """Counts by failed mask (last axis, 2^k) to the survivors of every subset of filters.
+KINDS = ("n", "good", "toxic")
 
-    Zeta: sums over all masks inside a set, one axis for each filter; a subset's survivors fail
-    nothing but filters outside it.
+
+def survivors(parts: DataFrame, k: int) -> DataFrame:
+    """part, left: for every subset of k filters (its place in the array) the n, good and toxic that survive it.
+
+    parts: mask_counts().  Zeta: one pass for each filter makes of the counts by failed mask the sums over all
+    masks inside a set; a subset's survivors fail nothing but filters outside it.
     """
-    k = counts.shape[-1].bit_length() - 1
-    z = counts.reshape(*counts.shape[:-1], *[2] * k)
-    for axis in range(k):
-        z = np.cumsum(z, axis=z.ndim - 1 - axis)
-    return z.reshape(counts.shape)[..., ::-1]
-
-
-def steps(k: int) -> tuple[np.ndarray, np.ndarray]:
-    """All orders of k filters, and the subset that has been applied before each of their steps."""
-    orders = np.array(list(permutations(range(k))))
-    bits = 1 << orders
-    return orders, np.cumsum(bits, axis=1) - bits
-
-
-def interactions(counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Of counts [3, 2^k] (all, good, toxic): the columns of the result, each [orders, k]."""
-    k = counts.shape[-1].bit_length() - 1
-    left = survivors(counts)
-    orders, before = steps(k)
-    after, full = before + (1 << orders), (1 << k) - 1
-    lost = left[:, before] - left[:, after]
-    own = 1 << np.arange(k)
-    fails, only = left[0, 0] - left[0, own], left[0, full ^ own] - left[0, full]
-    shapley = np.array([lost[0][orders == i].sum() for i in range(k)])
-    return {
-        "kept": left[0, after],
-        "removed": lost[0],
-        "redundant": fails[orders] - lost[0],
-        "unique_fails": only[orders],
-        "good_lost": lost[1],
-        "toxic_lost": lost[2],
-        "shapley": shapley[orders],
-    }
+    cells = F.map_from_entries(F.collect_list(F.struct("mask", F.struct(*KINDS))))  # 2^k cells at most
+    none = F.struct(*[F.lit(0).cast("long").alias(c) for c in KINDS])
+    z = parts.groupBy("part").agg(cells.alias("cells"))
+    z = z.select("part", F.transform(F.sequence(F.lit(0), F.lit((1 << k) - 1)), lambda m: F.coalesce(F.try_element_at("cells", m), none)).alias("z"))
+    for bit in (1 << i for i in range(k)):
 
+        def add(x: Column, m: Column) -> Column:
+            other = F.get("z", m - bit)  # noqa: B023  (called in this turn of the loop)
+            return F.when(m.bitwiseAND(F.lit(bit)) > 0, F.struct(*[(x[c] + other[c]).alias(c) for c in KINDS])).otherwise(x)  # noqa: B023
 
-COLUMNS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+        z = z.select("part", F.transform("z", add).alias("z"))
+    return z.select("part", F.reverse("z").alias("left"))
 
 
 def audit(docs: DataFrame, labels: DataFrame, conditions: dict[str, Column] | None = None) -> DataFrame:
-    """part, filter_order, step and COLUMNS: every step of every order of the filters, for every part.
+    """part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley.
 
-    A null text is an empty one and a null source the part of the empty string.  Equal texts are copies
-    of the smallest id's (rows that repeat it included are not); a row without an id is neither.  An
-    empty table gives an empty result; other columns of both tables are ignored.  The zeta transform sees
-    one row a part, so its work grows with the parts and not with the documents.
+    Every step of every order of the filters, for every part.  A null text is an empty one and a null
+    source the part of the empty string.  Equal texts are copies of the smallest id's (rows that repeat
+    it included are not); a row without an id is neither.  An empty table gives an empty result; other
+    columns of both tables are ignored.  The transform sees one row a part, so its work grows with the
+    parts and not with the documents.
     """
     conditions = failures() if conditions is None else conditions
     letters = "".join(conditions) + COPIES
-    k = len(letters)
-    names = ["".join(letters[i] for i in p) for p in permutations(range(k))]
-    cell = F.struct("mask", "n", "good", "toxic")
-    parts = mask_counts(docs, labels, conditions).groupBy("part").agg(F.collect_list(cell).alias("cells"))  # 2^k cells at most
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        order = np.repeat(np.array(names, dtype=object), k)
-        step = np.tile(np.arange(1, k + 1), len(names))
-        for pdf in batches:
-            for part, cells in zip(pdf["part"], pdf["cells"], strict=True):
-                counts = np.zeros((3, 1 << k), dtype=np.int64)
-                for c in cells:
-                    counts[:, c["mask"]] = c["n"], c["good"], c["toxic"]
-                cols = {c: v.ravel() for c, v in interactions(counts).items()}
-                yield pd.DataFrame({"part": part, "filter_order": order, "step": step} | cols)
-
-    return parts.mapInPandas(run, "part string, filter_order string, step int, " + ", ".join(f"{c} long" for c in COLUMNS))
+    k, full = len(letters), (1 << len(letters)) - 1
+    at = lambda subset, kind="n": F.get("left", subset)[kind]
+    left = survivors(mask_counts(docs, labels, conditions), k)
+
+    def all_orders(i: int) -> Column:
+        """A filter's removals summed over all orders: each set before it stands in so many of them."""
+        before = [s for s in range(full + 1) if not s >> i & 1]
+        orders = {s: factorial(s.bit_count()) * factorial(k - 1 - s.bit_count()) for s in before}
+        return sum((F.lit(orders[s]) * (at(F.lit(s)) - at(F.lit(s | 1 << i))) for s in before), F.lit(0))
+
+    left = left.select("part", "left", F.array(*[all_orders(i) for i in range(k)]).alias("shapley"))
+    steps = []
+    for p in permutations(range(k)):
+        done = 0
+        for step, i in enumerate(p):
+            steps.append(F.struct(F.lit("".join(letters[j] for j in p)).alias("filter_order"), F.lit(step + 1).alias("step"), F.lit(i).alias("i"), F.lit(done).alias("before")))
+            done |= 1 << i
+    out = left.select("part", "left", "shapley", F.explode(F.array(*steps)).alias("s")).select("part", "left", "shapley", "s.*")
+    own = F.get(F.array(*[F.lit(1 << i) for i in range(k)]), F.col("i"))
+    out = out.withColumn("own", own).withColumn("after", F.col("before") + F.col("own"))
+    lost = lambda kind: at(F.col("before"), kind) - at(F.col("after"), kind)
+    return out.select(
+        "part",
+        "filter_order",
+        "step",
+        at(F.col("after")).alias("kept"),
+        lost("n").alias("removed"),
+        (at(F.lit(0)) - at(F.col("own")) - lost("n")).alias("redundant"),
+        (at(full - F.col("own")) - at(F.lit(full))).alias("unique_fails"),
+        lost("good").alias("good_lost"),
+        lost("toxic").alias("toxic_lost"),
+        F.get("shapley", F.col("i")).alias("shapley"),
+    )
