@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators import ngrams as N
 from tessera.operators import panel as P
 from tessera.operators import ranks as R
 from tessera.operators import text as D
 from tessera.plans.base import PANEL, panel, r9, unit_rank_sql
-from tessera.registry import query, table
+from tessera.operators.text import written
+from tessera.registry import query, spread, table
 
 # The positivity rule: a group with a value that is not positive has no geometric mean.
 GM = "CASE WHEN bool_and({0} > 0) THEN exp(avg(ln(CASE WHEN {0} > 0 THEN {0} END))) END".format
@@ -263,23 +265,24 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+BYTES = """b AS (SELECT doc_id, lang, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents),
+p AS (SELECT doc_id, lang, h, unnest(range(1, n + 1)) AS i FROM b),
+m AS (SELECT doc_id, lang, substr(h, 2 * greatest(i - 4, 1) - 1, 2 * (i - greatest(i - 4, 1))) AS longest, substr(h, 2 * i - 1, 2) AS next, count(*) AS k FROM p GROUP BY ALL),
+g AS (SELECT doc_id, lang, longest, next, k, w AS width, right(longest, 2 * w) AS context FROM (SELECT *, unnest(range(0, length(longest) // 2 + 1)) AS w FROM m))"""
+
+
 @query(
     "A24_ngram_counts",
-    """WITH p AS (SELECT lang, string_split(lower(text), '') AS c FROM documents WHERE length(text) > 1),
-e AS (SELECT lang, c, unnest(range(1, len(c))) AS i FROM p),
-g AS (SELECT lang, 0 AS width, '' AS context, c[i] AS next FROM e UNION ALL SELECT lang, 1, c[i], c[i + 1] FROM e)
-SELECT lang, width, count(*) AS joint, count(DISTINCT (context, next)) AS kinds FROM g GROUP BY lang, width""",
+    f"""WITH {BYTES}, j AS (SELECT lang, width, context, next, sum(k) AS joint FROM g GROUP BY ALL)
+SELECT lang, CAST(width AS INT) AS width, context, next, CAST(joint AS BIGINT) AS joint, CAST(sum(joint) OVER (PARTITION BY lang, width, context) AS BIGINT) AS context_count FROM j""",
 )
 def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Joint counts of (context, next character), context width 0 and 1, rolled up by language."""
-    c = F.split(F.lower("text"), "")
-    d = table(spark, sf_dir, "documents").where(F.length("text") > 1).select("lang", c.alias("c"))
-    following = F.slice("c", F.lit(2), F.size("c") - 1)
-    pairs = F.arrays_zip(F.slice("c", F.lit(1), F.size("c") - 1).alias("a"), following.alias("b"))
-    g = d.select("lang", F.explode(pairs).alias("p")).groupBy("lang", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("k"))
-    one = g.select("lang", F.lit(1).alias("width"), F.col("a").alias("c"), F.col("b").alias("n"), "k")
-    zero = g.groupBy("lang", "a").agg(F.sum("k").alias("k")).select("lang", F.lit(0).alias("width"), F.lit("").alias("c"), F.col("a").alias("n"), "k")
-    return one.union(zero).groupBy("lang", "width").agg(F.sum("k").alias("joint"), F.count("*").alias("kinds"))
+    """How often each byte follows each context of 0 to 4 bytes in a language, and how often the context occurs."""
+    d = spread(table(spark, sf_dir, "documents"))
+    c = N.language_counts(written(N.local_counts(d, "doc_id", "lang", "text")))
+    width, digits = N.width_of(F.col("gram")), F.lpad(F.hex("gram"), 12, "0")
+    chars = F.substring(digits, F.lit(11) - 2 * width, 2 * width)
+    return c.select("lang", width.alias("width"), chars.alias("context"), F.right(digits, F.lit(2)).alias("next"), "joint", F.col("context").alias("context_count"))
 
 
 @query(

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.hashing import h60, h60_sql
 from tessera.operators import arrays as A
+from tessera.operators import ngrams as N
 from tessera.operators import sequences as Q
 from tessera.operators import text as D
+from tessera.plans.aggregates import BYTES
 from tessera.plans.base import r9
 from tessera.registry import query, spread, table
 
@@ -216,28 +218,16 @@ def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "Q10_loo_ngram_logprob",
-    """WITH c AS (SELECT doc_id, lang, string_split(lower(text), '') AS c FROM documents WHERE length(text) > 1), p AS (SELECT doc_id, lang, c[i] AS a, c[i + 1] AS b FROM (SELECT *, unnest(range(1, len(c))) AS i FROM c)),
-l AS (SELECT doc_id, lang, a, b, count(*) AS k FROM p GROUP BY ALL), gj AS (SELECT lang, a, b, sum(k) AS k FROM l GROUP BY ALL), gc AS (SELECT lang, a, sum(k) AS k FROM l GROUP BY ALL), lc AS (SELECT doc_id, a, sum(k) AS k FROM l GROUP BY ALL)
-, w AS (SELECT l.doc_id, l.k, gj.k - l.k AS joint, gc.k - lc.k AS ctx FROM l JOIN gj ON l.lang = gj.lang AND l.a = gj.a AND l.b = gj.b JOIN gc ON l.lang = gc.lang AND l.a = gc.a JOIN lc ON l.doc_id = lc.doc_id AND l.a = lc.a)
-SELECT doc_id, round(sum(k * CASE WHEN ctx >= 20 THEN ln((joint + CAST(0.5 AS DOUBLE)) / (ctx + CAST(0.5 AS DOUBLE) * 256)) ELSE -ln(CAST(256 AS DOUBLE)) END) / sum(k), 9) AS mean_logp FROM w GROUP BY doc_id""",
+    f"""WITH {BYTES}, lj AS (SELECT doc_id, lang, width, context, next, sum(k) AS j FROM g GROUP BY ALL), lc AS (SELECT doc_id, lang, width, context, sum(j) AS c FROM lj GROUP BY ALL),
+gj AS (SELECT lang, width, context, next, sum(j) AS gj FROM lj GROUP BY ALL), gc AS (SELECT lang, width, context, sum(c) AS gc FROM lc GROUP BY ALL),
+r AS (SELECT g.doc_id, longest, next, width, k, gj - j AS joint, gc - c AS ctx FROM g JOIN lj USING (doc_id, lang, width, context, next) JOIN lc USING (doc_id, lang, width, context) JOIN gj USING (lang, width, context, next) JOIN gc USING (lang, width, context)),
+x AS (SELECT doc_id, longest, next, any_value(k) AS k, arg_max(ln((joint + CAST(0.5 AS DOUBLE)) / (ctx + 128)), width) AS logp FROM r WHERE width = 0 OR ctx >= 4 GROUP BY doc_id, longest, next)
+SELECT doc_id, CAST(sum(k) AS BIGINT) AS bytes, round(sum(k * logp) / sum(k), 9) AS mean_logp FROM x GROUP BY doc_id HAVING sum(k) > 1""",
 )
 def loo_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean log probability of each character after the one before, by counts of the language's other texts.
-
-    Pairs are counted by document first, so what is shuffled is distinct pairs, not characters.  Where
-    a context is rare among the others, the distribution is uniform.
-    """
-    c = F.split(F.lower("text"), "")
-    d = spread(table(spark, sf_dir, "documents")).where(F.length("text") > 1).select("doc_id", "lang", c.alias("c"))
-    n = F.size("c")
-    d = d.select("doc_id", "lang", F.explode(F.arrays_zip(F.slice("c", F.lit(1), n - 1).alias("a"), F.slice("c", F.lit(2), n - 1).alias("b"))).alias("p"))
-    local = d.groupBy("doc_id", "lang", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("k"))
-    joint = local.groupBy("lang", "a", "b").agg(F.sum("k").alias("gj"))
-    context = joint.groupBy("lang", "a").agg(F.sum("gj").alias("gc"))
-    w = local.withColumn("lc", F.sum("k").over(W.partitionBy("doc_id", "a"))).join(joint, ["lang", "a", "b"]).join(context, ["lang", "a"])
-    j, x = F.col("gj") - F.col("k"), F.col("gc") - F.col("lc")
-    logp = F.when(x >= 20, F.ln((j + 0.5) / (x + 0.5 * 256))).otherwise(-F.ln(F.lit(256.0)))
-    return w.groupBy("doc_id").agg(r9(F.sum(F.col("k") * logp) / F.sum("k")).alias("mean_logp"))
+    """Mean log probability of a text's bytes by the language's other texts; texts of less than two bytes have none."""
+    out = N.loo_scores(spread(table(spark, sf_dir, "documents")), "doc_id", "lang", "text")
+    return out.where("bytes > 1").select("doc_id", "bytes", r9(F.col("logp") / F.col("bytes")).alias("mean_logp"))
 
 
 @query(
