@@ -82,10 +82,3 @@ def residual_ridge(df: DataFrame, x: str, y: str, age: str, alpha: float, *group
     fit = state == "evaluated"
     slope = F.col("_n") * F.col("_c") / F.col("scale") / (F.col("_n") + alpha)
     return s.select(*group, state.alias("state"), *[F.when(fit, c).alias(k) for k, c in (("mean", F.col("mean")), ("scale", F.col("scale")), ("b0", F.col("b0")), ("b1", slope))])
-
-
-def residual(df: DataFrame, y: str, x: str, group: str, out: str) -> DataFrame:
-    """What is left of y after the line of x inside each group; a constant x leaves y less its mean."""
-    s = df.groupBy(group).agg(F.avg(y).alias("_my"), F.avg(x).alias("_mx"), F.covar_pop(x, y).alias("_c"), F.var_pop(x).alias("_v"))
-    b = F.coalesce(F.col("_c") / F.nullif("_v", F.lit(0.0)), F.lit(0.0))
-    return df.join(s, group).withColumn(out, F.col(y) - F.col("_my") - b * (F.col(x) - F.col("_mx"))).drop("_my", "_mx", "_c", "_v")

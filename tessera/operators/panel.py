@@ -85,3 +85,26 @@ def single_value(df: DataFrame, keys: list[str], signature: Column, value: str)
     )
     ok = (F.col("signatures") == 1) & F.col("_whole")
     return g.select(*keys, "signatures", F.when(ok, F.col("_mean")).alias("value"), (~ok).alias("conflict"))
+
+
+def compatibility(df: DataFrame, levels: dict[str, Column], subject: str, study: str, reference, target, least: int) -> DataFrame:  # noqa: ANN001
+    """level, reference_defined, compatible, meets_minimum for each level of strictness.
+
+    levels: a row's metadata signature by level; null ones are ignored.  A subject of a study has a
+    signature if all its rows agree; the reference study has one if all its subjects have the same.
+    compatible counts the target study's subjects with that one.  Rows become one minimum and maximum a
+    subject and level before anything is joined.
+    """
+    rows = F.array(*[F.struct(F.lit(n).alias("level"), s.cast("string").alias("s")) for n, s in levels.items()])
+    r = df.select(F.col(subject).alias("_subject"), F.col(study).alias("_study"), F.explode(rows).alias("x"))
+    p = r.groupBy("x.level", "_subject", "_study").agg(F.min("x.s").alias("low"), F.max("x.s").alias("high"))
+    of = lambda which, c: F.when(F.col("_study").eqNullSafe(F.lit(which)), c)
+    own = p.groupBy("level").agg(
+        F.min(of(reference, F.col("low"))).alias("low"),
+        F.max(of(reference, F.col("high"))).alias("high"),
+    )
+    wanted = own.select(F.col("level").alias("_level"), F.when(F.col("low") == F.col("high"), F.col("low")).alias("wanted"))
+    p = p.join(F.broadcast(wanted), F.col("level") == F.col("_level"))  # one row a level
+    hit = F.count_if(of(target, (F.col("low") == F.col("high")) & (F.col("low") == F.col("wanted"))))
+    g = p.groupBy("level").agg(F.max(F.col("wanted").isNotNull()).alias("reference_defined"), hit.alias("compatible"))
+    return g.withColumn("meets_minimum", F.col("compatible") >= least)

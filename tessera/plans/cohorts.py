@@ -11,6 +11,9 @@ from tessera.functions.hashing import h60, h60_sql
 from tessera.operators import cohort as G
 from tessera.operators import metrics as M
 from tessera.operators import ranks as R
+from tessera.operators import splits as S
+from tessera.operators.positions import numbered
+from tessera.operators.text import written
 from tessera.plans.base import PANEL, SCORED, avg_rank_sql, panel, r9, scored, unit_rank_sql
 from tessera.operators.metrics import correlation
 from tessera.registry import query, table
@@ -67,12 +70,41 @@ def greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CASE WHEN p <= n // 2 THEN 'development' ELSE 'holdout' END AS half, CAST({h60_sql("'g7'", "doc_id")} % 5 AS INT) AS hash_fold, CAST((k - 1) % 5 AS INT) AS fold FROM r""",
 )
 def folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.row_number().over(W.partitionBy("lang").orderBy(h60("g6", F.col("doc_id")), "doc_id"))
-    half = F.when(p <= F.floor(R.size("lang") / 2), "development").otherwise("holdout")
-    return scored(spark, sf_dir).select("doc_id", half.alias("half"), G.hash_fold(F.col("doc_id"), 5, "g7").alias("hash_fold"), G.stratified_fold(["lang", "y"], "doc_id", 5, "g8").alias("fold"))
+    d = numbered(scored(spark, sf_dir).select("doc_id", "lang", "y"), [h60("g6", F.col("doc_id")), "doc_id"], "lang", out="p")
+    n = d.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n"))
+    d = d.join(F.broadcast(n), F.col("lang").eqNullSafe(F.col("l")))  # one row a language
+    d = numbered(d, [h60("g8", F.col("doc_id")), "doc_id"], "lang", "y", out="k")
+    half = F.when(F.col("p") < F.floor(F.col("n") / 2), "development").otherwise("holdout")
+    return d.select("doc_id", half.alias("half"), G.hash_fold(F.col("doc_id"), 5, "g7").alias("hash_fold"), (F.col("k") % 5).cast("int").alias("fold"))
 
 
-@query("G9_G13_balanced_group_folds")
+@query(
+    "G8_nested_splits",
+    f"""WITH {SCORED}, r AS (SELECT doc_id, lang, y, CAST((row_number() OVER (PARTITION BY lang, y ORDER BY {h60_sql("'g8'", "doc_id")}, doc_id) - 1) % 5 AS INT) AS fold FROM scored),
+x AS (SELECT *, CAST(unnest(range(0, 5)) AS INT) AS outer_fold FROM r),
+p AS (SELECT doc_id, outer_fold, 5 * (row_number() OVER (PARTITION BY outer_fold, lang, y ORDER BY {h60_sql("'nested'", "outer_fold", "doc_id")}, doc_id) - 1) AS p, count(*) OVER (PARTITION BY outer_fold, lang, y) AS n FROM x WHERE fold <> outer_fold)
+SELECT doc_id, outer_fold, CASE WHEN p < n THEN 'select' WHEN p < 2 * n THEN 'early' ELSE 'train' END AS role FROM p UNION ALL SELECT doc_id, outer_fold, 'hold' FROM x WHERE fold = outer_fold""",
+)
+def nested_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five outer folds by language and label, and inside each fitting set 60, 20 and 20 of a hundred to train, stop early and select."""
+    s = numbered(scored(spark, sf_dir), [h60("g8", F.col("doc_id")), "doc_id"], "lang", "y", out="place")
+    s = s.select("doc_id", "lang", "y", (F.col("place") % 5).cast("int").alias("fold"))
+    return S.nested_split(s, ["lang", "y"], "doc_id", "fold", 5, "nested").select("doc_id", F.col("outer").alias("outer_fold"), "role")
+
+
+@query("G9_stratified_group_folds")
+def stratified_group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents in five folds: near-duplicate groups stay whole, languages and labels are spread evenly."""
+    from tessera.plans.corpus import minhash_groups
+
+    g = minhash_groups(spark, sf_dir).select("doc_id", "group")
+    d = scored(spark, sf_dir).select("doc_id", "lang", "y").join(g, "doc_id")
+    d = written(d)
+    folds = S.stratified_group_folds(d, "group", ["lang", "y"], 5, "g9")
+    return d.join(folds, "group").select("doc_id", "group", "fold")
+
+
+@query("G13_balanced_group_folds")
 def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
     return G.balanced_folds(sizes, "source", "n", 4)

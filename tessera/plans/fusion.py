@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import fusion as E
 from tessera.operators import integrity as H
 from tessera.operators import joins as J
+from tessera.operators import linear as L
 from tessera.operators import ranks as R
 from tessera.plans.base import PANEL, SCORED, avg_rank_sql, panel, r9, scored
 from tessera.operators.metrics import correlation
@@ -104,11 +105,15 @@ def frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "E16_length_residual",
-    f"""WITH {SCORED}, s AS (SELECT lang, avg(s2) AS my, avg(s1) AS mx, covar_pop(s1, s2) AS c, var_pop(s1) AS v FROM scored GROUP BY lang)
-SELECT doc_id, round(s2 - my - coalesce(c / nullif(v, 0), 0) * (s1 - mx), 9) AS residual FROM scored JOIN s USING (lang)""",
+    f"""WITH {SCORED}, z AS (SELECT doc_id, lang, s2 AS y, s1 AS a, ln(1 + ceil(n_chars / CAST(512 AS DOUBLE))) AS b FROM scored),
+l AS (SELECT lang, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS wy FROM z GROUP BY lang),
+p AS (SELECT sum(n * aa) AS aa, sum(n * bb) AS bb, sum(n * ab) AS ab, sum(n * ay) AS ay, sum(n * wy) AS wy FROM l), c AS (SELECT (bb * ay - ab * wy) / (aa * bb - ab * ab) AS u, (aa * wy - ab * ay) / (aa * bb - ab * ab) AS v FROM p)
+SELECT doc_id, round(y - my - u * (a - ma) - v * (b - mb), 8) AS residual FROM z JOIN l USING (lang), c""",
 )
 def length_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.residual(scored(spark, sf_dir), "s2", "s1", "lang", "residual").select("doc_id", r9("residual").alias("residual"))
+    """What is left of a score after least squares on two log lengths (characters, windows of 512) and the language."""
+    d = scored(spark, sf_dir).withColumn("windows", F.log1p(F.ceil(F.col("n_chars") / 512.0).cast("double")))
+    return L.group_residual(d, "s2", ["s1", "windows"], "lang", "residual").select("doc_id", F.round("residual", 8).alias("residual"))
 
 
 @query(
@@ -145,34 +150,88 @@ def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("E9_oof_logistic")
 def oof_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.operators import models as L
+    from tessera.operators import models as Z
 
-    return L.cross_fitted(_folded(spark, sf_dir), ["s1", "s2", "s3"], "y", "fold", 3, L.logistic("y", 0.2)).select("doc_id", "fold", r9("oof").alias("oof"))
+    return Z.cross_fitted(_folded(spark, sf_dir), ["s1", "s2", "s3"], "y", "fold", 3, Z.logistic("y", 0.2)).select("doc_id", "fold", r9("oof").alias("oof"))
 
 
-@query("E12_E22_oof_ridge_residual")
+@query("E12_oof_ridge_residual")
 def oof_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-fitted ridge of the rank residual, clipped."""
-    from tessera.operators import models as L
+    from tessera.operators import models as Z
 
     d = _folded(spark, sf_dir)
     d = d.withColumn("target", R.unit_rank(F.col("s3"), "lang") - R.unit_rank(F.col("s1"), "lang"))
-    out = L.cross_fitted(d, ["s1", "s2"], "target", "fold", 3, L.ridge("target", 1.0))
+    out = Z.cross_fitted(d, ["s1", "s2"], "target", "fold", 3, Z.ridge("target", 1.0))
     return out.select("doc_id", r9(F.least(F.lit(0.5), F.greatest(F.lit(-0.5), F.col("oof")))).alias("residual"))
 
 
-@query("E13_E21_interaction_ridge")
+@query("E21_interaction_ridge")
 def interaction_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two stacked targets with a code column and the features' products with it; predictions of the first."""
-    from tessera.operators import models as L
+    from tessera.operators import models as Z
 
     d = _folded(spark, sf_dir).na.fill({"s2": 0.0})
     both = d.withColumn("code", F.lit(0.0)).withColumn("target", F.col("s3")).unionByName(d.withColumn("code", F.lit(1.0)).withColumn("target", F.col("s4") / 100))
     both = both.withColumn("c1", F.col("s1") * F.col("code")).withColumn("c2", F.col("s2") * F.col("code"))
-    out = L.cross_fitted(both, ["s1", "s2", "c1", "c2", "code"], "target", "fold", 3, L.ridge("target", 1.0))
+    out = Z.cross_fitted(both, ["s1", "s2", "c1", "c2", "code"], "target", "fold", 3, Z.ridge("target", 1.0))
     return out.where("code = 0").select("doc_id", r9("oof").alias("prediction"))
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents with the language as study; three neighbouring ids are one subject, often of several studies."""
+    s = scored(spark, sf_dir).withColumn("subject", F.floor(F.col("doc_id") / 3)).withColumnRenamed("lang", "study")
+    return s.select("doc_id", "study", "subject", "s1", "s2", "s3", "s4", F.col("y").cast("double").alias("y"))
+
+
+BASE, CORRECTION = ["s1", "s2"], ["s1", "s2", "s4"]
+
+
+@query("E22_rank_residual")
+def rank_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every held study's training rows: the target's rank less that of a base score fitted without the row's study and subjects."""
+    out = L.rank_residuals(_subjects(spark, sf_dir), "study", "subject", "s3", BASE, 10.0)
+    return out.select(F.col("_held").alias("held"), "study", "doc_id", r9("base_rank").alias("base_rank"), r9("target_rank").alias("target_rank"), r9("residual").alias("residual"))
+
+
+@query("E12_weighted_residual_ridge")
+def weighted_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each study's rows corrected by the ridge on the other studies' rank residuals, studies weighing alike, clipped."""
+    d = _subjects(spark, sf_dir)
+    train = L.rank_residuals(d, "study", "subject", "s3", BASE, 10.0)
+    n = train.groupBy(F.col("_held").alias("_h"), F.col("study").alias("_st")).agg((F.lit(1.0) / F.count("*")).alias("mass"))
+    train = train.join(J.small(n), (F.col("_held") == F.col("_h")) & (F.col("study") == F.col("_st"))).drop("_h", "_st")
+    out = L.held_out_ridge(train, "_held", "residual", CORRECTION, 0.01, d, "study", "correction", weight="mass", clip=0.25)
+    return out.select("study", "doc_id", r9("correction").alias("correction"))
+
+
+@query("E13_shared_and_deviations")
+def shared_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each study's rows scored by the part of a ridge that the other studies share."""
+    out = L.shared_and_deviations(_subjects(spark, sf_dir), "study", "s3", CORRECTION, 10.0, 0.25, "prediction")
+    return out.select("study", "doc_id", r9("prediction").alias("prediction"))
+
+
+#: Sets of columns whose models are compared over repeated cross-validations.
+VARIANTS = {"length": ["s1"], "length_density": ["s1", "s2"], "all": ["s1", "s2", "s3", "s4"]}
+
+
+@query("B7_repeated_cross_validation")
+def repeated_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, deviation, least and largest AUC (and true positive rate at 1 % false ones) of each variant over ten dealings into five folds."""
+    from tessera.operators import metrics as M
+
+    s = scored(spark, sf_dir).withColumn("y", F.col("y").cast("double"))
+    out = L.repeated_cv(s, "doc_id", "y", VARIANTS, 10, 5, 1.0, "b7-").withColumn("score", F.round("score", 12))
+    auc = M.auc(out, "score", "y", "variant", "seed")
+    tpr = M.tpr_at(out, "score", "y", 0.01, "variant", "seed")
+    both = auc.select("variant", "seed", "auc").join(tpr.select("variant", "seed", "tpr"), ["variant", "seed"])
+    return both.groupBy("variant").agg(
+        F.count("*").alias("seeds"), r9(F.avg("auc")).alias("auc_mean"), r9(F.stddev_pop("auc")).alias("auc_std"), r9(F.min("auc")).alias("auc_min"), r9(F.max("auc")).alias("auc_max"),
+        r9(F.avg("tpr")).alias("tpr1_mean"), r9(F.stddev_pop("tpr")).alias("tpr1_std"),
+    )
+
+
 @query("E11_E20_pairwise_ranker")
 def pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A boosted classifier on differences inside a nation; each customer's mean chance to win over its nation's others.
@@ -199,13 +258,13 @@ def pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("E14_perceptron_probe")
 def probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.operators import models as L
+    from tessera.operators import models as Z
 
     t = table(spark, sf_dir, "embeddings")
     n = t.agg(F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()[0]
     e = t.select("vec_id", (F.col("label") == 0).cast("double").alias("y"), *[F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(n)])
     e = e.withColumn("fold", (F.col("vec_id") % 2).cast("int"))
-    return L.cross_fitted(e, [f"e{i}" for i in range(n)], "y", "fold", 2, L.perceptron("y", n)).select("vec_id", r9("oof").alias("oof"))
+    return Z.cross_fitted(e, [f"e{i}" for i in range(n)], "y", "fold", 2, Z.perceptron("y", n)).select("vec_id", r9("oof").alias("oof"))
 
 
 @query(

@@ -13,6 +13,7 @@ from tessera.operators import arrays as A
 from tessera.operators import contracts as K
 from tessera.operators import joins as J
 from tessera.operators import panel as P
+from tessera.operators import positions as O
 from tessera.plans.base import PANEL, SCORED, panel, r9, scored
 from tessera.operators.metrics import correlation
 from tessera.registry import query, table
@@ -209,7 +210,7 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "F11_F12_F19_metadata_conflicts",
+    "F11_F12_metadata_conflicts",
     """SELECT l_orderkey, count(DISTINCT l_returnflag || '/' || l_linestatus) AS signatures, round(CASE WHEN count(DISTINCT l_returnflag || '/' || l_linestatus) = 1 THEN avg(l_quantity) END, 9) AS value,
 count(DISTINCT l_returnflag || '/' || l_linestatus) <> 1 AS conflict FROM lineitem GROUP BY l_orderkey""",
 )
@@ -218,6 +219,20 @@ def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("value", r9("value"))
 
 
+@query(
+    "F19_compatibility_levels",
+    f"""WITH {PANEL}, r AS (SELECT participant, study, unnest([{{'level': 'exact', 's': feature || '/' || k}}, {{'level': 'feature', 's': feature}}, {{'level': 'half', 's': CAST(k >= 50 AS VARCHAR)}}, {{'level': 'timepoint', 's': timepoint}}]) AS x FROM panel WHERE day = 1),
+p AS (SELECT x.level AS level, participant, study, min(x.s) AS signature, min(x.s) = max(x.s) AS one FROM r GROUP BY ALL),
+t AS (SELECT level, CASE WHEN bool_and(one) AND min(signature) = max(signature) THEN min(signature) END AS target FROM p WHERE study = 0 GROUP BY level)
+SELECT level, target IS NOT NULL AS reference_defined, count_if(study = 1 AND one AND signature = target) AS compatible, count_if(study = 1 AND one AND signature = target) >= 8 AS meets_minimum FROM p LEFT JOIN t USING (level) GROUP BY level, target""",
+)
+def compatibility_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Participants of study 1 whose baseline metadata is that of study 0, at four levels of strictness."""
+    p = panel(spark, sf_dir).where("day = 1")
+    levels = {"exact": F.concat_ws("/", "feature", F.col("k").cast("string")), "feature": F.col("feature"), "half": (F.col("k") >= 50).cast("string"), "timepoint": F.col("timepoint")}
+    return P.compatibility(p, levels, "participant", "study", 0, 1, 8)
+
+
 @query(
     "F18_soft_failure",
     """WITH c AS (SELECT n.n_name, count(s_suppkey) AS k, (covar_pop(s_suppkey, s_acctbal) / nullif(stddev_pop(s_suppkey) * stddev_pop(s_acctbal), 0)) AS r FROM nation n LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY ALL)
@@ -253,7 +268,20 @@ def view_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "lang", "view_quality", F.coalesce("has", F.lit(False)).alias("has_view"))
 
 
-@query("J5_J16_coverage_exact", "SELECT count(*) AS n, count(DISTINCT l_orderkey) AS orders FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
+@query(
+    "J16_aligned_by_position",
+    """WITH a AS (SELECT doc_id, quality, row_number() OVER (ORDER BY doc_id) AS p FROM labels), b AS (SELECT doc_id AS other, lang, row_number() OVER (ORDER BY doc_id) AS p FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
+SELECT p - 1 AS position, doc_id, quality, lang FROM a JOIN b USING (p) WHERE doc_id = other""",
+)
+def aligned_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and their documents, each sorted by itself, put side by side; every pair is of one document."""
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("other"), "lang")
+    d = d.join(lab.select(F.col("doc_id").alias("other")), "other", "left_semi")
+    return O.aligned(lab, d, ["doc_id"], ["other"], F.col("doc_id") == F.col("other")).drop("other")
+
+
+@query("J5_coverage_exact", "SELECT count(*) AS n, count(DISTINCT l_orderkey) AS orders FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
 def coverage_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     a = li.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"))
