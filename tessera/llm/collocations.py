@@ -22,8 +22,9 @@ BREAK = b"\xff"  # no UTF-8 text has this byte
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 TABLE = bytes.maketrans(UPPER + ENDS + b"\t", LOWER + b"\n" * len(ENDS) + b" ")
-TEXT_BYTES = 1 << 20  # of texts that are split at once
-KEYS = 1 << 21  # keys that are sorted at once
+TEXT_BYTES = 1 << 14  # of texts in a row of ids; a scan holds some thousands of such rows
+KEYS = 1 << 20  # keys that are sorted at once
+WORDS = 200_000  # that a task counts before it passes them on
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -58,7 +59,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """lang, word, f.  A task counts before the shuffle and never holds over half a million words."""
+    """lang, word, f.  A task counts before the shuffle and never holds many more than WORDS of them."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -71,11 +72,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), words, pa.array(list(c.values()), pa.int64())], names=["lang", "word", "f"])
             counts.clear()
 
-        for lang, text in texts_by_language(batches):
+        for lang, text in texts_by_language(batches, 1 << 19):
             c = counts.setdefault(lang, Counter())
             c.update(tokens(text))
             del c[BREAK]
-            if sum(map(len, counts.values())) > 500_000:
+            if sum(map(len, counts.values())) > WORDS:
                 yield from emit()
         yield from emit()
 
@@ -92,7 +93,7 @@ def numbered(words: DataFrame, scratch: Scratch) -> DataFrame:
         offsets.append((p, n))
         n += sizes[p]
     o = t.sparkSession.createDataFrame(offsets, "_p long, _o long")
-    return scratch.write(t.join(F.broadcast(o), "_p").select("lang", "word", "f", (F.col("_o") + F.col("_i")).alias("id")))
+    return scratch.write(t.join(F.broadcast(o), "_p").select("lang", "word", "f", (F.col("_o") + F.col("_i")).cast("int").alias("id")))
 
 
 def id_bytes(n: int) -> int:
@@ -101,7 +102,7 @@ def id_bytes(n: int) -> int:
 
 
 def encoded(docs: DataFrame, words: DataFrame, n: int, most: int) -> DataFrame:
-    """ids: arrays of word ids, with 0 for breaks, a text or several in each.
+    """ids: arrays of word ids, with 0 for breaks and at the end, a text or several in each.
 
     Up to `most` words the dictionary is broadcast, a bound of what tasks hold.  Beyond it the `most`
     commonest still are, and words are looked up by a join only where they are none of those; they are
@@ -127,24 +128,24 @@ def encoded(docs: DataFrame, words: DataFrame, n: int, most: int) -> DataFrame:
             known = lookup()
             for lang, text in texts_by_language(batches):
                 get = known.get(lang, {}).get
-                ids = np.fromiter(map(get, tokens(text), repeat(0)), dtype=np.int64)
+                ids = np.fromiter(map(get, [*tokens(text), BREAK], repeat(0)), dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))], names=["ids"])
 
-        return cleaned(docs).mapInArrow(run, "ids array<bigint>")
+        return cleaned(docs).mapInArrow(run, "ids array<int>")
 
     def split(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         known = lookup()
         for lang, text in texts_by_language(batches):
-            t = tokens(text)
+            t = [*tokens(text), BREAK]
             ids = [known.get(lang, {}).get(w, 0) for w in t]
             # a number for a common word, the word itself for any other, neither for a break
             rest = [None if i or w == BREAK else w for i, w in zip(ids, t, strict=True)]
-            cols = [pa.array([lang], pa.string()), pa.array([ids], pa.list_(pa.int64())), pa.array([rest], pa.list_(pa.binary())).cast(pa.list_(pa.string()))]
+            cols = [pa.array([lang], pa.string()), pa.array([ids], pa.list_(pa.int32())), pa.array([rest], pa.list_(pa.binary())).cast(pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, names=["lang", "ids", "rest"])
 
-    t = Scratch(spark, "encoded").write(cleaned(docs).mapInArrow(split, "lang string, ids array<bigint>, rest array<string>").withColumn("chunk", F.monotonically_increasing_id()))
+    t = Scratch(spark, "encoded").write(cleaned(docs).mapInArrow(split, "lang string, ids array<int>, rest array<string>").withColumn("chunk", F.monotonically_increasing_id()))
     rare = t.select("chunk", "lang", F.posexplode("rest").alias("at", "word")).where("word is not null")
     found = rare.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("at", "id"))).alias("more"))
     ids = F.transform("ids", lambda i, k: F.when(i > 0, i).otherwise(F.coalesce(F.try_element_at("more", k), F.lit(0).cast("long"))))
@@ -159,14 +160,14 @@ def packed(ids: np.ndarray, longest: int, width: int, share: float = 1.0) -> np.
     at = np.flatnonzero(ids)
     if share < 1.0:
         at = at[np.random.default_rng(len(ids)).random(len(at)) < share]
-    wide = np.zeros((len(ids) + longest, 8), dtype=np.uint8)
-    wide[: len(ids)] = ids.astype(">u8").view(np.uint8).reshape(-1, 8)
+    wide = np.zeros((len(ids) + longest, 4), dtype=np.uint8)
+    wide[: len(ids)] = ids.astype(">u4").view(np.uint8).reshape(-1, 4)
     alive = np.concatenate([ids > 0, np.zeros(longest, dtype=bool)])
     keys = np.zeros((len(at), longest * width + longest * width % 2), dtype=np.uint8)
     going = np.ones(len(at), dtype=bool)
     for j in range(longest):
         going &= alive[at + j]
-        keys[:, j * width : (j + 1) * width] = wide[at + j, 8 - width :] * going[:, None]
+        keys[:, j * width : (j + 1) * width] = wide[at + j, 4 - width :] * going[:, None]
     return keys.view(">u2").astype(np.uint16)
 
 
@@ -207,7 +208,7 @@ def phrase_runs(keys: np.ndarray, counts: np.ndarray, longest: int, width: int,
         keep[0] = keep[-1] = True
         keep &= part[new, (m - 1) * width :].any(axis=1)  # shorter phrases end in a zero
         rows = part[new[keep]].reshape(-1, m, width)
-        ids = np.zeros(rows.shape[:2], dtype=np.int64)
+        ids = np.zeros(rows.shape[:2], dtype=np.int32)
         for b in range(width):
             ids = (ids << 8) | rows[:, :, b]
         yield ids, total[keep]
@@ -228,9 +229,8 @@ def splitters(ids: DataFrame, n: int, longest: int, width: int, per: int) -> lis
         import pyarrow as pa
 
         for b in batches:
-            for one in b.column("ids"):
-                keys = packed(one.values.to_numpy(zero_copy_only=False), longest, width, share)
-                yield pa.RecordBatch.from_arrays([pa.array([to_bytes(k) for k in keys], pa.binary())], names=["k"])
+            keys = packed(b.column("ids").flatten().to_numpy(), longest, width, share)
+            yield pa.RecordBatch.from_arrays([pa.array([to_bytes(k) for k in keys], pa.binary())], names=["k"])
 
     got = sorted(r[0] for r in ids.mapInArrow(run, "k binary").limit(4 * want).collect())
     got = [bytes(k) for k in got]
@@ -259,9 +259,13 @@ def dealt(ids: DataFrame, longest: int, width: int, cuts: list[bytes], size: int
     def run(batches: Iterator) -> Iterator:
         held, n = [], 0
         for b in batches:
-            for one in b.column("ids"):
-                held.append(packed(one.values.to_numpy(zero_copy_only=False), longest, width))
-                n += len(held[-1])
+            ids = b.column("ids").flatten().to_numpy()
+            for at in range(0, len(ids), size):
+                # the ids after a part's last place belong to its keys, too
+                part = packed(ids[at : at + size + longest - 1], longest, width)
+                part = part[: np.count_nonzero(ids[at : at + size])]
+                held.append(part)
+                n += len(part)
                 if n >= size:
                     yield from blobs(held)
                     held, n = [], 0
@@ -285,7 +289,7 @@ def counted(blobs: DataFrame, longest: int, width: int, least: int) -> DataFrame
         flat = [pa.ListArray.from_arrays(pa.array(np.arange(0, ids.size + 1, ids.shape[1]), pa.int32()), pa.array(ids.ravel())) for ids, _ in parts]
         return pa.table({"ids": pa.concat_arrays(flat), "f": pa.array(np.concatenate([f for _, f in parts]))})
 
-    out = blobs.groupBy("range").applyInArrow(merge, "ids array<bigint>, f long")
+    out = blobs.groupBy("range").applyInArrow(merge, "ids array<int>, f long")
     # a phrase that goes over the end of a range comes once from each
     return out.groupBy("ids").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
@@ -307,7 +311,7 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, most_words: int = 1
 
 def inner_parts(ids: Column, longest: int) -> Column:
     """All shorter contiguous parts of two words or more."""
-    none = F.array().cast("array<array<bigint>>")
+    none = F.array().cast("array<array<int>>")
 
     def runs(m: int) -> Column:
         starts = F.sequence(F.lit(1), F.size(ids) - (m - 1))
