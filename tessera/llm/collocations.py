@@ -84,8 +84,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def numbered(words: DataFrame, scratch: Scratch) -> DataFrame:
-    """lang, word, f, id: ids from 1 in the order of the written partitions, without one big window."""
-    t = scratch.write(words.select("*", F.monotonically_increasing_id().alias("_m")))
+    """lang, word, f, id: ids from 1, the commonest words first, by ranges of a distributed sort."""
+    t = scratch.write(words.orderBy(F.desc("f"), "lang", "word").select("*", F.monotonically_increasing_id().alias("_m")))
     t = t.select("lang", "word", "f", F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)).alias("_i"))
     sizes = {r[0]: r[1] for r in t.groupBy("_p").count().collect()}  # one row a partition
     offsets, n = [], 1
@@ -194,6 +194,23 @@ def to_bytes(keys: np.ndarray) -> bytes:
     return keys.astype(">u2").tobytes()
 
 
+def squeezed(a: np.ndarray) -> bytes:
+    """Rows of integers byte plane by byte plane, compressed; of sorted keys the first planes are nearly constant."""
+    import pyarrow as pa
+
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(blob, n: int, kind: str, width: int) -> np.ndarray:  # noqa: ANN001
+    """[n, width] integers of that kind."""
+    import pyarrow as pa
+
+    size = np.dtype(kind).itemsize * width
+    planes = np.frombuffer(pa.decompress(blob, n * size, codec="zstd"), dtype=np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind)
+
+
 def phrase_runs(keys: np.ndarray, counts: np.ndarray, longest: int, width: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of sorted distinct keys, for each length from 2: the phrases' ids [n, length] and counts.
 
@@ -239,7 +256,7 @@ def splitters(ids: DataFrame, n: int, longest: int, width: int, per: int) -> lis
 
 
 def dealt(ids: DataFrame, longest: int, width: int, cuts: list[bytes], size: int = KEYS) -> DataFrame:
-    """range, keys, counts: sorted distinct keys of a task as blobs, one for each range that they touch."""
+    """range, n, keys, counts: sorted distinct keys of a task as blobs, one for each range that they touch."""
 
     def blobs(parts: list[np.ndarray]) -> Iterator:
         import pyarrow as pa
@@ -252,9 +269,11 @@ def dealt(ids: DataFrame, longest: int, width: int, cuts: list[bytes], size: int
         # S compares like bytes up to trailing zeros, which shorter phrases end in: the order is the same
         at = np.searchsorted(raw.view(np.uint8).reshape(len(raw), -1).copy().view(kind).ravel(), np.array(cuts, dtype=kind), side="left") if cuts else np.zeros(0, int)
         edges = np.concatenate([[0], at, [len(raw)]])
-        rows = [(i, to_bytes(keys[a:b]), counts[a:b].astype("<u4").tobytes()) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-        r, k, c = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=["range", "keys", "counts"])
+        counts = counts.astype("<u4")
+        rows = [(i, b - a, squeezed(raw[a:b]), squeezed(counts[a:b])) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
+        r, n, k, c = zip(*rows, strict=True)
+        cols = [pa.array(r, pa.int32()), pa.array(n, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["range", "n", "keys", "counts"])
 
     def run(batches: Iterator) -> Iterator:
         held, n = [], 0
@@ -272,7 +291,7 @@ def dealt(ids: DataFrame, longest: int, width: int, cuts: list[bytes], size: int
         if n:
             yield from blobs(held)
 
-    return ids.mapInArrow(run, "range int, keys binary, counts binary")
+    return ids.mapInArrow(run, "range int, n int, keys binary, counts binary")
 
 
 def counted(blobs: DataFrame, longest: int, width: int, least: int) -> DataFrame:
@@ -282,9 +301,10 @@ def counted(blobs: DataFrame, longest: int, width: int, least: int) -> DataFrame
     def merge(table):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
-        keys = np.concatenate([np.frombuffer(k.as_buffer(), dtype=">u2") for k in table.column("keys")]).reshape(-1, digits).astype(np.uint16)
-        counts = np.concatenate([np.frombuffer(c.as_buffer(), dtype="<u4") for c in table.column("counts")]).astype(np.int64)
-        keys, counts = run_lengths(keys, counts)
+        n = table.column("n").to_pylist()
+        keys = np.concatenate([unsqueezed(k.as_buffer(), i, ">u2", digits).astype(np.uint16) for k, i in zip(table.column("keys"), n, strict=True)])
+        counts = np.concatenate([unsqueezed(c.as_buffer(), i, "<u4", 1).ravel() for c, i in zip(table.column("counts"), n, strict=True)])
+        keys, counts = run_lengths(keys, counts.astype(np.int64))
         parts = list(phrase_runs(keys, counts, longest, width, least))
         flat = [pa.ListArray.from_arrays(pa.array(np.arange(0, ids.size + 1, ids.shape[1]), pa.int32()), pa.array(ids.ravel())) for ids, _ in parts]
         return pa.table({"ids": pa.concat_arrays(flat), "f": pa.array(np.concatenate([f for _, f in parts]))})
@@ -355,6 +375,9 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     out = best.join(spelled, "ids")
     from pyspark.sql import Window as W
 
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    by = [F.desc("score"), F.desc("a"), "phrase"]
+    # first the best of each of 64 parts of a language, so that one task ranks 64 * top rows at most
+    part = F.row_number().over(W.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(*by))
+    out = out.withColumn("rank", part).where(F.col("rank") <= top)
+    out = out.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*by))).where(F.col("rank") <= top)
     return out.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
