@@ -30,20 +30,17 @@ def spearman(df: DataFrame, x: str, y: str, *group: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, score: str, label: str, *group: str) -> DataFrame:
-    """Positives and negatives of each distinct score, with what stands above it in its group."""
-    h = df.groupBy(*group, score).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
-    down = W.partitionBy(*group).orderBy(F.desc(score))
-    every = W.partitionBy(*group)
-    return h.select(
-        *group,
-        F.col(score).alias("score"),
-        "pos",
-        "neg",
-        F.sum("pos").over(down).alias("tp"),
-        F.sum("neg").over(down).alias("fp"),
-        F.sum("pos").over(every).alias("P"),
-        F.sum("neg").over(every).alias("N"),
-    )
+    """Positives and negatives of each distinct score, with what stands at it or above in its group.
+
+    Scores are counted first and summed up in ranges (see ranks.running), so continuous scores of a large
+    group are no one task's work either.
+    """
+    from tessera.operators.ranks import running
+
+    h = df.groupBy(*group, F.col(score).alias("score")).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
+    r = running(h, "score", ["pos", "neg"], *group)
+    above = lambda c: F.col(f"all_{c}") - F.col(f"below_{c}")
+    return r.select(*group, "score", "pos", "neg", above("pos").alias("tp"), above("neg").alias("fp"), F.col("all_pos").alias("P"), F.col("all_neg").alias("N"))
 
 
 def auc(df: DataFrame, score: str, label: str, *group: str) -> DataFrame:
@@ -142,3 +139,32 @@ def total_variation(a: DataFrame, b: DataFrame, level: str) -> DataFrame:
     share = lambda df, name: df.groupBy(F.coalesce(F.col(level).cast("string"), F.lit("<missing>")).alias("level")).agg(F.count("*").alias("k")).select("level", (F.col("k") / F.sum("k").over(W.partitionBy())).alias(name))  # noqa: E731  # one row a level
     both = share(a, "pa").join(share(b, "pb"), "level", "full_outer")
     return both.agg((0.5 * F.sum(F.abs(F.coalesce("pa", F.lit(0.0)) - F.coalesce("pb", F.lit(0.0))))).alias("distance"))
+
+
+def rank_agreement(df: DataFrame, models: list[str], *group: str) -> DataFrame:
+    """Group, rows, pairs, rho_min, rho_median, rho_max, and for each model but the first its movement against it.
+
+    Every model's scores are ranked once in each group (unit ranks, ties average); then one aggregation
+    holds the rank correlations of all pairs of models.  A pair with a constant model has none and isn't
+    counted.  moved_<m>, shift_mean_<m>, shift_max_<m>: rows whose rank differs from the first model's, and by how much.
+    """
+    from itertools import combinations
+
+    from tessera.operators import ranks as R
+
+    r = df.select(*group, *models)
+    for m in models:
+        r = R.with_places(r, m, f"r_{m}", R.unit_of, *group)
+    pairs = F.array(*[correlation(f"r_{a}", f"r_{b}") for a, b in combinations(models, 2)])
+    shift = lambda m: F.abs(F.col(f"r_{m}") - F.col(f"r_{models[0]}"))
+    moves = [
+        e
+        for m in models[1:]
+        for e in (F.count_if(shift(m) > 1e-12).alias(f"moved_{m}"), F.avg(shift(m)).alias(f"shift_mean_{m}"), F.max(shift(m)).alias(f"shift_max_{m}"))
+    ]
+    g = r.groupBy(*group).agg(F.count("*").alias("rows"), F.array_sort(F.filter(pairs, lambda x: x.isNotNull())).alias("_rho"), *moves)
+    n = F.size("_rho")
+    at = lambda i: F.get("_rho", i.cast("int"))
+    median = (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
+    out = [n.cast("long").alias("pairs"), at(F.lit(0)).alias("rho_min"), median.alias("rho_median"), at(n - 1).alias("rho_max")]
+    return g.select(*group, "rows", *out, *[c for c in g.columns if c not in (*group, "rows", "_rho")])

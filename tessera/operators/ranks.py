@@ -55,14 +55,18 @@ def loo_rank(v: Column, *group: Column | str) -> Column:
     return F.when(n >= 3, (below + 0.5 * (ties - 1)) / (n - 1))
 
 
-def places(df: DataFrame, value: str, *group: str, ranges: int = 64) -> DataFrame:
-    """group, value, below, ties, n: for each distinct value of a group, how many rows lie below it and at it.
+RANGE = 1_000_000  # distinct values of a group that one task sorts, on average at most
+
 
-    Rows are counted by value first.  A group's distinct values are dealt into `ranges` ranges, whose
-    totals are its offsets; so no window holds more than one range of a group, however large the
-    group, and a value that many rows share is one row.  Nulls have no place; null groups are groups.
+def running(hist: DataFrame, value: str, sums: list[str], *group: str, ranges: int | None = None) -> DataFrame:
+    """hist with, for each of `sums`, below_<c> (its sum over the group's smaller values) and all_<c> (over the group).
+
+    hist has one row for each distinct value of a group.  Up to RANGE of them a group is one window; a
+    larger one is dealt into as many ranges of its values as keep to it, whose totals are its offsets.
+    So no task holds more than about RANGE values of a group, however large it is.  ranges: instead of these.
     """
     from tessera.operators.joins import small
+    from tessera.operators.text import written
 
     def looked_up(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         """a with the other columns of b, a table with one row for each combination of keys."""
@@ -70,22 +74,40 @@ def places(df: DataFrame, value: str, *group: str, ranges: int = 64) -> DataFram
         on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in keys], F.lit(True))
         return a.join(small(other), on).drop(*[f"_{k}_" for k in keys])
 
-    hist = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("ties"))
+    whole = by(*group) if group else W.partitionBy(F.lit(0))
+    if ranges is None:
+        hist = written(hist)
+        largest = hist.groupBy(*group).agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
+        ranges = -(-largest // RANGE)
+    if ranges <= 1:
+        upto = whole.orderBy(value)
+        return hist.select("*", *[e for c in sums for e in ((F.sum(c).over(upto) - F.col(c)).alias(f"below_{c}"), F.sum(c).over(whole).alias(f"all_{c}"))])
     cuts = hist.groupBy(*group).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 100 * ranges).alias("_cuts"))
-    if ranges == 1:
-        cuts = cuts.withColumn("_cuts", F.array().cast("array<double>"))
     h = looked_up(hist, cuts, group)
     h = h.withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
-    total = h.groupBy(*group, "_range").agg(F.sum("ties").alias("_t"))  # `ranges` rows a group
-    across = by(*group) if group else W.partitionBy(F.lit(0))
-    before = F.sum("_t").over(across.orderBy("_range")) - F.col("_t")
-    total = total.withColumn("_before", before).withColumn("n", F.sum("_t").over(across)).drop("_t")
-    inner = F.sum("ties").over(by(*group, "_range").orderBy(value)) - F.col("ties")
-    out = looked_up(h.withColumn("_inner", inner), total, (*group, "_range"))
-    return out.select(*group, value, (F.col("_inner") + F.col("_before")).alias("below"), "ties", "n")
+    total = h.groupBy(*group, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])  # `ranges` rows a group
+    upto = whole.orderBy("_range")
+    before = [(F.sum(f"_t_{c}").over(upto) - F.col(f"_t_{c}")).alias(f"_before_{c}") for c in sums]
+    total = total.select(*group, "_range", *before, *[F.sum(f"_t_{c}").over(whole).alias(f"all_{c}") for c in sums])
+    inner = by(*group, "_range").orderBy(value)
+    h = h.select("*", *[(F.sum(c).over(inner) - F.col(c)).alias(f"_inner_{c}") for c in sums])
+    out = looked_up(h, total, (*group, "_range"))
+    below = [(F.col(f"_inner_{c}") + F.col(f"_before_{c}")).alias(f"below_{c}") for c in sums]
+    return out.select(*hist.columns, *[e for c, b in zip(sums, below, strict=True) for e in (b, F.col(f"all_{c}"))])
+
+
+def places(df: DataFrame, value: str, *group: str, ranges: int | None = None) -> DataFrame:
+    """group, value, below, ties, n: for each distinct value of a group, how many rows lie below it and at it.
+
+    Rows are counted by value first, so a value that many rows share is one row; see running() for
+    large groups.  Nulls have no place; null groups are groups.
+    """
+    hist = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("ties"))
+    out = running(hist, value, ["ties"], *group, ranges=ranges)
+    return out.select(*group, value, F.col("below_ties").alias("below"), "ties", F.col("all_ties").alias("n"))
 
 
-def with_places(df: DataFrame, value: str, out: str, rank, *group: str, ranges: int = 64) -> DataFrame:  # noqa: ANN001
+def with_places(df: DataFrame, value: str, out: str, rank, *group: str, ranges: int | None = None) -> DataFrame:  # noqa: ANN001
     """df with rank(average rank from 1, n) of a value in its group as a column; null values have a null."""
     p = places(df, value, *group, ranges=ranges)
     names = {c: f"_{c}_" for c in p.columns}

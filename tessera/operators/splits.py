@@ -65,7 +65,7 @@ def stratified_group_folds(df: DataFrame, group: str, strata: list[str], folds:
     g = numbered(g.withColumn("kind", F.to_json("v")), ["kind", h60(seed, F.col("_g")), "_g"], "kind", out="place")
     kinds = g.groupBy("kind").agg(F.count("*").alias("m"), F.first("v").alias("v"))
     uneven = F.aggregate("v", F.lit(0.0), lambda s, x: s + x["_n"] * x["_n"])
-    kinds = numbered(kinds.withColumn("uneven", uneven), [F.desc("uneven"), "kind"], out="order")
+    kinds = numbered(kinds.withColumn("uneven", uneven), [-F.col("uneven"), "kind"], out="order")
     kinds = kinds.withColumn("rest", (F.col("m") % folds).cast("int"))
 
     # `most` kinds at most, and one row for each stratum

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -119,17 +118,18 @@ def sequence_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("D15_feature_hashing")
 def feature_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word 1- and 2-grams hashed to 2^16 columns each and scaled to length 1; number of columns and the largest."""
-    from pyspark.ml.feature import HashingTF, NGram, Normalizer, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+    """Signed vectors of character 3- to 5-grams and of word 1- and 2-grams: their columns, the columns' checksum and the values'."""
+    from tessera.operators.hashed import hashed_features
 
-    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", r"\s+").alias("w"))
-    d = NGram(n=2, inputCol="w", outputCol="w2").transform(d)
-    for c in ("w", "w2"):
-        d = HashingTF(numFeatures=1 << 16, inputCol=c, outputCol=f"h{c}").transform(d)
-    d = Normalizer(inputCol="v", outputCol="u").transform(VectorAssembler(inputCols=["hw", "hw2"], outputCol="v").transform(d))
-    a = vector_to_array("u")
-    return d.select("doc_id", F.size(F.filter(a, lambda x: x != 0)).alias("nonzero"), r9(F.array_max(a)).alias("largest"))
+    d = hashed_features(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
+
+    def told(part: str) -> list:
+        at, value = F.col(f"{part}_at"), F.col(f"{part}_value")
+        spot = F.aggregate(at, F.lit(0).cast("long"), lambda s, x: (s * 31 + x) % 1_000_000_007)
+        mass = F.aggregate(F.zip_with(at, value, lambda i, v: v * F.sin(i.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+        return [F.size(at).alias(f"{part}_columns"), spot.alias(f"{part}_spot"), r9(mass).alias(f"{part}_mass")]
+
+    return d.select("doc_id", *told("char"), *told("word"))
 
 
 @query("Q1_byte_code", "SELECT doc_id, CAST(octet_length(encode(text)) AS INT) AS ids, true AS round_trip FROM documents")
@@ -246,24 +246,11 @@ def offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("Q12_Q14_character_weights")
 def character_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights of characters by what they are part of (number 0.2, quoted 0.5, identifier 1), then of tokens: their maximum."""
-    import re
-
-    @F.pandas_udf("sum double, tokens int, heavy int")
-    def weigh(texts: pd.Series) -> pd.DataFrame:
-        spans = ((re.compile(r"[A-Za-z_]\w*"), 1.0), (re.compile(r"\d+"), 0.2), (re.compile(r"\"[^\"\n]*\""), 0.5))
-        out = []
-        for t in texts:
-            w = np.zeros(len(t))
-            for pattern, value in spans:
-                for m in pattern.finditer(t):
-                    w[m.start() : m.end()] = value
-            tokens = [w[m.start() : m.end()].max() for m in re.finditer(r"\S+", t)]
-            out.append((float(w.sum()), len(tokens), sum(x >= 1 for x in tokens)))
-        return pd.DataFrame(out, columns=["sum", "tokens", "heavy"])
-
-    d = table(spark, sf_dir, "documents").select("doc_id", weigh("text").alias("x"))
-    return d.select("doc_id", r9("x.sum").alias("weight"), "x.tokens", "x.heavy")
+    """Weights of characters by the spans that they are part of, and of tokens by their characters, summed up for each text."""
+    from tessera.operators.spans import span_weights
+
+    d = span_weights(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
+    return d.withColumn("weight", r9("weight")).withColumn("token_weight", r9("token_weight"))
 
 
 @query(

@@ -52,7 +52,22 @@ def direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "M6_M24_correlation_matrix",
+    "M24_rank_agreement",
+    f"""WITH {SCORED}, r AS (SELECT lang, {unit_rank_sql("s1", "lang")} AS a, {unit_rank_sql("s2", "lang")} AS b, {unit_rank_sql("s3", "lang")} AS c, {unit_rank_sql("s4", "lang")} AS d FROM scored),
+p AS (SELECT lang, count(*) AS rows, [covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), covar_pop(a, c) / nullif(stddev_pop(a) * stddev_pop(c), 0), covar_pop(a, d) / nullif(stddev_pop(a) * stddev_pop(d), 0), covar_pop(b, c) / nullif(stddev_pop(b) * stddev_pop(c), 0),
+covar_pop(b, d) / nullif(stddev_pop(b) * stddev_pop(d), 0), covar_pop(c, d) / nullif(stddev_pop(c) * stddev_pop(d), 0)] AS rho,
+count_if(abs(b - a) > 1e-12) AS moved_s2, avg(abs(b - a)) AS sb, max(abs(b - a)) AS xb, count_if(abs(c - a) > 1e-12) AS moved_s3, avg(abs(c - a)) AS sc, max(abs(c - a)) AS xc, count_if(abs(d - a) > 1e-12) AS moved_s4, avg(abs(d - a)) AS sd, max(abs(d - a)) AS xd FROM r GROUP BY lang)
+SELECT lang, rows, CAST(len(list_filter(rho, lambda x: x IS NOT NULL)) AS BIGINT) AS pairs, round(list_min(rho), 9) AS rho_min, round(list_median(rho), 9) AS rho_median, round(list_max(rho), 9) AS rho_max,
+moved_s2, round(sb, 9) AS shift_mean_s2, round(xb, 9) AS shift_max_s2, moved_s3, round(sc, 9) AS shift_mean_s3, round(xc, 9) AS shift_max_s3, moved_s4, round(sd, 9) AS shift_mean_s4, round(xd, 9) AS shift_max_s4 FROM p""",
+)
+def rank_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How alike four scores rank the documents of each language, and how far three of them move them against the first."""
+    out = M.rank_agreement(scored(spark, sf_dir), ["s1", "s2", "s3", "s4"], "lang")
+    return out.select("lang", "rows", "pairs", *[r9(c).alias(c) if c.startswith(("rho", "shift")) else F.col(c) for c in out.columns[3:]])
+
+
+@query(
+    "M6_correlation_matrix",
     f"""WITH {SCORED}, l AS (SELECT doc_id, name, value FROM (SELECT doc_id, s1, s2, s3, s4 FROM scored) UNPIVOT (value FOR name IN (s1, s2, s3, s4)))
 SELECT a.name AS a, b.name AS b, round((covar_pop(a.value, b.value) / nullif(stddev_pop(a.value) * stddev_pop(b.value), 0)), 9) AS r FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.name < b.name GROUP BY ALL""",
 )

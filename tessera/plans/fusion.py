@@ -256,6 +256,16 @@ def pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey").join(out, "c_custkey", "left")
 
 
+@query("E14_probe_ensemble")
+def probe_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight parts of each vector as layers: a network each, stopped early; the mean of the five that select best, for every vector."""
+    from tessera.operators import probes
+
+    e = table(spark, sf_dir, "embeddings").withColumn("y", (F.col("label") == 0).cast("int"))
+    scores, _ = probes.probe_ensemble(probes.split_roles(e, "vec_id", "e14"), "vec_id", "embedding", "y", "role", 8)
+    return scores.select("vec_id", r9("score").alias("score"))
+
+
 @query("E14_perceptron_probe")
 def probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators import models as Z
