@@ -50,3 +50,30 @@ def jaccard(a: Column, b: Column) -> Column:
     """Of two sets; both empty: 1."""
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.nullif(union, F.lit(0)))
+
+
+def interpolated(a: Column, points: int) -> Column:
+    """Values at `points` even places from the first element to the last, linear between elements."""
+    last = F.size(a) - 1
+
+    def value(i: Column) -> Column:
+        at = i * last / float(points - 1)
+        k = F.floor(at).cast("int")
+        x, y = F.get(a, k), F.get(a, F.least(k + 1, last))
+        return x + (at - F.floor(at)) * (y - x)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), value)
+
+
+def sorted_quantile(ordered: Column, q: float) -> Column:
+    """Interpolated quantile of values in ascending order."""
+    at = F.lit(q) * (F.size(ordered) - 1)
+    low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
+    return low + (at - F.floor(at)) * (high - low)
+
+
+def slope(a: Column) -> Column:
+    """Least-squares slope over depth, which runs from 0 to 1; null for less than two elements."""
+    n = F.size(a)
+    x = F.transform(F.sequence(F.lit(0), n - 1), lambda i: i / (n - 1).cast("double") - 0.5)
+    return F.when(n > 1, dot(a, x) / dot(x, x))  # the x are centred, so the values needn't be

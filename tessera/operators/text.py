@@ -127,6 +127,28 @@ def simhash(hashes: Column) -> Column:
     return F.when(F.size(hashes) == 0, value).otherwise(F.aggregate(bits, value, lambda s, b: s.bitwiseOR(b)))
 
 
+def spaced_shingle_hashes(words: Column, k: int, most: int) -> Column:
+    """Hashes of a text's k-token shingles, of more than `most` those at evenly spaced places; fewer than k tokens: one shingle.
+
+    Pass the words as a column.
+    """
+    total = F.size(words) - (k - 1)
+    every = F.sequence(F.lit(0), total - 1)
+    spaced = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * (total - 1) / float(most - 1)).cast("int"))
+    starts = F.when(total <= most, every).otherwise(spaced)
+    runs = F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, k), " ")))
+    return F.when(F.size(words) >= k, runs).otherwise(F.array(F.xxhash64(F.array_join(words, " "))))
+
+
+def simhash_bits(hashes: Column, bits: int = 64) -> Column:
+    """Bit i is set if at least half of the hashes have it; none: 0."""
+    at = F.sequence(F.lit(0), F.lit(bits - 1))
+    one = lambda i: F.aggregate(hashes, F.lit(0), lambda s, h: s + F.getbit(h, i).cast("int"))
+    zero = F.lit(0).cast("long")
+    set_ = F.transform(at, lambda i: F.when(2 * one(i) >= F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(zero))
+    return F.when(F.size(hashes) == 0, zero).otherwise(F.aggregate(set_, zero, lambda s, b: s.bitwiseOR(b)))
+
+
 def simhash_pairs(df: DataFrame, key: str, bits: str, most: int = 6, blocks: int = 7) -> DataFrame:
     """Links between keys whose fingerprints differ in `most` bits at most; equal ones link to the first."""
     first = df.groupBy(bits).agg(F.min(key).alias("_r"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import aggregates, cohorts, contracts, corpus, evaluation, fusion, inout, ranking, relational  # noqa: F401
+from tessera.plans import aggregates, audits, cohorts, contracts, corpus, evaluation, fusion, inout, ranking, relational  # noqa: F401
 from tessera.registry import QUERIES
 
 

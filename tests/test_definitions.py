@@ -291,3 +291,81 @@ def test_probe_gradient_is_the_loss_slope():
             slope = (B.loss(up, x, y) - B.loss(p0, x, y)) / 1e-6
             if abs(slope) > 1e-4:
                 assert np.sign(p1[k][i] - p0[k][i]) == -np.sign(slope)
+
+
+def test_eligible_records_by_type(spark):
+    base = {"content": '"abc"', "path": '"p"', "autogenerated": "false", "copies": "1"}
+    cases = [({}, True), ({"copies": '"1"'}, True), ({"copies": "true"}, False), ({"copies": "2"}, False), ({"copies": '"2"'}, False), ({"autogenerated": '"false"'}, False)]
+    cases += [({"autogenerated": "true"}, False), ({"autogenerated": "0"}, False), ({"content": '" "'}, False), ({"content": "12"}, False), ({"path": "null"}, False), ({"content": '"abcd"'}, False)]
+    rows = [("{" + ", ".join(f'"{k}": {v}' for k, v in (base | c).items()) + "}", want) for c, want in cases] + [("no json", False), (None, False), ("{}", False)]
+    from tessera.operators import audits as U
+
+    got = spark.createDataFrame(rows, "r string, want boolean").select("r", "want", U.eligible(F.col("r"), 1, 3).alias("ok")).collect()
+    assert [r["r"] for r in got if r["ok"] != r["want"]] == []
+
+
+def test_view_of_another_study_raises(spark):
+    from tessera.operators import audits as U
+
+    base = spark.createDataFrame([(1, "s"), (2, "t"), (3, None)], "k int, study string")
+    ok = U.attach_view(base, spark.createDataFrame([(1, "s", 5), (3, None, 6)], "k int, study string, v int"), ["k"], "study").collect()
+    assert sorted((r["k"], r["v"], r["has_view"]) for r in ok) == [(1, 5, True), (2, None, False), (3, 6, True)]
+    for study in ("t", None):
+        with pytest.raises(ValueError, match="differs"):
+            U.attach_view(base, spark.createDataFrame([(1, study, 5)], "k int, study string, v int"), ["k"], "study")
+
+
+def test_shift_audit_of_gaps_and_constants(spark):
+    from tessera.operators import audits as U
+
+    rows = [("s", 1.0, 5.0, None, "a"), ("s", 2.0, 5.0, None, "b"), ("s", 3.0, 5.0, None, "a"), ("h", 4.0, 6.0, 1.0, "c"), ("h", float("nan"), 6.0, 1.0, "a")]
+    df = spark.createDataFrame(rows, "d string, x double, k double, gone double, c string")
+    r = U.shift_audit(df, F.col("d") == "s", ["x", "k", "gone"], ["c"], 0.5).first()
+    assert (r["features"], r["usable"], r["unavailable"], r["zero_iqr"]) == (3, 2, 1, 1)
+    assert r["mean_shift"] == pytest.approx((2.0 / 1.0 + 1.0 / 0.5) / 2) and r["mean_missing_delta"] == pytest.approx((0.5 + 0 + 1) / 3)
+    assert (r["unseen_levels"], r["unseen_fraction"]) == (1, 0.5) and r["max_tv"] == pytest.approx(0.5 * (abs(2 / 3 - 0.5) + 1 / 3 + 0.5))
+
+
+def test_identifier_words_and_context_plans(spark):
+    from tessera.operators import sequences as Q
+
+    names = ["camelCaseName", "snake_case__x2", "XMLNode", "_", "42_a", ""]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(Q.identifier_words(F.col("n"))).collect()]
+    assert got == [["camel", "Case", "Name"], ["snake", "case", "x2"], ["X", "M", "L", "Node"], [], ["42", "a"], []]
+    for region, start in (("prefix", 0), ("middle", 3), ("suffix", 6)):
+        cols = Q.context_plan(F.sequence(F.lit(10), F.lit(19)), region, 4, True, 8)
+        r = spark.range(1).select(*cols).first()
+        body = list(range(10, 20))[start : start + 4]
+        assert r["input_ids"] == [1, *body, 2, 0, 0] and r["mask"] == [1] * 6 + [0] * 2 and r["positions"] == [0, 1, 2, 3] and r["scored"] == 4
+    r = spark.range(1).select(*Q.context_plan(F.array(F.lit(9), F.lit(8)), "suffix", 4, False, 4)).first()
+    assert (r["input_ids"], r["positions"], r["selected"], r["scored"]) == ([9, 8, 0, 0], [0], 2, 1)
+
+
+def test_sampled_simhash_equals_a_loop(spark):
+    import xxhash
+
+    from tessera.operators import text as D
+
+    words = [[], ["a"], list("abcdefgh"), [f"w{i % 50}" for i in range(700)]]
+    df = spark.createDataFrame(list(enumerate(words)), "id int, w array<string>")
+    got = {r["id"]: r["b"] for r in df.select("id", D.spaced_shingle_hashes(F.col("w"), 5, 256).alias("s")).select("id", D.simhash_bits(F.col("s")).alias("b")).collect()}
+    for i, w in enumerate(words):
+        total = len(w) - 4
+        if total < 1:
+            runs = [" ".join(w)]
+        else:
+            at = range(total) if total <= 256 else [math.floor(j * (total - 1) / 255.0) for j in range(256)]
+            runs = [" ".join(w[j : j + 5]) for j in at]
+        h = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) >= len(h))
+        assert got[i] % (1 << 64) == want
+
+
+def test_overlap_splits_purge_subjects(spark):
+    from tessera.operators import audits as U
+
+    rows = [("a", 1, "p"), ("a", 2, "x"), ("b", 1, "p"), ("c", 3, "p"), ("d", 4, "x"), ("e", 5, "q")]
+    df = spark.createDataFrame(rows, "study string, subject int, member string")
+    got = {r["held"]: (r["validation_members"], r["training_studies"], r["skipped"]) for r in U.overlap_splits(df, "study", "subject", "member", ["p", "q"], 3).collect()}
+    # b's only panel subject is in a as well, so it is purged where a is held, and the other way round
+    assert got == {"a": (1, 2, "too_few_training_studies"), "b": (1, 2, "too_few_training_studies"), "c": (1, 3, None), "d": (0, 4, "zero_panel_overlap"), "e": (1, 3, None)}
