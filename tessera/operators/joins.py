@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,43 +48,84 @@ def within_group_pairs(df: DataFrame, group: str, key: str, subject: str, y: str
     """Ordered pairs of different subjects of a group whose y differ by more than a tolerance.
 
     Each unordered pair comes in both directions.  The result is quadratic in the size of a group by
-    definition; groups are cohorts.
+    definition; a large group's pairs are dealt over many tasks (see bucket_pairs()).
     """
-    a = df.select(F.col(group), F.col(key).alias("left"), F.col(subject).alias("sl"), F.col(y).alias("yl"))
-    b = df.select(F.col(group), F.col(key).alias("right"), F.col(subject).alias("sr"), F.col(y).alias("yr"))
-    pairs = a.join(b, group).where((F.col("left") < F.col("right")) & (F.col("sl") != F.col("sr")) & (F.abs(F.col("yl") - F.col("yr")) > tolerance))
+    rows = df.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(subject).alias("s"), F.col(y).alias("y"))
+    gap = F.col("a.y") - F.col("b.y")
+    pairs = bucket_pairs(rows, ["g"], "k").where((F.col("a.s") != F.col("b.s")) & (F.abs(gap) > tolerance))
     pairs = pairs.withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1))))
     first = lambda a, b: F.when(F.col("sign") == 1, F.col(a)).otherwise(F.col(b))
-    return pairs.select(
-        group, first("left", "right").alias("left"), first("right", "left").alias("right"), ((F.col("yl") - F.col("yr")) * F.col("sign")).alias("delta")
-    )
+    return pairs.select(F.col("a.g").alias(group), first("a.k", "b.k").alias("left"), first("b.k", "a.k").alias("right"), (gap * F.col("sign")).alias("delta"))
+
+
+TILE = 4096  # rows of a bucket that are paired with each other in one task
+
+
+def bucket_pairs(rows: DataFrame, by: list[str], key: str, tile: int = TILE) -> DataFrame:
+    """Pairs of the rows that share a bucket (the columns `by`), once each: structs a and b with a.key < b.key.
+
+    A bucket of over `tile` rows is dealt into parts by hash, and its pairs of parts are separate join keys; so
+    a hot bucket is many tasks of tile x tile pairs.  Rows with equal keys make no pair.
+    """
+    parts = rows.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("_parts")).where("_parts > 1")
+    parts = parts.select(*[F.col(c).alias(f"_{c}_") for c in by], "_parts")
+    on = F.lit(True)
+    for c in by:
+        on &= F.col(c) == F.col(f"_{c}_")
+    r = rows.join(small(parts), on, "left").select(*by, F.struct(*rows.columns).alias("x"), F.coalesce("_parts", F.lit(1)).alias("_n"))
+    r = r.withColumn("_p", F.pmod(F.xxhash64(f"x.{key}"), F.col("_n")).cast("int"))
+    left = r.select(*by, F.col("x").alias("u"), "_p", F.explode(F.sequence(F.col("_p"), F.col("_n") - 1)).alias("_q"))
+    right = r.select(*by, F.col("x").alias("w"), F.col("_p").alias("_q"), F.explode(F.sequence(F.lit(0), F.col("_p"))).alias("_p"))
+    pairs = left.join(right, [*by, "_p", "_q"]).where(F.when(F.col("_p") == F.col("_q"), F.col(f"u.{key}") < F.col(f"w.{key}")).otherwise(F.col(f"u.{key}") != F.col(f"w.{key}")))
+    first = F.col(f"u.{key}") < F.col(f"w.{key}")
+    return pairs.select(F.when(first, F.col("u")).otherwise(F.col("w")).alias("a"), F.when(first, F.col("w")).otherwise(F.col("u")).alias("b"))
 
 
 def banded_candidates(df: DataFrame, key: str, bands: Column) -> DataFrame:
     """Pairs (a < b) of keys that share a band; bands: array of strings with the band's number in each."""
     e = df.select(F.col(key).alias("k"), F.explode(bands).alias("band"))
-    a, b = e.select(F.col("k").alias("a"), "band"), e.select(F.col("k").alias("b"), "band")
-    return a.join(b, "band").where("a < b").select("a", "b").distinct()
+    return bucket_pairs(e, ["band"], "k").select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
+
+
+def blocking(n: int, width: int, most: int) -> tuple[int, int]:
+    """Blocks to cut `width` bits into, and how many of them a key holds, for n values and pairs up to `most` bits apart.
+
+    Of most + m blocks two such values agree on m at least, so keys of m blocks find them all.  Longer keys
+    are more of them but match fewer strangers; the cheapest m for n random values is taken.
+    """
+
+    def cost(m: int) -> float:
+        keys = math.comb(most + m, m)
+        return keys * (1 + n / 2 ** (width * m / (most + m)))
+
+    m = min(range(1, min(4, width - most) + 1), key=cost)
+    return most + m, m
 
 
-def hamming_pairs(df: DataFrame, key: str, bits: str, most: int, blocks: int) -> DataFrame:
-    """Pairs of distinct 63-bit values at most `most` bits apart, by blocks > most disjoint blocks.
+def hamming_pairs(df: DataFrame, key: str, bits: str, most: int, width: int = 64, shape: tuple[int, int] | None = None) -> DataFrame:
+    """Pairs (a < b, distance) of distinct `width`-bit values at most `most` bits apart, all of them.
 
-    Two values that differ in `most` bits agree on some block; a pair is taken at its first.
+    The bits are cut evenly into blocks; see blocking().  A pair is taken at the first blocks on which it agrees.
+    shape: blocks and blocks of a key, instead of those for the number of rows.
     """
-    require(blocks > most, "blocks", f"{blocks} blocks for {most} bits")
-    width = -(-64 // blocks)
-    mask = (1 << width) - 1
-    cut = lambda v, i: F.shiftrightunsigned(v, i * width).bitwiseAND(F.lit(mask))
-    parts = F.array(*[F.struct(F.lit(i).alias("i"), cut(F.col(bits), i).alias("v")) for i in range(blocks)])
-    e = df.select(F.col(key).alias("k"), F.col(bits).alias("x"), F.explode(parts).alias("p")).select("k", "x", "p.i", "p.v")
-    a, b = e.select(F.col("k").alias("a"), F.col("x").alias("xa"), "i", "v"), e.select(F.col("k").alias("b"), F.col("x").alias("xb"), "i", "v")
-    pairs = a.join(b, ["i", "v"]).where("a < b")
-    first = F.lit(False)
-    for j in range(blocks):
-        first |= (F.col("i") > j) & (cut(F.col("xa"), j) == cut(F.col("xb"), j))
+    blocks, m = shape or blocking(df.count(), width, most)
+    require(width > most >= 0 and blocks == most + m, "blocks", f"{blocks} blocks, {m} in a key, for {most} of {width} bits")
+    edge = [i * width // blocks for i in range(blocks + 1)]
+
+    def cut(v: Column, i: int) -> Column:
+        size = edge[i + 1] - edge[i]
+        return F.shiftrightunsigned(v, edge[i]).bitwiseAND(F.lit((1 << size) - 1 if size < 64 else -1))
+
+    combos = list(combinations(range(blocks), m))
+    keys = [F.struct(F.lit(i).alias("i"), F.xxhash64(*[cut(F.col(bits), j) for j in c]).alias("v") if m > 1 else cut(F.col(bits), c[0]).alias("v")) for i, c in enumerate(combos)]
+    e = df.select(F.col(key).alias("k"), F.col(bits).cast("long").alias("x"), F.explode(F.array(*keys)).alias("p")).select("k", "x", "p.i", "p.v")
+    pairs = bucket_pairs(e, ["i", "v"], "k").select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.col("a.x").alias("xa"), F.col("b.x").alias("xb"), F.col("a.i").alias("i"))
     distance = F.bit_count(F.col("xa").bitwiseXOR(F.col("xb")))
-    return pairs.where(~first & (distance <= most)).select("a", "b", distance.alias("distance"))
+    near = pairs.where(distance <= most)
+    agree = F.array(*[F.when(cut(F.col("xa"), j) == cut(F.col("xb"), j), F.lit(j)) for j in range(blocks)])
+    first = F.slice(F.filter(agree, lambda j: j.isNotNull()), 1, m)
+    wanted = F.get(F.array(*[F.array(*[F.lit(j) for j in c]) for c in combos]), F.col("i"))
+    return near.where(first == wanted).select("a", "b", distance.alias("distance"))
 
 
 def nearest(queries: DataFrame, items: DataFrame, family: str, distance: Column, query: str, item: str) -> DataFrame:

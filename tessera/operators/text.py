@@ -149,11 +149,11 @@ def simhash_bits(hashes: Column, bits: int = 64) -> Column:
     return F.when(F.size(hashes) == 0, zero).otherwise(F.aggregate(set_, zero, lambda s, b: s.bitwiseOR(b)))
 
 
-def simhash_pairs(df: DataFrame, key: str, bits: str, most: int = 6, blocks: int = 7) -> DataFrame:
+def simhash_pairs(df: DataFrame, key: str, bits: str, most: int = 6, width: int = 63) -> DataFrame:
     """Links between keys whose fingerprints differ in `most` bits at most; equal ones link to the first."""
     first = df.groupBy(bits).agg(F.min(key).alias("_r"))
     members = df.join(first, bits).where(F.col(key) != F.col("_r")).select(F.col("_r").alias("a"), F.col(key).alias("b"), F.lit(0).alias("distance"))
-    return hamming_pairs(first.select(F.col("_r"), bits), "_r", bits, most, blocks).unionByName(members)
+    return hamming_pairs(first.select(F.col("_r"), bits), "_r", bits, most, width).unionByName(members)
 
 
 def sequence_distance(a: Column, b: Column) -> Column:
@@ -203,6 +203,8 @@ def groups(nodes: DataFrame, key: str, links: DataFrame, rounds: int = 60) -> Da
         label = nxt
         if not changed:
             break
+    else:
+        raise RuntimeError(f"groups did not settle in {rounds} rounds")
     all_nodes = nodes.select(F.col(key).alias("node")).distinct()
     return all_nodes.join(label, "node", "left").select("node", F.coalesce("group", "node").alias("group"))
 

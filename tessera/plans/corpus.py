@@ -101,7 +101,7 @@ def bottom_k_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = D.written(_hashed(spark, sf_dir))
     b = D.written(d.select("doc_id", D.simhash(F.col("s")).alias("bits")))
-    g = D.groups(b, "doc_id", D.simhash_pairs(b, "doc_id", "bits", 6, 7))
+    g = D.groups(b, "doc_id", D.simhash_pairs(b, "doc_id", "bits", 6))
     return g.join(b, F.col("node") == F.col("doc_id")).select("doc_id", "bits", "group")
 
 

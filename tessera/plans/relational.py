@@ -312,18 +312,23 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("c_nationkey", F.col("left").alias("left_key"), F.col("right").alias("right_key"), F.round("delta", 6).alias("delta"))
 
 
-def _bits() -> str:
-    return "(" + " + ".join(f"(CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i} ELSE 0 END)::BIGINT" for i in range(32)) + ")"
+def _bits(first: int) -> str:
+    """Signs of 32 components as an integer, in SQL."""
+    return " + ".join(f"CASE WHEN embedding[{first + i + 1}] > 0 THEN {1 << i}::BIGINT ELSE 0 END" for i in range(32))
 
 
 @query(
     "J11_hamming_blocks",
-    f"""WITH b AS (SELECT vec_id, {_bits()} AS x FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.x, b.x))::INT AS distance FROM b a JOIN b b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.x, b.x)) <= 6""",
+    f"""WITH b AS (SELECT vec_id, {_bits(0)} AS x, {_bits(32)} AS y FROM embeddings), d AS (SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.x, b.x)) + bit_count(xor(a.y, b.y)) AS d FROM b a JOIN b b ON a.vec_id < b.vec_id)
+SELECT a, b, d::INT AS distance FROM d WHERE d <= 6""",
 )
 def hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bits = sum((F.when(F.get("embedding", i) > 0, 1 << i).otherwise(0).cast("long") for i in range(32)), F.lit(0).cast("long"))
-    e = table(spark, sf_dir, "embeddings").select("vec_id", bits.alias("x"))
-    return J.hamming_pairs(e, "vec_id", "x", 6, 7)
+    """Pairs of vectors whose components differ in six signs at most."""
+    one = lambda i: F.shiftleft(F.lit(1).cast("long"), i)
+    bits = F.lit(0).cast("long")
+    for i in range(64):
+        bits = bits.bitwiseOR(F.when(F.get("embedding", i) > 0, one(i)).otherwise(F.lit(0).cast("long")))
+    return J.hamming_pairs(table(spark, sf_dir, "embeddings").select("vec_id", bits.alias("x")), "vec_id", "x", 6)
 
 
 @query(

@@ -133,18 +133,31 @@ def test_unknown_label_raises(spark):
         df.select(C.label(F.col("s"))).collect()
 
 
-def test_hamming_blocks_find_every_pair_once(spark):
+@pytest.mark.parametrize("width, most, shape", [(60, 6, None), (60, 6, (7, 1)), (60, 6, (8, 2)), (64, 6, (9, 3)), (32, 6, None), (32, 0, None), (9, 2, (4, 2))])
+def test_hamming_blocks_find_every_pair_once(spark, width, most, shape):
     import random
 
     rng = random.Random(1)
-    xs = [rng.getrandbits(60) for _ in range(40)]
-    xs += [x ^ sum(1 << b for b in rng.sample(range(60), k)) for k, x in enumerate(xs[:10])]
+    xs = [rng.getrandbits(width) for _ in range(40)]
+    xs += [x ^ sum(1 << b for b in rng.sample(range(width), min(k, width))) for k, x in enumerate(xs[:10])]
     xs = sorted(set(xs))
-    got = sorted(map(tuple, J.hamming_pairs(frame(spark, list(enumerate(xs)), "k int, x long"), "k", "x", 6, 7).collect()))
-    want = sorted((i, j, (a ^ b).bit_count()) for i, a in enumerate(xs) for j, b in enumerate(xs) if i < j and (a ^ b).bit_count() <= 6)
+    signed = [x - (1 << 64) if x >> 63 else x for x in xs]
+    got = sorted(map(tuple, J.hamming_pairs(frame(spark, list(enumerate(signed)), "k int, x long"), "k", "x", most, width, shape).collect()))
+    want = sorted((i, j, (a ^ b).bit_count()) for i, a in enumerate(xs) for j, b in enumerate(xs) if i < j and (a ^ b).bit_count() <= most)
     assert got == want
 
 
+def test_keys_of_more_blocks_where_values_are_many():
+    assert J.blocking(500, 64, 6) == (7, 1) and J.blocking(10**6, 64, 6)[1] > J.blocking(10**4, 64, 6)[1] > 1
+
+
+@pytest.mark.parametrize("tile", [1, 3, 100])
+def test_bucket_pairs_come_once(spark, tile):
+    rows = [("hot", i) for i in range(20)] + [("b", 1), ("b", 5), ("one", 7), (None, 1), (None, 2)]
+    got = sorted((r["a"]["g"], r["a"]["k"], r["b"]["k"]) for r in J.bucket_pairs(frame(spark, rows, "g string, k int"), ["g"], "k", tile).collect())
+    assert got == sorted([("hot", i, j) for i in range(20) for j in range(i + 1, 20)] + [("b", 1, 5)])
+
+
 def test_prefix_pairs_equal_brute_force(spark):
     import random
 
@@ -196,7 +209,7 @@ def test_simhash_groups_equal_brute_force(spark):
     xs = [rng.getrandbits(62) for _ in range(50)]
     xs += [x ^ sum(1 << b for b in rng.sample(range(60), rng.randint(0, 8))) for x in xs for _ in range(2)]
     df = frame(spark, list(enumerate(xs)), "k long, b long")
-    got = {r["node"]: r["group"] for r in D.groups(df, "k", D.simhash_pairs(df, "k", "b", 6, 7)).collect()}
+    got = {r["node"]: r["group"] for r in D.groups(df, "k", D.simhash_pairs(df, "k", "b", 6)).collect()}
     group = list(range(len(xs)))
     while (low := [min(group[j] for j, b in enumerate(xs) if (a ^ b).bit_count() <= 6) for a in xs]) != group:
         group = low
