@@ -10,6 +10,7 @@ Only DataFrame functions are used.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +25,9 @@ LISTED = tuple(
     f"{name}.example.{top}/" for name in ("ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")
 )
 HASHES = 4
-SHAPES = 64  # forms of keys (host labels, length of path) in one list at most; each costs a look-up
-LARGEST = 1 << 28  # bits of one level at most: 32 MB, which every executor holds
+SHAPES = 64  # forms of keys (host labels, length of path) that are looked up in one projection
+LARGEST = 1 << 28  # bits of one level at most: 32 MB, which every executor holds; more keys are judged in parts
+SHARE = 10  # bits a key, at least
 
 
 Keys = tuple[str, ...] | DataFrame
@@ -38,13 +40,13 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def shapes(listed: DataFrame) -> list[tuple[int, int]]:
-    """The pairs of number of host labels and length of path (with its slash) that occur in a list."""
+    """The pairs of number of host labels and length of path (with its slash) that occur in a list.
+
+    They are few whatever the list: as many as there are such pairs of small numbers.
+    """
     host = F.substring_index("key", "/", 1)
     rows = listed.select(F.size(F.split(host, "\\.")).alias("labels"), (F.length("key") - F.length(host)).alias("path")).distinct()
-    out = sorted(tuple(r) for r in rows.limit(SHAPES + 1).collect())
-    if len(out) > SHAPES:
-        raise ValueError(f"the list has more than {SHAPES} shapes of keys")
-    return out
+    return sorted(tuple(r) for r in rows.collect())
 
 
 def candidates(host: Column, path: Column, forms: list[tuple[int, int]]) -> list[Column]:
@@ -68,12 +70,13 @@ def place(key: Column, level: int, i: int, bits: int) -> Column:
     return F.pmod(first + i * step, F.lit(bits))
 
 
-def bits_for(n: int, share: int = 10) -> int:
-    """A power of two of at least share bits a key; near LARGEST fewer, which costs levels and not exactness."""
-    bits = max(64, 1 << math.ceil(math.log2(max(1, n) * share)))
-    if bits > LARGEST and 4 * n > LARGEST:
-        raise ValueError(f"{n} listed keys occur in the corpus: a level holds {LARGEST // 4} at most; judge the corpus in parts")
-    return min(bits, LARGEST)
+def bits_for(n: int) -> int:
+    """A power of two of at least SHARE bits a key."""
+    return max(64, 1 << math.ceil(math.log2(max(1, n) * SHARE)))
+
+
+def shard(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(0)), F.lit(parts))
 
 
 def encode(keys: DataFrame, level: int, bits: int) -> DataFrame:
@@ -95,18 +98,17 @@ def passes(key: Column, words: Column, level: int, bits: int) -> Column:
 
 
 class Cascade:
-    """Exact membership of a list, for the keys of one corpus.
+    """Exact membership of a list, for the keys of one corpus, or for one of `parts` parts of them by hash.
 
-    universe: a written table of all distinct keys of the corpus (key).  Building joins it once with
-    the list, a table (key) of any size; only listed keys that occur in the corpus are encoded.
-    Judging needs no join.
+    inside, outside: the corpus's keys (key) that are listed, and those that are not; a written table and
+    any.  Judging needs no join.
     """
 
-    def __init__(self, listed: DataFrame, universe: DataFrame, scratch: Scratch, most: int = 40):
+    def __init__(self, inside: DataFrame, outside: DataFrame, scratch: Scratch, part: int = 0, parts: int = 1, most: int = 40):
         self.levels: list[tuple[DataFrame, int]] = []
-        keys = checked_broadcast(listed.select("key").distinct())
-        mine = scratch.write(universe.join(keys, "key", "left_semi"))
-        others, n = universe.join(keys, "key", "left_anti"), mine.count()
+        self.part, self.parts = part, parts
+        mine, others = (d if parts == 1 else d.where(shard(F.col("key"), parts) == part) for d in (inside, outside))
+        n = mine.count()
         while n:
             level = len(self.levels) + 1
             if level > most:
@@ -123,44 +125,58 @@ class Cascade:
         for level in range(len(self.levels), 0, -1):
             words, bits = self.levels[level - 1]
             out = F.when(passes(key, words.scalar(), level, bits), ~out).otherwise(False)
-        return out
+        return out if self.parts == 1 else (shard(key, self.parts) == self.part) & out
 
 
-def judge(pages: DataFrame, block: Keys = BLOCK, allow: Keys = ALLOW, listed: Keys = LISTED) -> DataFrame:
+def judge(pages: DataFrame, block: Keys = BLOCK, allow: Keys = ALLOW, listed: Keys = LISTED, largest: int = LARGEST) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages (page_id, url).
 
-    The three lists are tables with a column key (host and path prefix) or a few strings.  The longest
-    rule that fits decides (rules are distinct, so two of one length that fit one url are equal).
-    Without a rule, a url under a listed key is blocked, any other allowed.  A null url, and one
+    The three lists are tables with a column key (host and path prefix), of any size, or a few strings.
+    The longest rule that fits decides (rules are distinct, so two of one length that fit one url are
+    equal).  Without a rule, a url under a listed key is blocked, any other allowed.  A null url, and one
     without `://`, has an empty host and path and fits nothing.  Repeated rows are judged each; an
     empty table gives an empty result.  Extra columns are ignored.
+
+    Filters are built once from the distinct keys that the urls could fit; a list of which more occur than
+    a level of `largest` bits holds is judged in parts by hash, one after the other.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "urls")
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     lists = [x if isinstance(x, DataFrame) else spark.createDataFrame([(k,) for k in x], "key string") for x in (block, allow, listed)]
-    names, keys = [], []
-    for i, x in enumerate(lists):
-        own = candidates(F.col("host"), F.col("path"), shapes(x))
-        names.append([f"k{i}_{j}" for j in range(len(own))])
-        keys += [c.alias(n) for n, c in zip(names[i], own, strict=True)]
-    rows = rows.select("page_id", "host", "path", *keys)
-    every = F.array_compact(F.array(*[n for group in names for n in group])) if keys else F.array().cast("array<string>")
-    universe = scratch.write(rows.select(F.explode(every).alias("key")).distinct())
-    cascades = [Cascade(x, universe, scratch) for x in lists]
-
-    def found(i: int, name: str) -> Column:
-        return F.col(name).isNotNull() & cascades[i].holds(F.col(name))
-
-    fits = [
-        F.when(found(i, n), F.struct(F.length(n).alias("n"), F.col(n).alias("rule"), F.lit(verdict).alias("verdict")))
-        for i, verdict in ((0, "block"), (1, "allow"))
-        for n in names[i]
-    ]
-    own = F.lit(False)
-    for n in names[2]:
-        own |= found(2, n)
-    rows = rows.withColumn("best", F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<n:int,rule:string,verdict:string>"))
-    verdict = F.coalesce("best.verdict", F.when(own, "block").otherwise("allow"))
-    return rows.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
+    lists = [x.select("key").distinct() for x in lists]
+    forms = [(i, form) for i, x in enumerate(lists) for form in shapes(x)]
+    groups = [forms[at : at + SHAPES] for at in range(0, len(forms), SHAPES)]
+
+    def keys_of(group: list[tuple[int, tuple[int, int]]]) -> list[Column]:
+        return [candidates(F.col("host"), F.col("path"), [form])[0].alias(f"k{j}") for j, (_, form) in enumerate(group)]
+
+    none = F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
+    if not groups:
+        return rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    every = [rows.select(F.explode(F.array_compact(F.array(*keys_of(g)))).alias("key")) for g in groups]
+    universe = scratch.write(reduce(DataFrame.union, every).distinct())
+    inside, outside, parts = [], [], 1
+    for x in lists:
+        keys = checked_broadcast(x)
+        inside.append(scratch.write(universe.join(keys, "key", "left_semi")))
+        outside.append(universe.join(keys, "key", "left_anti"))
+        parts = max(parts, -(-inside[-1].count() * SHARE // largest))
+    done = rows.select("page_id", "host", "path", none.alias("best"), F.lit(False).alias("own"))
+    for part in range(parts):
+        cascades = [Cascade(a, b, scratch, part, parts) for a, b in zip(inside, outside, strict=True)]
+        for group in groups:
+            wide = done.select("*", *keys_of(group))
+            found = [F.col(f"k{j}").isNotNull() & cascades[i].holds(F.col(f"k{j}")) for j, (i, _) in enumerate(group)]
+            fits = [
+                F.when(hit, F.struct(F.length(f"k{j}").alias("n"), F.col(f"k{j}").alias("rule"), F.lit("block" if i == 0 else "allow").alias("verdict")))
+                for j, ((i, _), hit) in enumerate(zip(group, found, strict=True))
+                if i < 2
+            ]
+            own = reduce(lambda a, b: a | b, [hit for (i, _), hit in zip(group, found, strict=True) if i == 2], F.col("own"))
+            done = wide.select("page_id", "host", "path", F.array_max(F.array("best", *fits)).alias("best"), own.alias("own"))
+            if len(groups) * parts > 1:
+                done = scratch.write(done)
+    verdict = F.coalesce("best.verdict", F.when(F.col("own"), "block").otherwise("allow"))
+    return done.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
