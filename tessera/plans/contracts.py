@@ -125,7 +125,7 @@ def sealed_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 25 nations as shards of an array of seven rows each, sealed by a manifest and read back."""
     from tessera.plans.inout import _new
 
-    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_nationkey", "n_regionkey").limit(1000).collect()
+    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_nationkey", "n_regionkey").collect()
     whole, path, manifest = np.array(rows, np.float32).reshape(-1, 2), _new(spark, "tensors"), []
     for k, at in enumerate(range(0, len(whole), 7)):
         buffer = io.BytesIO()
