@@ -121,7 +121,7 @@ def report(docs: DataFrame, items: DataFrame, span: int = 10, k: int = 5) -> Dat
 
     def add(s: Column, x: Column) -> Column:
         last = F.get(s, F.size(s) - 1)
-        joined = F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(last["start"].alias("start"), x["end"].alias("end"))))
+        joined = F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
         return F.when(last["end"] >= x["start"], joined).otherwise(F.concat(s, F.array(x)))
 
     g = g.withColumn("merged", F.aggregate("hits", zero, add))
