@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators.ranks import average_rank
+from tessera.operators.ranks import with_places
 
 
 def correlation(x: Column | str, y: Column | str) -> Column:
@@ -21,7 +21,9 @@ def correlation(x: Column | str, y: Column | str) -> Column:
 def spearman(df: DataFrame, x: str, y: str, *group: str) -> DataFrame:
     """M1/M2: rho, n and a status per group: insufficient_n below 3, constant_target, constant_prediction, ok."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    d = d.withColumn("_x", average_rank(F.col(x), *group)).withColumn("_y", average_rank(F.col(y), *group))
+    d = d.select(*group, F.col(x).alias("_vx"), F.col(y).alias("_vy"))
+    for value, rank in (("_vx", "_x"), ("_vy", "_y")):  # in ranges of the values, however large a group
+        d = with_places(d, value, rank, lambda mean, n: mean, *group)
     g = d.groupBy(*group).agg(
         F.count("*").alias("n"), correlation("_x", "_y").alias("_r"), (F.min("_x") == F.max("_x")).alias("_cx"), (F.min("_y") == F.max("_y")).alias("_cy")
     )

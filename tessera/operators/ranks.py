@@ -123,16 +123,23 @@ def unit_of(rank: Column, n: Column) -> Column:
 
 
 def reference_ecdf(df: DataFrame, value: str, is_reference: str, *group: str) -> DataFrame:
-    """Adds ecdf_mid and ecdf_right, shares of the reference rows below (and at) each value.
+    """Adds ecdf_mid and ecdf_right, shares of the reference rows below (and at) each value, and references, their number.
 
-    One window over range frames: every row is counted against the reference rows of its group.
+    Reference rows are counted by value and summed up in ranges (see running()); null values have nulls.
     """
-    one = F.col(is_reference).cast("int")
-    w = by(*group).orderBy(value)
-    upto = F.sum(one).over(w.rangeBetween(W.unboundedPreceding, 0))
-    equal = F.sum(one).over(w.rangeBetween(0, 0))
-    n = F.nullif(F.sum(one).over(by(*group)), F.lit(0))
-    return df.withColumn("ecdf_mid", (upto - equal + 0.5 * equal) / n).withColumn("ecdf_right", upto / n)
+    hist = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.sum(F.col(is_reference).cast("int")).alias("_refs"))
+    r = running(hist, value, ["_refs"], *group)
+    names = {c: f"_{c}_" for c in (*group, value)}
+    n = F.nullif(F.col("all__refs"), F.lit(0))
+    share = lambda c: (c / n)
+    r = r.select(
+        *[F.col(c).alias(k) for c, k in names.items()],
+        share(F.col("below__refs") + 0.5 * F.col("_refs")).alias("ecdf_mid"),
+        share(F.col("below__refs") + F.col("_refs")).alias("ecdf_right"),
+        F.col("all__refs").alias("references"),
+    )
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(names[c])) for c in group], F.col(value) == F.col(names[value]))
+    return df.join(r, on, "left").drop(*names.values())
 
 
 def qcut(df: DataFrame, value: str, q: int, out: str, *group: str) -> DataFrame:

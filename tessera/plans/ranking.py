@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.canonical import length_bucket
 from tessera.functions.hashing import h60, h60_sql
 from tessera.operators import ranks as R
+from tessera.operators.positions import numbered
 from tessera.operators import text as D
 from tessera.plans.base import PANEL, SCORED, avg_rank_sql, panel, r9, scored, unit_rank_sql
 from tessera.registry import query, table
@@ -23,11 +24,10 @@ round(({AR("n_chars", "lang")} - 0.5) / count(*) OVER (PARTITION BY lang), 9) AS
 row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS place FROM documents""",
 )
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("n_chars")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", r9(R.unit_rank(v, "lang")).alias("unit_rank"), r9(R.pct_rank(v, "lang")).alias("pct_rank"),
-        r9(R.mid_rank(v, "lang")).alias("mid_rank"), R.ordinal(v, F.col("doc_id"), "lang").cast("long").alias("place"),
-    )
+    every = lambda rank, n: F.struct(R.unit_of(rank, n).alias("unit"), (rank / n).alias("pct"), ((rank - 0.5) / n).alias("mid"))
+    d = R.with_places(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "n_chars", "r", every, "lang")
+    d = numbered(d, ["n_chars", "doc_id"], "lang", out="place")
+    return d.select("doc_id", r9("r.unit").alias("unit_rank"), r9("r.pct").alias("pct_rank"), r9("r.mid").alias("mid_rank"), (F.col("place") + 1).alias("place"))
 
 
 @query(
@@ -39,7 +39,9 @@ round(CASE WHEN n >= 3 THEN (below + CAST(0.5 AS DOUBLE) * (ties - 1)) / (n - 1)
 )
 def ecdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = R.reference_ecdf(scored(spark, sf_dir).withColumn("ref", F.col("y") == 0), "s4", "ref", "lang")
-    return d.select("doc_id", r9("ecdf_mid").alias("ecdf_mid"), r9("ecdf_right").alias("ecdf_right"), r9(R.loo_rank(F.col("s4"), "lang")).alias("loo"))
+    others = lambda rank, n: F.when(n >= 3, (rank - 1.0) / F.nullif(n - 1, F.lit(0)))
+    d = R.with_places(d, "s4", "loo", others, "lang")
+    return d.select("doc_id", r9("ecdf_mid").alias("ecdf_mid"), r9("ecdf_right").alias("ecdf_right"), r9("loo").alias("loo"))
 
 
 @query(
@@ -49,17 +51,11 @@ def ecdf(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, round(CASE WHEN refs >= 3 THEN mine ELSE everyone END, 9) AS calibrated FROM w""",
 )
 def ecdf_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The group's reference where it has enough rows, else everyone's.
-
-    Everyone's is counted from the distinct scores (few), so that no window gathers all rows.
-    """
-    s = scored(spark, sf_dir).withColumn("ref", 1 - F.col("y"))
-    mine = R.reference_ecdf(s.withColumn("is_ref", F.col("ref") == 1), "s4", "is_ref", "source")
-    hist = s.groupBy("s4").agg(F.sum("ref").alias("refs"))
-    w = W.orderBy("s4")
-    hist = hist.select("s4", (F.sum("refs").over(w) / F.nullif(F.sum("refs").over(W.partitionBy()), F.lit(0))).alias("everyone"))
-    mine = mine.withColumn("enough", F.sum("ref").over(W.partitionBy("source")) >= 3).join(hist, "s4")
-    return mine.select("doc_id", r9(F.when(F.col("enough"), F.col("ecdf_right")).otherwise(F.col("everyone"))).alias("calibrated"))
+    """The group's reference where it has enough rows, else everyone's."""
+    s = scored(spark, sf_dir).select("doc_id", "source", "s4", (F.col("y") == 0).alias("ref"))
+    mine = R.reference_ecdf(s, "s4", "ref", "source").select("doc_id", "s4", "ref", F.when(F.col("references") >= 3, F.col("ecdf_right")).alias("mine"))
+    both = R.reference_ecdf(mine, "s4", "ref")
+    return both.select("doc_id", r9(F.coalesce("mine", "ecdf_right")).alias("calibrated"))
 
 
 @query(
