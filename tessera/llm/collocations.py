@@ -294,8 +294,11 @@ def dealt(ids: DataFrame, longest: int, width: int, cuts: list[bytes], size: int
     return ids.mapInArrow(run, "range int, n int, keys binary, counts binary")
 
 
-def counted(blobs: DataFrame, longest: int, width: int, least: int) -> DataFrame:
-    """ids, f: the phrases of two words or more that occur at least `least` times."""
+def counted(blobs: DataFrame, ranges: int, longest: int, width: int, least: int) -> DataFrame:
+    """ids, f: the phrases of two words or more that occur at least `least` times.
+
+    There are as many partitions as ranges, so what a task reads stays the same, however large the corpus.
+    """
     digits = (longest * width + 1) // 2
 
     def merge(table):  # noqa: ANN001, ANN202
@@ -309,7 +312,7 @@ def counted(blobs: DataFrame, longest: int, width: int, least: int) -> DataFrame
         flat = [pa.ListArray.from_arrays(pa.array(np.arange(0, ids.size + 1, ids.shape[1]), pa.int32()), pa.array(ids.ravel())) for ids, _ in parts]
         return pa.table({"ids": pa.concat_arrays(flat), "f": pa.array(np.concatenate([f for _, f in parts]))})
 
-    out = blobs.groupBy("range").applyInArrow(merge, "ids array<int>, f long")
+    out = blobs.repartition(ranges, "range").groupBy("range").applyInArrow(merge, "ids array<int>, f long")
     # a phrase that goes over the end of a range comes once from each
     return out.groupBy("ids").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
@@ -325,7 +328,7 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, most_words: int = 1
     width = id_bytes(size)
     ids = scratch.write(encoded(docs, words, size, most_words))
     cuts = splitters(ids, places, longest, width, per)
-    phrases = scratch.write(counted(dealt(ids, longest, width, cuts), longest, width, least))
+    phrases = scratch.write(counted(dealt(ids, longest, width, cuts), len(cuts) + 1, longest, width, least))
     return phrases, words, total
 
 
