@@ -13,10 +13,11 @@ from tessera.operators import arrays as A
 from tessera.operators import contracts as K
 from tessera.operators import joins as J
 from tessera.operators import panel as P
+from tessera.operators import text as D
 from tessera.operators import positions as O
 from tessera.plans.base import PANEL, SCORED, panel, r9, scored
 from tessera.operators.metrics import correlation
-from tessera.registry import query, table
+from tessera.registry import query, spread, table
 
 
 @query(
@@ -312,23 +313,27 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("c_nationkey", F.col("left").alias("left_key"), F.col("right").alias("right_key"), F.round("delta", 6).alias("delta"))
 
 
-def _bits(first: int) -> str:
-    """Signs of 32 components as an integer, in SQL."""
-    return " + ".join(f"CASE WHEN embedding[{first + i + 1}] > 0 THEN {1 << i}::BIGINT ELSE 0 END" for i in range(32))
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _parities(half: int) -> str:
+    """Of each letter's number of occurrences the lowest bit, or the one above, as an integer in SQL."""
+    return " + ".join(f"(((length(text) - length(replace(text, '{c}', ''))) >> {half}) & 1)::BIGINT * {1 << i}" for i, c in enumerate(LETTERS))
 
 
 @query(
     "J11_hamming_blocks",
-    f"""WITH b AS (SELECT vec_id, {_bits(0)} AS x, {_bits(32)} AS y FROM embeddings), d AS (SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.x, b.x)) + bit_count(xor(a.y, b.y)) AS d FROM b a JOIN b b ON a.vec_id < b.vec_id)
+    f"""WITH b AS (SELECT doc_id, {_parities(0)} AS x, {_parities(1)} AS y FROM documents), d AS (SELECT a.doc_id AS a, b.doc_id AS b, bit_count(xor(a.x, b.x)) + bit_count(xor(a.y, b.y)) AS d FROM b a JOIN b b ON a.doc_id < b.doc_id)
 SELECT a, b, d::INT AS distance FROM d WHERE d <= 6""",
 )
 def hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of vectors whose components differ in six signs at most."""
-    one = lambda i: F.shiftleft(F.lit(1).cast("long"), i)
+    """Pairs of documents whose letter counts modulo four, as 52 bits, differ in six bits at most."""
     bits = F.lit(0).cast("long")
-    for i in range(64):
-        bits = bits.bitwiseOR(F.when(F.get("embedding", i) > 0, one(i)).otherwise(F.lit(0).cast("long")))
-    return J.hamming_pairs(table(spark, sf_dir, "embeddings").select("vec_id", bits.alias("x")), "vec_id", "x", 6)
+    for i, c in enumerate(LETTERS):
+        n = (F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("long")
+        bits = bits.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(1)), i)).bitwiseOR(F.shiftleft(F.shiftright(n, 1).bitwiseAND(F.lit(1)), 26 + i))
+    d = D.written(spread(table(spark, sf_dir, "documents")).select("doc_id", bits.alias("x")))
+    return J.hamming_pairs(d, "doc_id", "x", 6, 52)
 
 
 @query(
