@@ -197,3 +197,19 @@ def test_blocks_equal_a_rescan_of_all_open_elements(seed):
 
         assert [(b.text, b.linked, b.never, chain(b.hint), b.inside, b.heading) for b in blocks] == want
         assert {h for h in range(1, len(hints.outer)) if hints.holds[h]} == holds
+
+
+def test_a_bad_training_is_repeated(monkeypatch):
+    """Other starts are tried until the texts set apart are told apart; the best one stays, and rows set apart aren't fitted on."""
+    rows = pd.DataFrame({"text": [f"t{i}" for i in range(40)], "toxic": [0] * 20 + [1] * 20})
+    seen = []
+    monkeypatch.setattr(toxicity, "sample", lambda docs, labels, n, longest: rows.groupby("toxic").head(n).reset_index(drop=True))
+    monkeypatch.setattr(toxicity, "fit", lambda r, seed: seen.append((seed, len(r))) or {"seed": seed})
+    wrong = {11: 0.3, 23: 0.1, 35: 0.2}
+    monkeypatch.setattr(toxicity, "error", lambda m, r: wrong[m["seed"]] if len(r) == 10 else 1.0)
+    assert toxicity.train(None, None, per_label=15, checked=5) == {"seed": 23} and seen == [(11, 30), (23, 30), (35, 30)]
+    wrong[23] = 0.0
+    seen.clear()
+    assert toxicity.train(None, None, per_label=15, checked=5) == {"seed": 23} and len(seen) == 2
+    seen.clear()
+    assert toxicity.train(None, None, per_label=20, checked=5) == {"seed": 11} and seen == [(11, 40)]
