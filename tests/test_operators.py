@@ -246,13 +246,6 @@ def test_padded_batches_fill_their_budget(spark, tmp_path):
             assert b == batch
 
 
-def test_character_weights_of_tokens(spark, tmp_path):
-    frame(spark, [(1, 'ab 12 "x y" a1'), (2, ""), (3, "7 . b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: (r["weight"], r["tokens"], r["heavy"]) for r in QUERIES["Q12_Q14_character_weights"](spark, str(tmp_path)).collect()}
-    # ab 2 x 1; 12 2 x 0.2; the quoted five 0.5 each; a1 1 and 0.2, as numbers count inside identifiers, too
-    assert got == {1: (pytest.approx(2 + 0.4 + 2.5 + 1.2), 5, 2), 2: (0.0, 0, 0), 3: (pytest.approx(1.2), 3, 1)}
-
-
 def test_ridge_equals_its_normal_equations(spark):
     import numpy as np
     from tessera.operators import models as L
