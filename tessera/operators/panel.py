@@ -19,6 +19,13 @@ def geometric_mean(c: Column, nulls: bool = True) -> Column:
     return F.when(F.bool_and(fits), F.exp(F.avg(F.ln(F.when(c > 0, c)))))
 
 
+def log_ratio(a: Column, b: Column, log=F.ln) -> Column:  # noqa: ANN001
+    """log(a / b) as floating point has it, for every pair of doubles: x / 0 is infinite, 0 / 0 and negative ratios are NaN, log 0 is minus infinity."""
+    inf, nan = F.lit(float("inf")), F.lit(float("nan"))
+    ratio = F.when(b != 0, a / b).when(a.isNull() | b.isNull(), None).when((a == 0) | F.isnan(a), nan).when(a > 0, inf).otherwise(-inf)
+    return F.when(ratio == 0, -inf).when(ratio < 0, nan).otherwise(log(ratio))
+
+
 def require_positive(df: DataFrame, value: str) -> DataFrame:
     """A5's contract: no value is 0 or less (nulls pass); raises the number of rows that are, else returns df."""
     n = df.agg(F.count_if(F.col(value) <= 0)).first()[0]

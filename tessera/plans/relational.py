@@ -369,7 +369,7 @@ SELECT participant, feature, round(early, 9) AS early, round(late, 9) AS late, r
 def two_timepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda cond: F.avg(F.when(F.expr(cond), F.col("value")))
     d = panel(spark, sf_dir).groupBy("participant", "feature").agg(part("day = 2").alias("early"), part("day = 28").alias("late")).dropna()
-    return d.select("participant", "feature", r9("early").alias("early"), r9("late").alias("late"), r9(F.log2(F.col("late") / F.col("early"))).alias("shift"))
+    return d.select("participant", "feature", r9("early").alias("early"), r9("late").alias("late"), r9(P.log_ratio(F.col("late"), F.col("early"), F.log2)).alias("shift"))
 
 
 @query(
