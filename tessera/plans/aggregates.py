@@ -56,7 +56,7 @@ SELECT participant, feature, round(fc, 9) AS fc, round({unit_rank_sql("fc", "fea
 def baseline_fold_change_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel(spark, sf_dir)
     target = p.where("day between 8 and 14").groupBy(*KEYS).agg(F.avg("value").alias("target"))
-    fc = P.prioritised_baseline(p, KEYS).join(target, KEYS).withColumn("fc", F.ln(F.col("target") / F.col("baseline")))
+    fc = P.prioritised_baseline(p, KEYS).join(target, KEYS).withColumn("fc", P.log_ratio(F.col("target"), F.col("baseline")))
     fc = R.with_places(D.written(fc.select(*KEYS, "fc")), "fc", "fc_rank", R.unit_of, "feature")
     return fc.select(*KEYS, r9("fc").alias("fc"), r9("fc_rank").alias("fc_rank"))
 
