@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions import canonical as C
 from tessera.functions.hashing import h60, h60_sql
 from tessera.operators import arrays as A
 from tessera.operators import metrics as M
@@ -332,7 +333,7 @@ def geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("M28_rounding_interval", "SELECT c_custkey, round(6 * (round(c_acctbal / 10000, 2) - 0.005), 9) AS low, round(6 * (round(c_acctbal / 10000, 2) + 0.005), 9) AS high FROM customer")
 def interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = F.round(F.col("c_acctbal") / 10000, 2)
+    shown = C.rounded(F.col("c_acctbal") / 10000, 2)
     return table(spark, sf_dir, "customer").select("c_custkey", r9(6 * (shown - 0.005)).alias("low"), r9(6 * (shown + 0.005)).alias("high"))
 
 
