@@ -279,7 +279,7 @@ SELECT lang, CAST(width AS INT) AS width, context, next, CAST(joint AS BIGINT) A
 def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each byte follows each context of 0 to 4 bytes in a language, and how often the context occurs."""
     d = spread(table(spark, sf_dir, "documents"))
-    c = N.language_counts(written(N.local_counts(d, "doc_id", "lang", "text")))
+    c = N.language_counts(N.task_counts(d, "lang", "text"))
     width, digits = N.width_of(F.col("gram")), F.lpad(F.hex("gram"), 12, "0")
     chars = F.substring(digits, F.lit(11) - 2 * width, 2 * width)
     return c.select("lang", width.alias("width"), chars.alias("context"), F.right(digits, F.lit(2)).alias("next"), "joint", F.col("context").alias("context_count"))
