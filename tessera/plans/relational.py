@@ -344,7 +344,7 @@ SELECT s_suppkey, arg_min(c_name, (round(abs(s_acctbal - c_acctbal), 6), c_name)
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nk"), "s_acctbal")
     p = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nk"), "c_name", "c_acctbal")
-    return J.nearest(q, p, "nk", F.round(F.abs(F.col("s_acctbal") - F.col("c_acctbal")), 6), "s_suppkey", "c_name")
+    return J.nearest_value(q, p, "nk", "s_acctbal", "c_acctbal", 6, "s_suppkey", "c_name")
 
 
 ALIGNED = f"""r AS (SELECT doc_id, lang, y, least(14, greatest(9, CAST(floor(log2(n_chars)) AS INT))) AS bucket,
