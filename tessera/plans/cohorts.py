@@ -13,7 +13,8 @@ from tessera.operators import metrics as M
 from tessera.operators import ranks as R
 from tessera.operators import splits as S
 from tessera.operators.positions import numbered
-from tessera.operators.text import written
+from tessera.operators.joins import small
+from tessera.operators.text import dealt, written
 from tessera.plans.base import PANEL, SCORED, avg_rank_sql, panel, r9, scored, unit_rank_sql
 from tessera.operators.metrics import correlation
 from tessera.registry import query, table
@@ -221,18 +222,23 @@ REPS = 1000  # replicates of a bootstrap
 SUBSAMPLES, COHORT, PUBLIC = 200, 40, 12  # of a subsampling: replicates, rows of a source, and those of them that are public
 
 
-def resampled(s: DataFrame, strata: list[str], seed: str, reps: int = REPS) -> DataFrame:
+DRAWN = 2_000_000  # rows of a few numbers each that are sent to all executors; draws from more are shuffled
+
+
+def resampled(s: DataFrame, strata: list[str], seed: str, columns: list[str], reps: int = REPS) -> DataFrame:
     """rep and the row's columns, once for each time the row is drawn; strata keep their sizes.
 
     A draw is a hash of (replicate, stratum, slot) modulo the stratum's size: rows are numbered
-    inside their stratum, draws are made in place and joined by (stratum, number).
+    inside their stratum, draws are made in place and joined by (stratum, number).  The rows, without
+    what is not asked for, go to where the draws are, which are `reps` times as many.
     """
     name = F.concat_ws("/", *[F.col(c).cast("string") for c in strata])
     order = W.partitionBy(*strata).orderBy("doc_id")
     s = s.withColumn("_s", name).withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", F.count("*").over(W.partitionBy(*strata)))
-    slots = s.select("_s", "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    s = written(s.select(*columns, "_s", "_i", "_n"))
+    slots = dealt(s).select("_s", "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     draw = F.pmod(h60(seed, F.col("rep"), F.col("_s"), F.col("_i")), F.col("_n"))
-    return slots.select("rep", F.col("_s").alias("_t"), draw.alias("_d")).join(s, (F.col("_t") == F.col("_s")) & (F.col("_d") == F.col("_i"))).drop("_t", "_d", "_s", "_i", "_n")
+    return slots.select("rep", F.col("_s").alias("_t"), draw.alias("_d")).join(small(s, DRAWN), (F.col("_t") == F.col("_s")) & (F.col("_d") == F.col("_i"))).drop("_t", "_d", "_s", "_i", "_n")
 
 
 def resampled_sql(strata: str, seed: str, reps: int = REPS) -> str:
@@ -256,7 +262,7 @@ SUMMARY = "round(avg({0}), 9) AS mean, round(quantile_cont({0}, 0.025), 9) AS lo
 
 @query("B1_B7_stratified_bootstrap", f"WITH {SCORED}, {resampled_sql("lang || '/' || y", 'b1')} SELECT {SUMMARY('auc')} FROM {rep_auc_sql('s4')}")
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.auc(resampled(scored(spark, sf_dir), ["lang", "y"], "b1"), "s4", "y", "rep").agg(*summary("auc"))
+    return M.auc(resampled(scored(spark, sf_dir), ["lang", "y"], "b1", ["y", "s4"]), "s4", "y", "rep").agg(*summary("auc"))
 
 
 @query(
@@ -264,7 +270,7 @@ def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {SCORED}, {resampled_sql("lang || '/' || y", 'b2')}, a AS {rep_auc_sql('s4')}, b AS {rep_auc_sql('s2')}, d AS (SELECT a.auc - b.auc AS d FROM a JOIN b ON a.rep = b.rep) SELECT {SUMMARY('d')} FROM d",
 )
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = resampled(scored(spark, sf_dir), ["lang", "y"], "b2")
+    r = resampled(scored(spark, sf_dir), ["lang", "y"], "b2", ["y", "s4", "s2"])
     a, b = M.auc(r, "s4", "y", "rep").select("rep", "auc"), M.auc(r, "s2", "y", "rep").select("rep", F.col("auc").alias("other"))
     return a.join(b, "rep").select((F.col("auc") - F.col("other")).alias("d")).agg(*summary("d"))
 
