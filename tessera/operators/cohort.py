@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.hashing import h60
 from tessera.operators.contracts import require
+from tessera.operators.joins import small
 
 
 def fixed_sample(df: DataFrame, strata: list[str], key: str, n: int, seed: str) -> DataFrame:
@@ -118,19 +119,19 @@ def hierarchical_weights(df: DataFrame, levels: list[str]) -> DataFrame:
     for i, level in enumerate(levels):
         above = levels[:i]
         kinds = df.select(*levels[: i + 1]).distinct().groupBy(*above).agg(F.count("*").alias(f"_k{i}"))
-        out = out.join(kinds, above) if above else out.withColumn("_k0", kinds.select("_k0").scalar())
+        out = out.join(small(kinds), above) if above else out.withColumn("_k0", kinds.select("_k0").scalar())
         mass = mass / F.col(f"_k{i}")
     rows = df.groupBy(*levels).agg(F.count("*").alias("_rows"))
     n = df.agg(F.count("*").alias("n")).scalar()
-    out = out.join(rows, levels).withColumn("weight", mass / F.col("_rows") * n)  # the masses sum to 1
+    out = out.join(small(rows), levels).withColumn("weight", mass / F.col("_rows") * n)  # the masses sum to 1
     return out.select(*df.columns, "weight")
 
 
 def equal_weights(df: DataFrame, group: str) -> DataFrame:
     """1 / rows of the group, scaled to mean 1."""
-    k = df.agg(F.count("*").alias("n"), F.count_distinct(group).alias("g"))
-    scale = k.select((F.col("n") / F.col("g")).alias("s")).scalar()
-    return df.withColumn("weight", scale / F.count("*").over(W.partitionBy(group)))
+    rows = df.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_rows"))
+    scale = rows.agg((F.sum("_rows") / F.count("_group")).alias("s")).scalar()  # nulls are a group without a share of their own
+    return df.join(small(rows), F.col(group).eqNullSafe(F.col("_group"))).withColumn("weight", scale / F.col("_rows")).drop("_group", "_rows")
 
 
 def similarity_weights(distances: DataFrame, name: str, distance: str) -> DataFrame:
