@@ -60,12 +60,32 @@ def signed(h: np.ndarray, columns: int) -> tuple[np.ndarray, np.ndarray]:
     return col, value / np.linalg.norm(value) if len(value) else value
 
 
+PIECE = 1 << 20  # bytes of text whose vectors a worker holds at once, unless a single text has more
+
+
+def pieces(batches: Iterator) -> Iterator:
+    """Arrow batches cut where their texts (column t) come to PIECE bytes."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for b in batches:
+        t = b.column("t")
+        ends = np.cumsum(pc.binary_length(t.cast(pa.binary())).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + PIECE, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def hashed_features(docs: DataFrame, key: str, text: str, columns: int = 1 << 16) -> DataFrame:
     """key, char_at, char_value, word_at, word_value: two sparse vectors of length 1 for each text.
 
     Character runs of 3 to 5, and words and pairs of words, case kept, are hashed to `columns` columns
     each, with a sign from the hash, so that collisions cancel on average.  A null text is empty, and an
-    empty one has no columns.  A row's vectors are bounded by its text and by `columns`.
+    empty one has no columns.  A row's vectors are bounded by its text and by `columns`, and a worker holds
+    those of PIECE bytes of text at once, however large the batches that it is given.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -75,7 +95,7 @@ def hashed_features(docs: DataFrame, key: str, text: str, columns: int = 1 << 16
             ends = np.cumsum([0, *map(len, parts)])
             return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else [], kind))
 
-        for b in batches:
+        for b in pieces(batches):
             cols: tuple[list, ...] = ([], [], [], [])
             for t in b.column("t").to_pylist():
                 for k, h in enumerate((char_hashes(t, 3, 5), word_hashes(t))):
