@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,9 +44,7 @@ def encoder(vocabulary: bytes):  # noqa: ANN201
     import json
 
     import tiktoken
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_str(vocabulary.decode())
     spec = json.loads(vocabulary)
     # The 256 printable stand-ins that byte-level BPE files use for bytes.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -54,10 +53,15 @@ def encoder(vocabulary: bytes):  # noqa: ANN201
     ranks = {bytes(byte[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    slow = []  # the library's own, made when the first text needs it
 
     def encode(text: str) -> np.ndarray:
         if any(s in text for s in special):
-            return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+            if not slow:
+                from tokenizers import Tokenizer
+
+                slow.append(Tokenizer.from_str(vocabulary.decode()))
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(fast.encode_ordinary(text), np.uint32)
 
     return encode
@@ -138,11 +142,12 @@ def pack_pieces(pieces: DataFrame, window: int, rows_each: int = 4096) -> DataFr
     parts = max(1, -(-sum(counts.values()) // rows_each))
     by: dict[int, list] = {}
     for n, *row in plan(counts, window):
-        by.setdefault(n, []).append(tuple(row))
-    spec = "n long, a array<struct<rank:long,sequence:long,copies:long,offset:long>>"
-    table = spark.createDataFrame(list(by.items()), spec)
+        by.setdefault(n, []).append(dict(zip(("rank", "sequence", "copies", "offset"), row, strict=True)))
+    part = pa.struct([(c, pa.int64()) for c in ("rank", "sequence", "copies", "offset")])
+    # An Arrow table; a list of rows would start Python workers of another kind on all executors, which stay.
+    table = spark.createDataFrame(pa.table({"n": pa.array(list(by), pa.int64()), "a": pa.array(list(by.values()), pa.list_(part))}))
     keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts))).withColumn("_one", F.lit(1))
-    ranked = prefix_within(keyed, ["length"], "_bucket", ["doc_id", "start", "ids_crc32"], "_one", "_rank")
+    ranked = prefix_within(keyed, ["length"], "_bucket", ["doc_id", "start", "ids_crc32"], "_one", "_rank", nulls=False)
     placed = ranked.join(F.broadcast(table), F.col("length") == F.col("n"))
     at = F.get("a", F.size(F.filter("a", lambda x: x["rank"] <= F.col("_rank"))) - 1)
     placed = placed.withColumn("_p", at).withColumn("_k", F.col("_rank") - F.col("_p.rank"))
