@@ -13,7 +13,6 @@ from tessera.operators import metrics as M
 from tessera.operators import ranks as R
 from tessera.operators import splits as S
 from tessera.operators.positions import numbered
-from tessera.operators.joins import small
 from tessera.operators.text import dealt, written
 from tessera.plans.base import PANEL, SCORED, avg_rank_sql, panel, r9, scored, unit_rank_sql
 from tessera.operators.metrics import correlation
@@ -229,8 +228,9 @@ def resampled(s: DataFrame, strata: list[str], seed: str, columns: list[str], re
     """rep and the row's columns, once for each time the row is drawn; strata keep their sizes.
 
     A draw is a hash of (replicate, stratum, slot) modulo the stratum's size: rows are numbered
-    inside their stratum, draws are made in place and joined by (stratum, number).  The rows, without
-    what is not asked for, go to where the draws are, which are `reps` times as many.
+    inside their stratum, draws are made in place and looked up by number.  The columns that are asked for go to
+    where the draws are, which are `reps` times as many: up to DRAWN rows as one array a stratum and column, so that
+    the driver and the executors hold little more than the numbers; more rows are joined by (stratum, number).
     """
     name = F.concat_ws("/", *[F.col(c).cast("string") for c in strata])
     order = W.partitionBy(*strata).orderBy("doc_id")
@@ -238,7 +238,12 @@ def resampled(s: DataFrame, strata: list[str], seed: str, columns: list[str], re
     s = written(s.select(*columns, "_s", "_i", "_n"))
     slots = dealt(s).select("_s", "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
     draw = F.pmod(h60(seed, F.col("rep"), F.col("_s"), F.col("_i")), F.col("_n"))
-    return slots.select("rep", F.col("_s").alias("_t"), draw.alias("_d")).join(small(s, DRAWN), (F.col("_t") == F.col("_s")) & (F.col("_d") == F.col("_i"))).drop("_t", "_d", "_s", "_i", "_n")
+    draws = slots.select("rep", F.col("_s").alias("_t"), draw.alias("_d"))
+    if s.limit(DRAWN + 1).count() > DRAWN:
+        return draws.join(s, (F.col("_t") == F.col("_s")) & (F.col("_d") == F.col("_i"))).drop("_t", "_d", "_s", "_i", "_n")
+    held = s.groupBy("_s").agg(F.sort_array(F.collect_list(F.struct("_i", *columns))).alias("_a"))
+    held = written(held.select("_s", *[F.col(f"_a.{c}").alias(c) for c in columns]))  # one row a stratum
+    return draws.join(F.broadcast(held), F.col("_t") == F.col("_s")).select("rep", *[F.get(c, F.col("_d").cast("int")).alias(c) for c in columns])
 
 
 def resampled_sql(strata: str, seed: str, reps: int = REPS) -> str:

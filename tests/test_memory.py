@@ -25,3 +25,20 @@ def test_counting_byte_ngrams_holds_few_places_that_are_not_counted():
         g, k = np.unique(np.concatenate([N.grams(t) for t, x in texts if x == of]), return_counts=True)
         assert {(of, x): n for x, n in zip(g.tolist(), k.tolist(), strict=True)} == {key: n for key, n in seen.items() if key[0] == of}
     assert peak < 50_000_000  # four million places alone have 32 MB, and twice as many while they are joined
+
+
+def test_bootstrap_sends_a_row_a_stratum(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessera.plans import cohorts as C
+
+    rows = [(i, "ab"[i % 2], i % 3, None if i == 5 else i / 7) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, y int, s double")
+    sent, whole = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda x: sent.append(x.count()) or whole(x))
+    key = lambda r: (r["rep"], r["y"], -1.0 if r["s"] is None else r["s"])
+    got = sorted(map(key, C.resampled(df, ["lang", "y"], "t", ["y", "s"], 7).collect()))
+    assert sent == [6]
+    monkeypatch.setattr(C, "DRAWN", 10)  # more rows are joined
+    assert sorted(map(key, C.resampled(df, ["lang", "y"], "t", ["y", "s"], 7).collect())) == got and len(got) == 7 * 300
+    assert sent == [6]
