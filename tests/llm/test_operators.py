@@ -116,6 +116,48 @@ def test_one_of_each_in_bands(spark):
     assert want <= kept and len(kept - want) <= 0.01 * len(texts)
 
 
+def test_one_of_each_does_not_depend_on_bands(spark, monkeypatch):
+    """Whatever the fingerprints miss is found: bands that miss nine in ten and a radius that misses most pairs change nothing."""
+    texts = edited_copies()
+    line = " ".join(f"l{i}" for i in range(40)) + " "  # 40 more texts share it
+    texts += [line + " ".join(f"p{k}x{i}" for i in range(160)) for k in range(40)]
+    texts += [f"{texts[-1 - k]} q{k}" for k in range(40)] + ["a b c d e f g h i", "a b c d e f g h", "one two", "one"]
+    group = jaccard_groups(texts)
+    want = {i for i, g in enumerate(group) if g == i}
+    seen = []
+    links = similar.links
+    monkeypatch.setattr(similar, "links", lambda *a: (seen.append(out := links(*a)), out)[1])
+    for missed, radius, dense, size in ((0.005, 45, 64, {}), (0.9, 3, 10, {"cell": 2, "tile": 8, "part": 4}), (0.9, 0, 64, {"cell": 1, "tile": 100})):
+        monkeypatch.setattr(similar, "DENSE", dense, raising=False)
+        monkeypatch.setattr(similar, "MISSED", missed)
+        monkeypatch.setattr(similar, "radius", lambda least, r=radius: r)
+        kept = {r["doc_id"] for r in similar.one_of_each(make(spark, texts), **size).select("doc_id").collect()}
+        assert kept == want
+    ends = [{r[c] for r in out.collect() for c in "ab"} for out in seen]
+    assert len(ends[0]) > 2 * len(ends[-1])
+
+
+def test_filters_of_prefixes_leave_no_similar_pair_out():
+    """Prefixes share a shingle whose places, and parities that differ in few enough bits, allow what the sets have."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 4, 5, 9, 50, 300, 1000):
+        for _ in range(60):
+            h = rng.integers(0, 1 << 64, 2 * n, dtype=np.uint64)
+            own = rng.integers(0, n // 8 + 1)
+            x, y = np.unique(h[:n]), np.unique(h[own : n + rng.integers(0, n // 8 + 1)])
+            both = len(np.intersect1d(x, y))
+            if both < 0.8 * (len(x) + len(y) - both):
+                continue
+            common = rng.permutation(h)[: rng.integers(0, n)]
+            px, py = (similar.prefix(s, common, 0.8).tolist() for s in (x, y))
+            i = next(k for k, v in enumerate(px) if v in py)
+            side = [{"n": np.array([[len(s)]]), "at": np.array([[k]]), "label": np.array([[k2]])} for s, k, k2 in ((x, i, 0), (y, py.index(px[i]), 1))]
+            assert similar.filtered(*side, 0.8, False).all()
+            bits = [similar.parity(s) for s in (x, y)]
+            bx, by = (similar.parities([b], min(map(len, bits))) for b in bits)
+            assert np.bitwise_count(bx ^ by).sum() <= len(x) + len(y) - 2 * both <= 0.2 / 1.8 * (len(x) + len(y)) + 1e-6
+
+
 def edited_copies():
     rng = np.random.default_rng(5)
     texts = []
