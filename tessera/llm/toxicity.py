@@ -8,8 +8,10 @@ its highest window.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import nn
-from tessera.llm.common import annotate, crc_mod, fresh, hash_sample
+from tessera.llm.common import annotate, batch_rows, crc_mod, fresh, hash_sample
 
 WINDOW, STRIDE = 48, 24  # words
 CHARS = 16  # longer runs of word characters are read as several words
@@ -63,13 +65,13 @@ def windows(ids: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
     return flat[starts[None, :] + np.arange(WINDOW)[:, None]], first
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_label: int, longest: int) -> pd.DataFrame:
+def drawn(docs: DataFrame, labels: DataFrame, per_label: int, longest: int) -> DataFrame:
     """Training rows: of each label per_label texts at most, of each text `longest` characters at most.
 
     Only documents that have a label and a text are drawn, in the order of a hash of the id.  Of a longer
     text, PIECES pieces are taken at evenly spaced places.  Rows whose crc32(doc_id as text) mod 5 is 0
     are held out.  Labels other than 0 and 1 are ignored; a doc_id with several labels counts as 1 if
-    any is.  The driver gets 2 * per_label * longest characters at most.
+    any is.  These are 2 * per_label * longest characters at most.
     """
     y = labels.where(F.col("toxic").isin(0, 1)).where(crc_mod(F.col("doc_id"), 5) != 0)
     y = y.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -80,8 +82,16 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int, longest: int) ->
     n, part = F.length("text"), longest // PIECES
     cut = F.concat_ws(" ", *[F.substring(F.col("text"), (F.floor((n - part) * i / (PIECES - 1)) + 1).cast("int"), F.lit(part)) for i in range(PIECES)])
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "_k", F.when(n > longest, cut).otherwise(F.col("text")).alias("text"))
-    rows = rows.groupBy("toxic", "_k", "doc_id").agg(F.min("text").alias("text"))  # of repeated ids, one text
-    return rows.toPandas().sort_values(["toxic", "_k"]).reset_index(drop=True)
+    return rows.groupBy("toxic", "_k", "doc_id").agg(F.min("text").alias("text"))  # of repeated ids, one text
+
+
+def ordered(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values(["toxic", "_k"]).reset_index(drop=True)
+
+
+def sample(docs: DataFrame, labels: DataFrame, per_label: int, longest: int) -> pd.DataFrame:
+    """drawn(), in order."""
+    return ordered(drawn(docs, labels, per_label, longest).toPandas())
 
 
 def fit(
@@ -220,8 +230,11 @@ def centred(m: dict, texts: list[list[str]], y: np.ndarray) -> dict:
     lex = Lexicon(m)
     ids = [np.fromiter(map(lex.__getitem__, t), np.int64, len(t)) for t in texts]
     lex.settle()
-    grid, first = windows(ids, 0)
-    top = np.maximum.reduceat(window_logits(m, lex.gates, grid), first).astype(np.float64)
+    top = []
+    for at in range(0, len(ids), 256):
+        grid, first = windows(ids[at : at + 256], 0)
+        top.append(np.maximum.reduceat(window_logits(m, lex.gates, grid), first))
+    top = np.concatenate(top).astype(np.float64)
     order = np.argsort(top, kind="stable")
     top, y = top[order], y[order]
     errors = np.cumsum(y)[:-1] + (y == 0).sum() - np.cumsum(y == 0)[:-1]  # cut after each place
@@ -341,13 +354,30 @@ def error(model: dict, rows: pd.DataFrame) -> float:
 def train(
     docs: DataFrame, labels: DataFrame, per_label: int = 1500, longest: int = 20_000, checked: int = 150, tries: int = 3, enough: float = 0.005, seed: int = 11, **kw
 ) -> dict:  # noqa: ANN003
-    """Fit on a bounded sample: per_label texts of each label, `longest` characters of each (see sample()).
+    """Fit on a bounded sample: per_label texts of each label, `longest` characters of each (see drawn() and best_of())."""
+    return best_of(sample(docs, labels, per_label + checked, longest), per_label, tries, enough, seed, **kw)
+
+
+def trained(docs: DataFrame, labels: DataFrame, per_label: int = 1500, longest: int = 20_000, checked: int = 150, tries: int = 3, enough: float = 0.005, seed: int = 11, **kw) -> dict:  # noqa: ANN003
+    """train() in a task, so that the driver gets the model and neither holds the texts nor the network's arrays."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"toxic": [], "_k": [], "text": []}), *batches]).astype({"toxic": "int64", "_k": "int64"})
+        yield pd.DataFrame({"model": [pickle.dumps(best_of(ordered(rows), per_label, tries, enough, seed, **kw))]})
+
+    batch_rows(docs.sparkSession)
+    rows = drawn(docs, labels, per_label + checked, longest).select("toxic", "_k", "text")
+    found = rows.repartition(1).mapInPandas(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else next(run(iter(())))["model"].map(pickle.loads).iat[0]  # noqa: S301
+
+
+def best_of(rows: pd.DataFrame, per_label: int, tries: int, enough: float, seed: int, **kw) -> dict:  # noqa: ANN003
+    """The model of the start that does best on texts set apart.
 
-    Now and then a training ends badly, which only other texts show.  So `checked` more texts of each label, as
-    far as there are, are set apart, and with over `enough` errors on them the network is trained again from
+    Now and then a training ends badly, which only other texts show.  So the texts of each label beyond per_label are
+    set apart, and with over `enough` errors on them the network is trained again from
     another start, `tries` times at most; the best one stays.  Without texts of both labels to check, the first does.
     """
-    rows = sample(docs, labels, per_label + checked, longest)
     place = rows.groupby("toxic").cumcount()
     apart, rows = rows[place >= per_label], rows[place < per_label].reset_index(drop=True)
     best = None
@@ -379,7 +409,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_on: DataFrame | None = No
 
 def with_score(docs: DataFrame, train_on: DataFrame, labels: DataFrame, keep_text: bool = True, **kw) -> tuple[DataFrame, str]:  # noqa: ANN003
     """docs with a column more, and its name."""
-    model = docs.sparkSession.sparkContext.broadcast(train(train_on, labels, **kw))
+    model = docs.sparkSession.sparkContext.broadcast(trained(train_on, labels, **kw))
     name = fresh(docs, "_toxicity")
     return annotate(docs, "text", scorer(model), [T.StructField(name, T.DoubleType())], keep_text), name
 

@@ -1,6 +1,8 @@
 """What the corpus operators hold in memory."""
 
-from tessera.llm import common, packing, queries
+import os
+
+from tessera.llm import common, packing, queries, toxicity
 
 
 def test_packing_shuffles_ids_once_and_starts_no_other_workers(spark, tmp_path):
@@ -49,3 +51,15 @@ def test_arrow_batches_are_bounded_by_bytes_too(spark):
     seen = common.Scratch(spark, "bytes").write(df.mapInPandas(sizes, "id long"), rows=400)
     assert max(r["id"] for r in seen.collect()) <= common.BATCH_BYTES + 1_000_000
     assert [spark.conf.get(k) for k in (common.BATCH, common.BYTES)] == before
+
+
+def test_toxicity_is_trained_in_a_task(spark, monkeypatch):
+    """The driver gets the model and never holds the training texts; an empty table has a model, too."""
+    docs = spark.createDataFrame([(i, f"word{i} more") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    seen, scorer = [], toxicity.scorer
+    monkeypatch.setattr(toxicity, "scorer", lambda model: seen.append(model.value) or scorer(model))
+    monkeypatch.setattr(toxicity, "fit", lambda rows, seed: {"prior": float(rows["toxic"].mean()) if len(rows) else 0.0, "pid": os.getpid()})
+    toxicity.with_score(docs, docs, labels)
+    assert seen[0]["pid"] != os.getpid() and 0.3 < seen[0]["prior"] < 0.7
+    assert toxicity.with_score(docs.where("false"), docs.where("false"), labels)[0].count() == 0 and seen[1]["prior"] == 0.0
